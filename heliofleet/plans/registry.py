@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from heliofleet.plans import fleet_plans
+from heliofleet.plans import fleet_plans, ingest_plans
 
 REGISTERED = {
     **fleet_plans.REGISTERED,
+    **ingest_plans.REGISTERED,
 }
