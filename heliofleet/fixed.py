@@ -75,15 +75,15 @@ STEM_SUFFIXES = (("ies", "y"), ("ing", ""), ("ed", ""), ("s", ""))
 
 # --- secret masking: (name, pattern, Java replacement), applied in this order ------------
 SECRET_RULES = (
-    ("url_credentials", r"(?i)(\b[a-z][a-z0-9+.-]*://)[^/\s'\"@]+@", "$1***@"),
+    ("url_credentials", r"(?iU)(\b[a-z][a-z0-9+.-]*://)[^/\s'\"@]+@", "$1***@"),
     (
         "key_value",
-        r"(?i)(x-api-key|api[_-]?key|authorization|password|secret|token)"
+        r"(?iU)(x-api-key|api[_-]?key|authorization|password|secret|token)"
         r"(\\?[\"']?\s*[:=]\s*\\?[\"']?)(bearer\s+)?[^\s,;&'\"\\}]+",
         "$1$2***",
     ),
-    ("bearer", r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer ***"),
-    ("sk_key", r"\bsk-[A-Za-z0-9_-]{16,}", "sk-***"),
+    ("bearer", r"(?iU)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer ***"),
+    ("sk_key", r"(?U)\bsk-[A-Za-z0-9_-]{16,}", "sk-***"),
 )
 
 # --- question routing --------------------------------------------------------------------

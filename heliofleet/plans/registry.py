@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from heliofleet.plans import fleet_plans, ingest_plans
+from heliofleet.plans import fleet_plans, ingest_plans, text_plans
 
 REGISTERED = {
     **fleet_plans.REGISTERED,
     **ingest_plans.REGISTERED,
+    **text_plans.REGISTERED,
 }
