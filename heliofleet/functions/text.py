@@ -19,8 +19,12 @@ def collapsed(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
 
 
+def _pieces(text: Column) -> Column:
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(_pieces(text), lambda w: w != "")
 
 
 def is_term(word: Column) -> Column:
@@ -49,7 +53,7 @@ def expanded(found: Column) -> Column:
 
 
 def kept_words(text: Column, expand: bool = False) -> Column:
-    found = words(text)
+    found = _pieces(text)
     return F.filter(expanded(found) if expand else found, is_term)
 
 

@@ -35,11 +35,14 @@ class Index:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """Term counts of chunks (id, pos, title, section, text); headings count twice. A chunk's
-    length rides along, so no second pass gathers it."""
+    length rides along, so no second pass gathers it. The texts are spread by chunk before they
+    are taken apart: that one shuffle of compact rows evens out uneven files, and the counts per
+    (chunk, term) then need no exchange."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")),
                        F.coalesce("section", F.lit("")), "text")
     return (
-        chunks.select("id", "pos", kept_words(text).alias("_words"))
+        chunks.select("id", "pos", text.alias("_text")).repartition("id")
+        .select("id", "pos", kept_words(F.col("_text")).alias("_words"))
         .select("id", "pos", F.size("_words").alias("len"), F.explode("_words").alias("_word"))
         .select("id", "pos", "len", stem(F.col("_word")).alias("term"))
         .groupBy("term", "id", "pos")

@@ -200,12 +200,12 @@ exp AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, unnest({sql_senten
 found AS (SELECT e.item_id, min(l.rank) FILTER (l.rank <= 5) AS rank FROM exp e LEFT JOIN lex l USING (item_id, doc_id) GROUP BY 1)"""
 
 SQL_BEST = f"""
-sent AS (SELECT item_id, rank AS n, at, s FROM (
-   SELECT l.item_id, l.rank, l.score, unnest(ss) AS s, unnest(range(len(ss))) AS at FROM lex l
+sent AS (SELECT item_id, rank AS n, seq, s FROM (
+   SELECT l.item_id, l.rank, l.score, unnest(ss) AS s, unnest(range(len(ss))) AS seq FROM lex l
    JOIN (SELECT doc_id, {sql_sentences('text')} AS ss FROM documents) d USING (doc_id) WHERE l.rank <= 2)),
-st AS (SELECT DISTINCT item_id, n, at, term FROM ({sql_tokens('sent', 'item_id, n, at', 's')})),
-ov AS (SELECT item_id, n, at, round(sum(idf), 9) AS o FROM st JOIN qterm USING (item_id, term) JOIN idf USING (term) GROUP BY ALL),
-pick AS (SELECT sent.*, row_number() OVER (PARTITION BY item_id, n ORDER BY coalesce(o, 0) DESC, at) AS place FROM sent LEFT JOIN ov USING (item_id, n, at))"""
+st AS (SELECT DISTINCT item_id, n, seq, term FROM ({sql_tokens('sent', 'item_id, n, seq', 's')})),
+ov AS (SELECT item_id, n, seq, round(sum(idf), 9) AS o FROM st JOIN qterm USING (item_id, term) JOIN idf USING (term) GROUP BY ALL),
+pick AS (SELECT sent.*, row_number() OVER (PARTITION BY item_id, n ORDER BY coalesce(o, 0) DESC, seq) AS place FROM sent LEFT JOIN ov USING (item_id, n, seq))"""
 
 SQL_CHUNKS = f"""
 WITH RECURSIVE md AS (SELECT doc_id AS doc, source, unnest(l) AS line, unnest(range(len(l))) AS i FROM (
@@ -315,12 +315,12 @@ FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(
 FROM found f LEFT JOIN lex l ON l.item_id = f.item_id AND l.rank <= 3 WHERE f.rank IS NULL OR f.rank > 3 GROUP BY 1"""),
     "best_sentences": (
         best_sentences,
-        f"WITH {SQL_INDEX.strip()}, {SQL_BEST.strip()} SELECT item_id AS query_id, CAST(n AS INTEGER) AS n, string_agg(s, ' ' ORDER BY at) AS extract FROM pick WHERE place <= 2 GROUP BY ALL"),
+        f"WITH {SQL_INDEX.strip()}, {SQL_BEST.strip()} SELECT item_id AS query_id, CAST(n AS INTEGER) AS n, string_agg(s, ' ' ORDER BY seq) AS extract FROM pick WHERE place <= 2 GROUP BY ALL"),
     "extractive_answers": (
         extractive_answers,
-        f"""WITH {SQL_INDEX.strip()}, {SQL_BEST.strip()}, piece AS (SELECT item_id, n, string_agg(s, ' ' ORDER BY at) || ' [' || n || ']' AS t FROM pick
+        f"""WITH {SQL_INDEX.strip()}, {SQL_BEST.strip()}, piece AS (SELECT item_id, n, concat(string_agg(s, ' ' ORDER BY seq), ' [', max(n), ']') AS t FROM pick
    WHERE (n = 1 AND place <= 3) OR (n = 2 AND place <= 2 AND EXISTS (SELECT 1 FROM lex a JOIN lex b USING (item_id)
-      WHERE a.item_id = pick.item_id AND a.rank = 1 AND b.rank = 2 AND round(b.score, 4) >= 0.5 * round(a.score, 4))) GROUP BY ALL)
+      WHERE a.item_id = pick.item_id AND a.rank = 1 AND b.rank = 2 AND round(b.score, 4) >= 0.5 * round(a.score, 4))) GROUP BY item_id, n)
 SELECT b.item_id AS query_id, coalesce(string_agg(t, ' ' ORDER BY n), {q(fixed.NO_PASSAGES_TEXT)}) AS answer FROM benchmark b LEFT JOIN piece USING (item_id) GROUP BY 1"""),
     "check_citations": (citations, """
 SELECT l_orderkey, l_linenumber, l_partkey, text, reason, reason IS NULL AS valid FROM (
