@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from heliofleet.plans import fleet_plans, ingest_plans, routing_plans, text_plans
+from heliofleet.plans import fleet_plans, ingest_plans, routing_plans, streaming_plans, text_plans
 
 REGISTERED = {
     **fleet_plans.REGISTERED,
     **ingest_plans.REGISTERED,
     **text_plans.REGISTERED,
     **routing_plans.REGISTERED,
+    **streaming_plans.REGISTERED,
 }

@@ -75,12 +75,22 @@ def split_fields(line: Column) -> Column:
 def read_text_reports(spark: SparkSession, path: str) -> DataFrame:
     """Plain-text reports. Files are splittable: a row's place is its block start and its order
     inside the block, so no task needs a whole file."""
-    lines = spark.read.text(path)
+    return numbered_rows(text_report_lines(spark.read.text(path), F.col("_metadata.file_name")))
+
+
+def text_report_lines(lines: DataFrame, file: Column) -> DataFrame:
+    """Lines (value) with their report and the start of the block they were read from."""
+    return lines.select(file.alias("file"), "value", F.col("_metadata.file_block_start").alias("block"))
+
+
+def numbered_rows(lines: DataFrame) -> DataFrame:
+    """Report rows of batch lines. A task reads fewer rows than a block has bytes, so twice the
+    block start plus the row's order in its task rises through a file."""
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return lines.select(
-        F.col("_metadata.file_name").alias("file"),
+        "file",
         F.lit("").alias("member"),
-        (F.col("_metadata.file_block_start") * 2
-         + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("line_no"),
+        (F.col("block") * 2 + in_task).alias("line_no"),
         split_fields(F.col("value")).alias("fields"),
         F.lit(None).cast("string").alias("error"),
     )
