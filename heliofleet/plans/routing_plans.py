@@ -172,3 +172,16 @@ REGISTERED = {
  (SELECT {sql_round('median(o_totalprice / 1000)', 1)} FROM orders) AS p50_ms,
  (SELECT {sql_round('list_sort(list(o_totalprice / 1000))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1]', 1)} FROM orders) AS p95_ms FROM verdict"""),
 }
+
+
+def answered(spark, sf) -> DataFrame:
+    """Every question answered over the bound fleet at a fixed instant."""
+    from heliofleet.operators import answers
+    from heliofleet.plans.fleet_plans import AS_OF
+    from heliofleet.plans.bindings import fleet
+    from heliofleet.plans.text_plans import index
+    out = answers.answer_batch(spark, questions(spark, sf), fleet(spark, sf), corpus(spark, sf), index(spark, sf), as_of=AS_OF)
+    return out.select("question_id", "question", "answer", "tool", "provider", "fallback_reason", F.size("sources").alias("n_sources"))
+
+
+REGISTERED["answer_questions"] = (answered, None)

@@ -56,3 +56,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder first")
         base = tempfile.mkdtemp(prefix="heliofleet-")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def staged(df, purpose: str):
+    """The same rows, written once to the shared folder and read back: later steps that use them
+    several times neither recompute them nor carry their plan, and a lost executor rereads files."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
