@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heliofleet import fixed
 from heliofleet.operators.asof import observations_on_grid, on_grid
@@ -13,22 +13,49 @@ PERFORMANCE_COLUMNS = (
 )
 
 
-def facility_output(readings: DataFrame, units: DataFrame) -> DataFrame:
-    """Units summed per facility and interval. Only units that reported add capacity."""
-    unit_facts = units.select("duid", "facility_code", "facility_name", "region", "capacity_mw")
+def _ranked(units: DataFrame) -> DataFrame:
+    """Units with the rank of their name and region among those of their facility."""
+    def rank(label):
+        return F.dense_rank().over(Window.partitionBy("facility_code").orderBy(label))
+    return units.select(
+        "duid", "facility_code", "facility_name", "region", "capacity_mw",
+        rank("facility_name").alias("_name"), rank("region").alias("_region"))
+
+
+def _summed(readings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """MW and capacity per facility and interval. A facility's name and region are the greatest
+    among the units that reported; they travel as small ranks, because a maximum of texts would
+    make Spark sort every reading to aggregate."""
     return (
         readings.select("duid", "interval_end", "mw")
-        .join(unit_facts, "duid")
+        .join(ranked.drop("facility_name", "region"), "duid")
         .groupBy("facility_code", "interval_end")
         .agg(
-            F.max("facility_name").alias("facility_name"),
-            F.max("region").alias("region"),
+            F.max("_name").alias("_name"),
+            F.max("_region").alias("_region"),
             F.sum("mw").alias("actual_mw"),
             F.sum("capacity_mw").alias("capacity_mw"),
         )
     )
 
 
+def _labelled(df: DataFrame, ranked: DataFrame) -> DataFrame:
+    names = ranked.groupBy("facility_code", "_name").agg(F.max("facility_name").alias("facility_name"))
+    regions = ranked.groupBy("facility_code", "_region").agg(F.max("region").alias("region"))
+    return (
+        df.join(names, ["facility_code", "_name"], "left")
+        .join(regions, ["facility_code", "_region"], "left")
+        .drop("_name", "_region")
+    )
+
+
+def facility_output(readings: DataFrame, units: DataFrame) -> DataFrame:
+    """Units summed per facility and interval. Only units that reported add capacity."""
+    ranked = _ranked(units)
+    return _labelled(_summed(readings, ranked), ranked).select(
+        "facility_code", "interval_end", "facility_name", "region", "actual_mw", "capacity_mw")
+
+
 def expected_mw(capacity: Column, ghi: Column, null_without_ghi: bool = False) -> Column:
     """Weather-expected MW. A missing irradiance counts as 0 here, because ``greatest`` skips
     NULLs; ``null_without_ghi`` gives NULL instead (the library rule)."""
@@ -91,10 +118,10 @@ def facility_performance(
     """The scored view, one row per facility and interval, 12 columns.
 
     Output, weather and dispatch are each aggregated to (facility, interval), so the two
-    big joins reuse that partitioning and add no exchange. Prices are five regions wide and
-    are left to the size-checked broadcast.
+    big joins reuse that partitioning and add no exchange. The registry and the prices of five
+    regions are small next to the readings and are left to Spark's size-checked broadcast.
     """
-    output = facility_output(readings, units)
+    ranked = _ranked(units)
     sun = observations_on_grid(
         weather, ["facility_code"], "observed_at", ["ghi_wm2"],
         "interval_end", interval_minutes, tolerance_minutes, match,
@@ -106,9 +133,9 @@ def facility_performance(
         on_grid(F.col("interval_end"), interval_minutes), F.col("ghi_wm2")
     ).otherwise(F.raise_error(F.lit("interval_end is off the interval grid: pass interval_minutes")).cast("double"))
     index = performance_index(F.col("actual_mw"), F.col("capacity_mw"), F.col("ghi_wm2"), min_ghi)
+    joined = _summed(readings, ranked).join(sun, keys, "left").join(curtailed, keys, "left")
     return (
-        output.join(sun, keys, "left")
-        .join(curtailed, keys, "left")
+        _labelled(joined, ranked)
         .join(price, ["region", "interval_end"], "left")
         .withColumn("ghi_wm2", ghi)
         .withColumn("expected_mw", expected_mw(F.col("capacity_mw"), F.col("ghi_wm2")))
