@@ -139,8 +139,10 @@ def prune_table(spark: SparkSession, path: str, days: int, now: datetime, time:
     table = spark.read.parquet(path)
     cut = F.lit(now) - F.make_dt_interval(days=F.lit(days))
     market_day = F.to_date(F.from_utc_timestamp(cut, fixed.NEM_OFFSET))
-    old = table.where(F.col("date") < market_day).select("date").distinct()
     keep_cut_day = table.where((F.col("date") == market_day) & (F.col(time) >= cut))
+    # A cut date with nothing left to keep goes as a whole: an empty overwrite would leave it.
+    gone = F.col("date") <= market_day if keep_cut_day.isEmpty() else F.col("date") < market_day
+    old = table.where(gone).select("date").distinct()
     keep_cut_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())

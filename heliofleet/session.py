@@ -29,17 +29,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int = 8, app: str = "heliofleet") -> SparkSession:
-    """A single-JVM session for tests and the bench."""
-    spark = (
+def local_session(cpus: int = 8, app: str = "heliofleet", **extra: str) -> SparkSession:
+    """A single-JVM session for tests and the bench; ``extra`` holds further settings."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for key, value in extra.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 

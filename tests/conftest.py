@@ -9,7 +9,8 @@ from heliofleet.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "heliofleet-tests")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(4, "heliofleet-tests", **{"spark.checkpoint.dir": shared})
     session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
