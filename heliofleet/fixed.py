@@ -86,6 +86,14 @@ SECRET_RULES = (
     ("sk_key", r"(?U)\bsk-[A-Za-z0-9_-]{16,}", "sk-***"),
 )
 
+# Lower-case literals without which a rule cannot match (any one of them).
+SECRET_LITERALS = {
+    "url_credentials": ("://",),
+    "key_value": ("api-key", "api_key", "apikey", "authorization", "password", "secret", "token"),
+    "bearer": ("bearer",),
+    "sk_key": ("sk-",),
+}
+
 # --- question routing --------------------------------------------------------------------
 MAX_QUESTION_CHARS = 500
 DEFAULT_HOURS = 24

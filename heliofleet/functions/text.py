@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from heliofleet import fixed
 
 # White space as Python's str.strip and \s see it.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapsed(text: Column) -> Column:
@@ -72,9 +76,15 @@ def sentences(text: Column) -> Column:
 
 
 def mask_secrets(df: DataFrame, text: str = "text") -> DataFrame:
-    """Secrets replaced rule by rule; ``hits_<rule>`` counts what each rule replaced."""
-    out = df
+    """Secrets replaced rule by rule; ``hits_<rule>`` counts what each rule replaced. A rule's
+    pattern only runs on texts that hold one of the literals it cannot match without."""
+    # Lower case with the long s folded, as a case-blind Unicode pattern sees letters. Looked at
+    # once: no replacement brings in a literal that a later rule needs.
+    out = df.withColumn("_plain", F.translate(F.lower(text), "\u017f", "s"))
     for name, pattern, replacement in fixed.SECRET_RULES:
-        out = (out.withColumn(f"hits_{name}", F.regexp_count(F.col(text), F.lit(pattern)))
-                  .withColumn(text, F.regexp_replace(text, pattern, replacement)))
-    return out
+        may = functools.reduce(operator.or_, [F.contains("_plain", F.lit(w)) for w in fixed.SECRET_LITERALS[name]])
+        out = (
+            out.withColumn("_may", may)
+            .withColumn(f"hits_{name}", F.when(F.col("_may"), F.regexp_count(F.col(text), F.lit(pattern))).otherwise(0))
+            .withColumn(text, F.when(F.col("_may"), F.regexp_replace(text, pattern, replacement)).otherwise(F.col(text))))
+    return out.drop("_may", "_plain")

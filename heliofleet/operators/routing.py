@@ -98,7 +98,7 @@ def route(questions: DataFrame, facilities: DataFrame, terms: DataFrame) -> Data
         .select(F.col("query_id").alias("question_id")).distinct().withColumn("_covered", F.lit(True))
     )
     q = F.lower("question")
-    region, live = F.col("region").isNotNull(), _says(q, fixed.LIVE_PATTERN)
+    region, live = F.col("region").isNotNull(), F.col("_live")
     # Rules in order; the first that holds names the tool.
     tool = (
         F.when(F.col("facility").isNotNull(), "facility_performance")
@@ -123,6 +123,7 @@ def route(questions: DataFrame, facilities: DataFrame, terms: DataFrame) -> Data
         extract_slots(questions)
         .join(match_facility(questions, facilities), "question_id", "left")
         .join(covered, "question_id", "left")
+        .withColumn("_live", _says(q, fixed.LIVE_PATTERN))
         .withColumn("tool", tool).withColumn("args", by_tool)
         .select("question_id", "question", "tool", "args")
     )
