@@ -37,24 +37,19 @@ def upsert_table(
     Dynamic partition overwrite stages its files and swaps them at commit, so a lost executor or
     a repeated batch leaves the same table.
     """
-    # Written once per attempt: the fresh rows feed the touched dates, the anti join and the output.
     columns = [f.name for f in batch.schema.fields if f.name not in order or f.name in keys]
     fresh = latest_per_key(batch, keys, order).select(*columns)
     out = fresh
     if _exists(spark, path):
-        target = spark.read.schema(fresh.schema).parquet(path)
-        touched = fresh.select(partition).distinct()
-        kept = target.join(F.broadcast(touched) if _is_date(fresh, partition) else touched, partition, "left_semi")
+        # The dates a batch touches are few (days of the calendar). Listing them turns the read of
+        # the target into a static partition filter; no other date is opened.
+        touched = [row[0] for row in batch.select(partition).distinct().toLocalIterator()]
+        kept = spark.read.schema(fresh.schema).parquet(path).where(F.col(partition).isin(touched))
         out = kept.join(fresh.select(*keys), list(keys), "left_anti").select(*columns).unionByName(fresh)
     (out.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path))
 
 
-def _is_date(df: DataFrame, column: str) -> bool:
-    """Distinct calendar dates of a batch are bounded by the calendar, so they may be broadcast."""
-    return df.schema[column].dataType.typeName() == "date"
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from heliofleet.functions.columns import rounded
-from heliofleet.operators.fleet import Fleet
+from heliofleet.operators.fleet import Fleet, minutes
 from heliofleet.operators.ingest import latest_per_key
 
 
@@ -19,7 +19,9 @@ def touched_pairs(dispatch_batch: DataFrame, units: DataFrame) -> DataFrame:
 
 def rescore(fleet: Fleet, touched: DataFrame) -> DataFrame:
     """The scored view of the touched pairs only. Rows a day late are normal, so nothing is dropped
-    by a watermark."""
+    by a watermark. The tables are first cut to the touched time range, which prunes their dates."""
+    first, last = touched.agg(F.min("interval_end")).scalar(), touched.agg(F.max("interval_end")).scalar()
+    fleet = fleet.slice(first - minutes(1), last)
     duids = fleet.units.select("duid", "facility_code")
     units_touched = touched.join(duids, "facility_code").select("duid", "interval_end")
     times = touched.select("interval_end").distinct()
