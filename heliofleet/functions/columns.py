@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from heliofleet import fixed
@@ -35,8 +37,9 @@ def energy_mwh(mw_total: Column, interval_minutes: int) -> Column:
     return mw_total * interval_minutes / 60
 
 
-def any_of(column: Column, values) -> Column:
-    return column.isin(*values)
+def instant(at: datetime) -> Column:
+    """A literal instant; a datetime without a zone is UTC, whatever the driver's own zone."""
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=timezone.utc))
 
 
 def scalar(df: DataFrame) -> Column:

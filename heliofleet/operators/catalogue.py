@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heliofleet import fixed
-from heliofleet.functions.columns import energy_mwh, rounded, scalar
+from heliofleet.functions.columns import energy_mwh, instant, rounded, scalar
 from heliofleet.operators.fleet import Fleet, between, hours
 from heliofleet.operators.scoring import held_back_mw
 
@@ -29,12 +29,12 @@ def latest_interval(readings: DataFrame) -> DataFrame:
 
 def _anchor(fleet: Fleet, as_of: datetime | None) -> Column:
     if as_of is not None:
-        return F.lit(as_of)
+        return instant(as_of)
     return scalar(latest_interval(fleet.readings))
 
 
 def _upto(as_of: datetime | None) -> Column | None:
-    return None if as_of is None else F.lit(as_of)
+    return None if as_of is None else instant(as_of)
 
 
 def trailing(fleet: Fleet, n_hours: int, as_of: datetime | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from heliofleet import fixed
+from heliofleet.functions.columns import instant
 
 
 def latest_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -132,7 +133,7 @@ def prune_table(spark: SparkSession, path: str, days: int, now: datetime, time:
     """Apply retention to a date-partitioned table: whole old dates are emptied, the cut date is
     rewritten, newer dates are not read."""
     table = spark.read.parquet(path)
-    cut = F.lit(now) - F.make_dt_interval(days=F.lit(days))
+    cut = instant(now) - F.make_dt_interval(days=F.lit(days))
     market_day = F.to_date(F.from_utc_timestamp(cut, fixed.NEM_OFFSET))
     keep_cut_day = table.where((F.col("date") == market_day) & (F.col(time) >= cut))
     # A cut date with nothing left to keep goes as a whole: an empty overwrite would leave it.

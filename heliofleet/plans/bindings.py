@@ -16,7 +16,7 @@ TOLERANCE = 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> Fleet:
-    configure(spark)
     ev = events(spark, sf_dir)
     region = table(spark, sf_dir, "region")
     farm = F.col("user_id") % 10

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from heliofleet import fixed
-from heliofleet.functions.columns import as_naive, rounded
+from heliofleet.functions.columns import as_naive, instant, rounded
 from heliofleet.operators import catalogue, scoring
 from heliofleet.operators.asof import nearest_in_time, observations_on_grid
 from heliofleet.plans.bindings import GRAIN, TOLERANCE, events, fleet, fleet_sql, sql_round, table
@@ -145,7 +145,7 @@ def usage_by_model(spark, sf):
 def freshness_by_unit(spark, sf):
     f = fleet(spark, sf)
     latest = f.readings.groupBy("duid").agg(F.max("interval_end").alias("latest_interval"))
-    return catalogue.freshness(latest, F.lit(NOW))
+    return catalogue.freshness(latest, instant(NOW))
 
 
 def find_texts(spark, sf):

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from heliofleet import fixed
-from heliofleet.functions.columns import as_naive, rounded
+from heliofleet.functions.columns import as_naive, instant
 from heliofleet.operators import ingest, quality
 from heliofleet.plans.bindings import events, fleet, fleet_sql, ledger_of, table
 from heliofleet.sources import payloads, reports
@@ -71,7 +71,6 @@ FILE_SQL = "concat('PUBLIC_DISPATCHSCADA_', strftime(interval_end, '%Y%m%d%H%M')
 def prices_from_reports(spark, sf):
     f = fleet(spark, sf)
     header = F.lit("I,DISPATCH,PRICE,5,SETTLEMENTDATE,RUNNO,REGIONID,DISPATCHINTERVAL,INTERVENTION,RRP")
-    place = F.dense_rank
     rows = f.prices.withColumn("file", _file("DISPATCHIS"))
     heads = rows.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("line_no"), header.alias("line"))
     flag = F.when(F.col("region") == "ASIA", "1").otherwise("0")
@@ -152,7 +151,7 @@ def hourly_weather(spark, sf):
         F.slice(F.transform("h", lambda x: F.when(x["event_id"] % 2 == 0, x["value"])), F.lit(1), n).alias("cloud_cover"))
     payload = rows.select(F.concat(F.lit("P"), "user_id").alias("facility_code"),
                           F.to_json(F.struct(hourly.alias("hourly")), {"ignoreNullFields": "false"}).alias("payload"))
-    return payloads.flatten_hourly_weather(payload, F.lit(datetime(2024, 1, 20, 6, 30)))
+    return payloads.flatten_hourly_weather(payload, instant(datetime(2024, 1, 20, 6, 30)))
 
 
 def current_weather(spark, sf):
@@ -256,7 +255,7 @@ def prune_counts(spark, sf):
     f = fleet(spark, sf)
     return ingest.prune_counts({
         "readings": (f.readings, "interval_end"), "weather": (f.weather, "observed_at"), "prices": (f.prices, "interval_end"),
-        "dispatch": (f.dispatch, "interval_end"), "ledger": (f.ledger, "interval_end")}, 20, F.lit(NOW))
+        "dispatch": (f.dispatch, "interval_end"), "ledger": (f.ledger, "interval_end")}, 20, instant(NOW))
 
 
 def calls(spark, sf):
@@ -389,7 +388,7 @@ UNION ALL SELECT 'prices', count(*) FILTER (interval_end < {NOW_SQL} - INTERVAL
 UNION ALL SELECT 'dispatch', count(*) FILTER (interval_end < {NOW_SQL} - INTERVAL 20 DAY) FROM dispatch
 UNION ALL SELECT 'ledger', count(*) FILTER (interval_end < {NOW_SQL} - INTERVAL 20 DAY) FROM ledger""")),
     "pruned_readings": (
-        lambda s, d: as_naive(ingest.prune(fleet(s, d).readings, "interval_end", 20, F.lit(NOW)).select("duid", "interval_end", "mw")),
+        lambda s, d: as_naive(ingest.prune(fleet(s, d).readings, "interval_end", 20, instant(NOW)).select("duid", "interval_end", "mw")),
         fleet_sql(f"SELECT duid, interval_end, mw FROM readings WHERE NOT interval_end < {NOW_SQL} - INTERVAL 20 DAY")),
     "validate_calls": (validated, VALIDATED_SQL),
 }
