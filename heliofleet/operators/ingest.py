@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from heliofleet import fixed
 from heliofleet.functions.columns import instant
@@ -40,21 +41,23 @@ def upsert_table(
     """
     columns = [f.name for f in batch.schema.fields if f.name not in order or f.name in keys]
     fresh = latest_per_key(batch, keys, order).select(*columns)
-    out = fresh
-    if _exists(spark, path):
-        # The dates a batch touches are few (days of the calendar). Listing them turns the read of
-        # the target into a static partition filter; no other date is opened.
-        touched = [row[0] for row in batch.select(partition).distinct().toLocalIterator()]
-        kept = spark.read.schema(fresh.schema).parquet(path).where(F.col(partition).isin(touched))
-        out = kept.join(fresh.select(*keys), list(keys), "left_anti").select(*columns).unionByName(fresh)
+    # The dates a batch touches are few (days of the calendar). Listing them turns the read of the
+    # target into a static partition filter; no other date is opened.
+    touched = [row[0] for row in batch.select(partition).distinct().toLocalIterator()]
+    kept = table_or_empty(spark, path, fresh.schema).where(F.col(partition).isin(touched))
+    out = kept.join(fresh.select(*keys), list(keys), "left_anti").select(*columns).unionByName(fresh)
     (out.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition).parquet(path))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def table_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table, or no rows of its schema where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def keep_known(readings: DataFrame, units: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def _unzip(tables: tuple[tuple[str, str], ...]):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 name = path.rsplit("/", 1)[-1]
-                held: list[tuple] = []
+                # A file without wanted rows still shows up, to be recorded as read.
+                held: list[tuple] = [(name, None, -1, [], None)]
                 try:
                     for member, line_no, fields in rows(content):
                         held.append((name, member, line_no, fields, None))

@@ -6,6 +6,7 @@ batch that is delivered again, after a lost executor or a restart, leaves the sa
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,15 +18,57 @@ from heliofleet.operators import ingest
 from heliofleet.sources import reports
 
 
+@dataclass(frozen=True)
+class ReportKind:
+    """One of the three reports: its section, file names, target table and how rows are read.
+
+    ``read(records, units)`` gives (all parsed rows, rows to keep); a row may carry an ``error``
+    that fails its file.
+    """
+
+    name: str
+    section: tuple[str, str]
+    files: str
+    max_files: int
+    keys: tuple[str, ...]
+    read: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def _scada(records: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = reports.scada_readings(records)
+    return rows, ingest.keep_known(rows, units)
+
+
+def _prices(records: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = reports.region_prices(records, on_bad_date="report")
+    return rows, rows
+
+
+def _dispatch(records: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = reports.unit_dispatch(records, units, on_bad_date="report")
+    return rows, rows
+
+
+SCADA = ReportKind("readings", fixed.SCADA_TABLE, fixed.SCADA_FILE, fixed.MAX_SCADA_FILES, ("duid", "interval_end"), _scada)
+PRICES = ReportKind("prices", fixed.PRICE_TABLE, fixed.PRICE_FILE, fixed.MAX_PRICE_FILES, ("region", "interval_end"), _prices)
+NEXT_DAY = ReportKind("dispatch", fixed.UNIT_SOLUTION_TABLE, fixed.NEXT_DAY_FILE, fixed.MAX_NEXT_DAY_FILES, ("duid", "interval_end"), _dispatch)
+
+
 @dataclass(frozen=True)
 class Store:
-    """Folders of the ingest tables under one shared root."""
+    """Folders of the ingest tables under one shared root. The ledger serves all report kinds."""
 
     root: str
 
+    def table(self, kind: ReportKind) -> str:
+        return f"{self.root}/{kind.name}"
+
+    def staging(self, kind: ReportKind) -> str:
+        return f"{self.root}/staging/{kind.name}"
+
     @property
     def readings(self) -> str:
-        return f"{self.root}/readings"
+        return self.table(SCADA)
 
     @property
     def ledger(self) -> str:
@@ -35,10 +78,6 @@ class Store:
     def failures(self) -> str:
         return f"{self.root}/failures"
 
-    @property
-    def staging(self) -> str:
-        return f"{self.root}/staging"
-
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -48,18 +87,12 @@ LEDGER_SCHEMA = "file_name string, interval_end timestamp, rows_total int, rows_
 FAILURE_SCHEMA = "file string, error string, batch string"
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    if ingest._exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
 def ledger(spark: SparkSession, store: Store) -> DataFrame:
-    return _table(spark, store.ledger, LEDGER_SCHEMA)
+    return ingest.table_or_empty(spark, store.ledger, LEDGER_SCHEMA)
 
 
 def failures(spark: SparkSession, store: Store) -> DataFrame:
-    return _table(spark, store.failures, FAILURE_SCHEMA)
+    return ingest.table_or_empty(spark, store.failures, FAILURE_SCHEMA)
 
 
 def outcomes(spark: SparkSession, store: Store, max_attempts: int = fixed.MAX_INGEST_ATTEMPTS) -> DataFrame:
@@ -71,40 +104,60 @@ def outcomes(spark: SparkSession, store: Store, max_attempts: int = fixed.MAX_IN
     return tried.join(done, "file", "left").select("file", "attempts", "error", state.alias("outcome"))
 
 
-def ingest_batch(rows: DataFrame, batch: str, units: DataFrame, store: Store, file_pattern: str = fixed.SCADA_FILE) -> None:
-    """One batch of report rows (see ``ROWS_SCHEMA``) into readings, ledger and failures.
+def ingest_batch(rows: DataFrame, batch: str, units: DataFrame, store: Store, kind: ReportKind = SCADA) -> None:
+    """One batch of report rows (see ``ROWS_SCHEMA``) into the kind's table, ledger and failures.
 
-    A file with an error is reported alone; the other files of the batch commit.
+    A file with an error is reported alone; the other files of the batch commit. Files in the
+    ledger under another batch are skipped.
     """
     spark = rows.sparkSession
-    ingest.require_units(units)
+    if kind is not PRICES:
+        ingest.require_units(units)
     # Parsed once, then read back by every step below.
-    stage = f"{store.staging}/rows"
-    rows.write.mode("overwrite").parquet(stage)
-    staged = spark.read.schema(rows.schema).parquet(stage)
-
-    before = ledger(spark, store).where(F.col("batch") != batch).select(F.col("file_name").alias("file"))
-    bad = staged.where("error is not null").groupBy("file").agg(F.min("error").alias("error"))
-    named = reports.file_interval(staged.select("file").distinct(), file_pattern, "file", on_bad_name="null")
+    rows.write.mode("overwrite").parquet(store.staging(kind))
+    staged = spark.read.schema(rows.schema).parquet(store.staging(kind))
+    parsed, kept = kind.read(reports.report_records(staged, kind.section), units)
+
+    broken = staged.where("error is not null").select("file", "error")
+    if "error" in parsed.columns:
+        broken = broken.unionByName(parsed.where("error is not null").select("file", "error"))
+    named = reports.file_interval(staged.select("file").distinct(), kind.files, "file", on_bad_name="null")
     misnamed = named.where("interval_end is null").select("file", F.lit("not a report file name").alias("error"))
-    failed = bad.unionByName(misnamed).groupBy("file").agg(F.min("error").alias("error"))
+    failed = broken.unionByName(misnamed).groupBy("file").agg(F.min("error").alias("error"))
+    before = ledger(spark, store).where(F.col("batch") != batch).select(F.col("file_name").alias("file"))
     good = named.join(failed, "file", "left_anti").join(before, "file", "left_anti")
 
-    parsed = reports.scada_readings(reports.report_records(staged, fixed.SCADA_TABLE)).join(good.select("file"), "file", "left_semi")
-    known = ingest.keep_known(parsed, units)
-    place = ["file", "member", "line_no"]
+    new = kept.join(good.select("file"), "file", "left_semi").drop("error")
     ingest.upsert_table(
-        spark, store.readings, known.withColumn("date", nem_date(F.col("interval_end"))),
-        ["duid", "interval_end", "date"], place)
-
-    counts = ingest.ingest_counts(parsed, units, spark.createDataFrame([], "file_name string"))
-    entry = good.join(counts, "file", "left").select(
-        F.col("file").alias("file_name"), "interval_end", F.coalesce("rows_total", F.lit(0)).alias("rows_total"),
-        F.coalesce("rows_solar", F.lit(0)).alias("rows_solar"), F.lit(batch).alias("batch"))
+        spark, store.table(kind), new.withColumn("date", nem_date(F.col("interval_end"))),
+        [*kind.keys, "date"], ["file", "member", "line_no"])
+
+    def per_file(df, name):
+        return df.groupBy("file").agg(F.count(F.lit(1)).cast("int").alias(name))
+    entry = (
+        good.join(per_file(parsed, "rows_total"), "file", "left").join(per_file(kept, "rows_solar"), "file", "left")
+        .select(F.col("file").alias("file_name"), "interval_end", F.coalesce("rows_total", F.lit(0)).alias("rows_total"),
+                F.coalesce("rows_solar", F.lit(0)).alias("rows_solar"), F.lit(batch).alias("batch")))
     for out, path in ((entry, store.ledger), (failed.withColumn("batch", F.lit(batch)), store.failures)):
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
 
+def sync_files(
+    spark: SparkSession, source: str, listing: DataFrame, units: DataFrame, store: Store, batch: str, kind: ReportKind
+) -> DataFrame:
+    """Load the newest listed files (name) of a kind that the ledger lacks; rows stored per file.
+
+    At most ``kind.max_files`` names, a fixed small number, pass through the driver.
+    """
+    todo = ingest.pending_files(listing, ledger(spark, store), kind.max_files)
+    names = [row["name"] for row in todo.toLocalIterator()]
+    label = f"{kind.name}-{batch}"
+    if names:
+        files = spark.read.format("binaryFile").load([f"{source}/{name}" for name in names])
+        ingest_batch(reports.zipped_report_rows(files, (kind.section,)), label, units, store, kind)
+    return ledger(spark, store).where(F.col("batch") == label).select(F.col("file_name").alias("file"), F.col("rows_solar").alias("stored"))
+
+
 def start_zip_ingest(
     spark: SparkSession, source: str, units: DataFrame, store: Store,
     max_files: int = fixed.MAX_SCADA_FILES, trigger: dict | None = None,
@@ -114,7 +167,7 @@ def start_zip_ingest(
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", "*.[zZ][iI][pP]").option("maxFilesPerTrigger", max_files).load(source))
-    rows = reports.zipped_report_rows(files, (fixed.SCADA_TABLE,))
+    rows = reports.zipped_report_rows(files, (SCADA.section,))
     return _start(rows, units, store, trigger)
 
 
@@ -144,7 +197,7 @@ def retry_failed(
     names = [row["file"] for row in todo.select("file").toLocalIterator()]
     if names:
         files = spark.read.format("binaryFile").load([f"{source}/{name}" for name in names])
-        ingest_batch(reports.zipped_report_rows(files, (fixed.SCADA_TABLE,)), f"retry-{batch}", units, store)
+        ingest_batch(reports.zipped_report_rows(files, (SCADA.section,)), f"retry-{batch}", units, store)
 
 
 def first_sightings(readings: DataFrame, delay: str = "1 day", keys: tuple[str, ...] = ("duid", "interval_end"), time: str = "interval_end") -> DataFrame:

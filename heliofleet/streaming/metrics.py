@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from heliofleet import fixed
 from heliofleet.operators.evaluation import rank_percentiles
+from heliofleet.operators.ingest import latest_per_key
 
 
 def _period(minutes: int):
@@ -42,20 +46,22 @@ def counts_by_reason(events: DataFrame, minutes: int) -> DataFrame:
 
 def alarms(
     metrics: DataFrame, minutes: int, threshold: float, periods: int = 1, stat: str = "max",
-    inclusive: bool = False, missing_breaches: bool = False,
+    inclusive: bool = False, missing_breaches: bool = False, starts: DataFrame | None = None,
 ) -> DataFrame:
     """State per series and period of (series, ts, value).
 
     A period breaches when its statistic is above the threshold (at or above it if ``inclusive``);
     an empty period breaches only if ``missing_breaches``. The alarm holds once ``periods`` in a row
     breach. Rows are reduced to one per period before any ordering, and the spine runs from a
-    series' first period to the newest period of all.
+    series' first period (or from ``starts`` (series, start)) to the newest period of all.
     """
     aggregate = {"max": F.max, "sum": F.sum}[stat]("value")
     sums = metrics.groupBy("series", _period(minutes).alias("period")).agg(aggregate.alias("value"))
     newest = sums.agg(F.max("period")).scalar()
-    spine = sums.groupBy("series").agg(F.min("period").alias("_from")).select(
-        "series", F.explode(F.sequence("_from", newest, F.make_dt_interval(mins=F.lit(minutes)))).alias("period"))
+    if starts is None:
+        starts = sums.groupBy("series").agg(F.min("period").alias("start"))
+    spine = starts.where(F.col("start") <= newest).select(
+        "series", F.explode(F.sequence("start", newest, F.make_dt_interval(mins=F.lit(minutes)))).alias("period"))
     breach = F.col("value") >= threshold if inclusive else F.col("value") > threshold
     recent = Window.partitionBy("series").orderBy("period").rowsBetween(1 - periods, 0)
     return (
@@ -65,6 +71,42 @@ def alarms(
     )
 
 
+def start_alarms(
+    metrics: DataFrame, path: str, checkpoint: str, trigger: dict, minutes: int, threshold: float,
+    periods: int = 1, stat: str = "max", watermark: str = "1 day", **rule,
+) -> StreamingQuery:
+    """Alarms kept current over a stream of (series, ts, value).
+
+    The stream keeps one statistic per series and period; each batch logs the periods it changed
+    under their day and re-evaluates ``<path>/alarms`` from the first day it touched to the day
+    after the last. A repeated batch replaces what it wrote. The periods of a rule must fit a day.
+    """
+    aggregate = {"max": F.max, "sum": F.sum}[stat]("value")
+    stats = (
+        metrics.withWatermark("ts", watermark)
+        .groupBy("series", F.window("ts", f"{minutes} minutes").alias("w")).agg(aggregate.alias("value"))
+        .select("series", F.col("w.start").alias("ts"), "value", F.to_date("w.start").alias("day")))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        (batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(f"{path}/stats"))
+        days = sorted(row["day"] for row in batch.select("day").distinct().toLocalIterator())  # calendar days
+        if not days:
+            return
+        first, last = days[0], days[-1] + timedelta(days=1)
+        log = spark.read.schema("series string, ts timestamp, value double, batch int, day date").parquet(f"{path}/stats")
+        # One day of lookback; a series that has gone quiet keeps its place in the spine.
+        lookback = F.lit(first - timedelta(days=1))
+        latest = latest_per_key(log.where(F.col("day").between(lookback, F.lit(last))), ["series", "ts"], ["batch"])
+        starts = log.groupBy("series").agg(F.greatest(F.min("ts"), lookback.cast("timestamp")).alias("start"))
+        state = alarms(latest.select("series", "ts", "value"), minutes, threshold, periods, "max", starts=starts, **rule)
+        (state.withColumn("day", F.to_date("period")).where(F.col("day") >= F.lit(first))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/alarms"))
+
+    return stats.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def stale_data_alarm(lags: DataFrame) -> DataFrame:
     """Lag above 45 minutes, or none reported, in two 15-minute periods running."""
     return alarms(lags, 15, fixed.STALE_MINUTES, periods=2, missing_breaches=True)

@@ -137,6 +137,7 @@ def test_stream_ingest_of_archives(spark, tmp_path):
     four = [(STAMP, "TESTSF1", 40.0), (STAMP, "TESTSF2", 20.0), (STAMP, "OTHERSF1", 150.0), (STAMP, "COALPS1", 500.0)]
     (source / SCADA).write_bytes(archive(scada_lines(four)))
     (source / NEXT).write_bytes(b"not a zip")
+    (source / NEXT.replace("1205", "1210")).write_bytes(archive(["I,DISPATCH,OTHER,1,DUID"]))
     (source / "odd.zip").write_bytes(archive(scada_lines(four)))
 
     def run():
@@ -145,13 +146,14 @@ def test_stream_ingest_of_archives(spark, tmp_path):
     run()
     want = [("OTHERSF1", AT, 150.0), ("TESTSF1", AT, 40.0), ("TESTSF2", AT, 20.0)]
     assert rows(spark.read.parquet(store.readings), "duid", "interval_end", "mw") == want
-    assert rows(stream.ledger(spark, store), "file_name", "interval_end", "rows_total", "rows_solar") == [(SCADA, AT, 4, 3)]
+    assert rows(stream.ledger(spark, store), "file_name", "interval_end", "rows_total", "rows_solar") == [
+        (SCADA, AT, 4, 3), (NEXT.replace("1205", "1210"), AT + dt.timedelta(minutes=10), 0, 0)]
     assert [(r["file"], r["attempts"], r["outcome"]) for r in stream.outcomes(spark, store).orderBy("file").collect()] == [
         (NEXT, 1, "retry"), ("odd.zip", 1, "retry")]
     # The same batch again, under its own and under another id: nothing changes.
     again = reports.zipped_report_rows(files(spark, {SCADA: archive(scada_lines([(STAMP, "TESTSF1", 99.0)]))}), (fixed.SCADA_TABLE,))
     stream.ingest_batch(again, "later", units(spark), store)
-    assert rows(spark.read.parquet(store.readings), "duid", "interval_end", "mw") == want and stream.ledger(spark, store).count() == 1
+    assert rows(spark.read.parquet(store.readings), "duid", "interval_end", "mw") == want and stream.ledger(spark, store).count() == 2
     # The broken file is published again in good shape and a retry takes it.
     (source / NEXT).write_bytes(archive(scada_lines([("2026/09/25 12:05:00", "TESTSF1", 41.0)])))
     stream.retry_failed(spark, str(source), units(spark), store, "1")
@@ -161,6 +163,30 @@ def test_stream_ingest_of_archives(spark, tmp_path):
     assert rows(spark.read.parquet(store.readings), "duid", "mw") == [("TESTSF1", 41.0)]
 
 
+def test_price_and_dispatch_sync(spark, tmp_path):
+    source, store = tmp_path / "in", stream.Store(str(tmp_path / "store"))
+    source.mkdir()
+    names = [f"PUBLIC_DISPATCHIS_20260925120{i}_000000000000000{i}.zip" for i in range(3)]
+    for i, name in enumerate(names):
+        (source / name).write_bytes(archive(price_lines(-40.5 + i, stamp=STAMP if i != 1 else "soon")))
+    listing = spark.createDataFrame([(n,) for n in names], "name string")
+    got = stream.sync_files(spark, str(source), listing, units(spark).limit(0), store, "1", stream.PRICES)
+    assert rows(got) == [(names[0], 1), (names[2], 1)]
+    assert rows(spark.read.parquet(store.table(stream.PRICES)), "region", "interval_end", "rrp") == [("NSW1", AT, -38.5)]  # last file wins
+    assert rows(stream.outcomes(spark, store), "file", "error", "outcome") == [(names[1], f"bad settlement date in {names[1]}", "retry")]
+    day = "PUBLIC_NEXT_DAY_DISPATCH_20260925_0000000000000003.zip"
+    (source / day).write_bytes(archive([
+        "I,DISPATCH,UNIT_SOLUTION,5,SETTLEMENTDATE,DUID,INTERVENTION,TOTALCLEARED,AVAILABILITY,SEMIDISPATCHCAP,UIGF",
+        f'D,DISPATCH,UNIT_SOLUTION,5,"{STAMP}",OTHERSF1,0,32,160,1,160', f'D,DISPATCH,UNIT_SOLUTION,5,"{STAMP}",COALPS1,0,500,500,0,']))
+    days = spark.createDataFrame([(day,)], "name string")
+    for again in ("1", "2"):
+        loaded = stream.sync_files(spark, str(source), days, units(spark), store, again, stream.NEXT_DAY)
+        assert rows(loaded) == ([(day, 1)] if again == "1" else [])
+    assert spark.read.parquet(store.table(stream.NEXT_DAY)).count() == 1
+    with pytest.raises(RuntimeError, match="registry is empty"):
+        stream.sync_files(spark, str(source), days, units(spark).limit(0), stream.Store(str(tmp_path / "other")), "1", stream.NEXT_DAY)
+
+
 def test_empty_registry_is_refused(spark, tmp_path):
     empty = reports.zipped_report_rows(files(spark, {SCADA: archive(scada_lines([]))}), (fixed.SCADA_TABLE,))
     with pytest.raises(RuntimeError, match="registry is empty"):

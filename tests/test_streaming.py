@@ -57,3 +57,15 @@ def test_rollups(spark):
     assert got == [(3, 14.0, 10.0, 3.0, 3.0), (1, 4.0, 4.0, 4.0, 4.0)]
     why = spark.createDataFrame([(T0, "Timeout"), (T0, "Timeout"), (T0, None)], "ts timestamp, reason string")
     assert rows(metrics.counts_by_reason(why, 5), "reason", "n") == [("Timeout", 2)]
+
+
+def test_streamed_alarms_equal_batch(spark, tmp_path):
+    rows_ = [lag(15 * i + j, 30 + (i * 7 + j) % 31, series) for series in ("a", "b") for i in range(150) for j in (0, 4) if i % 11 and not (series == "b" and i > 60)]
+    df = spark.createDataFrame(rows_, "series string, ts timestamp, value double").orderBy("ts")
+    for i in range(3):
+        df.where(F.expr(f"hour(ts) % 3 = {i}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    metrics.start_alarms(stream, str(tmp_path / "out"), str(tmp_path / "cp"), {"availableNow": True}, 15, 45, periods=2,
+                         watermark="10 days", missing_breaches=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "alarms"))
+    assert rows(got, "series", "period", "breaching", "alarm") == rows(metrics.stale_data_alarm(df), "series", "period", "breaching", "alarm")
