@@ -88,6 +88,15 @@ def require_units(units: DataFrame) -> None:
         raise RuntimeError("the unit registry is empty: load it before ingesting")
 
 
+def sync_registry(units: DataFrame, fetched: DataFrame, now: datetime) -> DataFrame:
+    """The registry with freshly fetched units written over it and stamped. An empty fetch is
+    refused: it means the source failed, not that every farm closed."""
+    if fetched.isEmpty():
+        raise RuntimeError("the registry source returned no units")
+    stamped = fetched.withColumn("updated_at", instant(now)).withColumn("_seq", F.lit(0))
+    return upsert(units, stamped, ["duid"], ["_seq"])
+
+
 def ingest_counts(readings: DataFrame, units: DataFrame, ledger: DataFrame) -> DataFrame:
     """Per new file: rows parsed and rows of known units. Files in the ledger are skipped."""
     new = readings.join(ledger.select(F.col("file_name").alias("file")), "file", "left_anti")

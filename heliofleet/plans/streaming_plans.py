@@ -47,7 +47,7 @@ def stream_ingest_ledger(spark, sf) -> DataFrame:
     store = stream_ingest.Store(f"{root}/store")
     daily_reports(f, f"{root}/reports")
     _finish(stream_ingest.start_text_ingest(spark, f"{root}/reports", f.units.where("capacity_mw > 100"), store, 20, NOW_TRIGGER))
-    return stream_ingest.ledger(spark, store).drop("batch")
+    return stream_ingest.ledger(spark, store).drop("batch", "ingested_at")
 
 
 def event_stream(spark, sf) -> DataFrame:

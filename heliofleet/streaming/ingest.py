@@ -83,7 +83,7 @@ class Store:
         return f"{self.root}/checkpoint"
 
 
-LEDGER_SCHEMA = "file_name string, interval_end timestamp, rows_total int, rows_solar int, batch string"
+LEDGER_SCHEMA = "file_name string, interval_end timestamp, rows_total int, rows_solar int, ingested_at timestamp, batch string"
 FAILURE_SCHEMA = "file string, error string, batch string"
 
 
@@ -137,7 +137,7 @@ def ingest_batch(rows: DataFrame, batch: str, units: DataFrame, store: Store, ki
     entry = (
         good.join(per_file(parsed, "rows_total"), "file", "left").join(per_file(kept, "rows_solar"), "file", "left")
         .select(F.col("file").alias("file_name"), "interval_end", F.coalesce("rows_total", F.lit(0)).alias("rows_total"),
-                F.coalesce("rows_solar", F.lit(0)).alias("rows_solar"), F.lit(batch).alias("batch")))
+                F.coalesce("rows_solar", F.lit(0)).alias("rows_solar"), F.current_timestamp().alias("ingested_at"), F.lit(batch).alias("batch")))
     for out, path in ((entry, store.ledger), (failed.withColumn("batch", F.lit(batch)), store.failures)):
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 

@@ -193,6 +193,14 @@ def test_empty_registry_is_refused(spark, tmp_path):
         stream.ingest_batch(empty, "0", units(spark).limit(0), stream.Store(str(tmp_path)))
 
 
+def test_registry_sync(spark):
+    fetched = units(spark).where("duid = 'TESTSF1'").drop("updated_at").withColumn("capacity_mw", F.lit(101.0))
+    got = ingest.sync_registry(units(spark), fetched, AT)
+    assert rows(got, "duid", "capacity_mw", "updated_at") == [("OTHERSF1", 200.0, None), ("TESTSF1", 101.0, AT), ("TESTSF2", 50.0, None)]
+    with pytest.raises(RuntimeError, match="no units"):
+        ingest.sync_registry(units(spark), fetched.limit(0), AT)
+
+
 def test_archive_uses_market_dates(spark, tmp_path):
     df = spark.createDataFrame([("a", dt.datetime(2026, 9, 25, 13, 55)), ("b", dt.datetime(2026, 9, 25, 14, 0))], "duid string, interval_end timestamp")
     payloads.archive_by_date(df, str(tmp_path / "raw"))
