@@ -92,14 +92,17 @@ def nearest_in_time(
     if direction not in ("nearest", "backward"):
         raise ValueError(f"unknown direction {direction!r}")
     step, reach = resolution_seconds * SECOND, tolerance_minutes * MINUTE
-    payload = F.struct(F.col("_at"), *[F.col(v) for v in values])
+    kept = ["_at", *values]
+
+    def end(side: str):
+        return F.struct(*[F.col(f"_{side}_{c}").alias(c) for c in kept])
 
     thinned = (
         observations.select(*on, *values, micros(F.col(observed)).alias("_at"))
         .withColumn("_step", F.col("_at") - F.pmod("_at", F.lit(step)))
         .groupBy(*on, "_step")
-        .agg(F.min_by(payload, "_at").alias("_lo"), F.max_by(payload, "_at").alias("_hi"))
-        .select(*on, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_obs"))
+        .agg(*[F.min_by(c, "_at").alias(f"_lo_{c}") for c in kept], *[F.max_by(c, "_at").alias(f"_hi_{c}") for c in kept])
+        .select(*on, F.explode(F.array_distinct(F.array(end("lo"), end("hi")))).alias("_obs"))
     )
     width = max(reach, step)
     home = F.expr(f"(_t - pmod(_t, {width})) div {width}")

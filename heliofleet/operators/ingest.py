@@ -14,13 +14,13 @@ from heliofleet.functions.columns import instant
 
 def latest_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``. A map-side combined aggregate, so a key that holds
-    a large share of the batch collapses before the shuffle."""
+    a large share of the batch collapses before the shuffle. All columns follow the same order
+    column by column, hence the same row; with one numeric order it is a hash aggregate."""
     values = [c for c in batch.columns if c not in keys]
     if not values:
         return batch.distinct()
     sequence = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    last = F.max_by(F.struct(*values), sequence).alias("_row")
-    return batch.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_row.{v}").alias(v) for v in values])
+    return batch.groupBy(*keys).agg(*[F.max_by(v, sequence).alias(v) for v in values])
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
