@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from heliofleet.llm.decontaminate import contained_items
 from heliofleet.llm.lm import score_texts
 from heliofleet.llm.minhash import near_duplicates
+from heliofleet.llm.packing import pack_documents
+from heliofleet.llm.quality import score_quality
+from heliofleet.llm.sharding import shard_by_bytes
 from heliofleet.llm.substring import remove_repeats
 from heliofleet.llm.tables import crc_mod
+from heliofleet.llm.toxicity import score_toxicity
 from heliofleet.session import configure
 
 
@@ -15,6 +20,52 @@ def _table(spark, sf_dir, name) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The word-end BPE vocabulary of the public tokenizers."""
+    import public_tokenizers
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_decontamination(spark, sf_dir) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=80)
+
+
+OP1_SQL = r"""
+with w as (
+    select doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+i as (
+    select item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark),
+ds as (
+    select distinct doc_id, unnest(list_transform(range(0, len(w) - 4), lambda k: array_to_string(w[k + 1:k + 5], ' '))) as s from w where len(w) >= 5),
+bs as (
+    select distinct item_id, unnest(list_transform(range(0, len(w) - 4), lambda k: array_to_string(w[k + 1:k + 5], ' '))) as s from i where len(w) >= 5),
+n as (select item_id, count(*) as n_shingles from bs group by 1)
+select doc_id, item_id, n_shingles, count(*) as n_shared, count(*) / n_shingles as containment
+from ds join bs using (s) join n using (item_id) group by doc_id, item_id, n_shingles
+having count(*) * 100 >= n_shingles * 80
+"""
+
+
+def op2_quality(spark, sf_dir) -> DataFrame:
+    def train(doc_id):
+        return crc_mod(doc_id, 3) != 1
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train)
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark, sf_dir) -> DataFrame:
+    def train(doc_id):
+        return crc_mod(doc_id, 4) != 2
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_byte_shards(spark, sf_dir) -> DataFrame:
+    return shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
+
+
 def op7_substring_dedup(spark, sf_dir) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=13).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -30,8 +81,17 @@ def op9_near_duplicates(spark, sf_dir) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op10_packing(spark, sf_dir) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
+
+
 REGISTERED = {
+    "op1_decontamination": (op1_decontamination, OP1_SQL),
+    "op2_quality": (op2_quality, None),
+    "op3_toxicity": (op3_toxicity, None),
+    "op5_byte_shards": (op5_byte_shards, None),
     "op7_substring_dedup": (op7_substring_dedup, None),
     "op8_lm_scores": (op8_lm_scores, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
+    "op10_packing": (op10_packing, None),
 }

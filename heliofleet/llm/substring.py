@@ -106,7 +106,7 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "keys": pa.array(packed, pa.binary())})
 
 
-def _factor(window: int):
+def _factor(window: int, carry: tuple):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         marks = [unpack(k, np.uint64, sorted_=True) ^ mix(np.array([d], np.int64).view(np.uint64))
                  for d, k in zip(found.column("doc_id").to_pylist(), found.column("keys").to_pylist())]
@@ -114,16 +114,19 @@ def _factor(window: int):
         outs = []
         for batch in docs.combine_chunks().to_batches():
             for block in blocks(batch, "text"):
-                outs.append(_factor_block(block, marks, window))
-        return pa.concat_tables(outs) if outs else _empty()
+                done = _factor_block(block, marks, window)
+                for name in carry:
+                    done = done.append_column(name, block.column(name))
+                outs.append(done)
+        return pa.concat_tables(outs) if outs else _empty(docs, carry)
     return run
 
 
-def _empty():
+def _empty(docs: pa.Table, carry: tuple):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()),
                      "n_removed": pa.array([], pa.int64()), "spans": pa.array([], span),
-                     "kept_text": pa.array([], pa.string())})
+                     "kept_text": pa.array([], pa.string()), **{c: pa.array([], docs.schema.field(c).type) for c in carry}})
 
 
 def _factor_block(block: pa.RecordBatch, marks: np.ndarray, window: int) -> pa.Table:
@@ -161,22 +164,25 @@ def _factor_block(block: pa.RecordBatch, marks: np.ndarray, window: int) -> pa.T
         "spans": pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), spans), "kept_text": text})
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13,
+                   carry: tuple = ()) -> DataFrame:
     """Words of every text that lie in a window which also starts in a document with a smaller id.
 
     One row per input row: ``doc_id, n_words, n_removed, spans`` (word positions of the removed
-    factors) and ``kept_text`` (the other words, joined by one space). Other columns are left out.
+    factors) and ``kept_text`` (the other words, joined by one space), then the columns named in
+    ``carry``; others are left out, and so may have any name.
     Null or empty texts have no words; texts under ``window`` words keep all of theirs. A row
     without an id keeps its words and is no reference. Rows that repeat an id are one document:
     they do not remove each other's words, and a window removed from one goes from all of them.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
     size = total_bytes(rows, "text")
     buckets = parts_for(size, BUCKET_BYTES)
     groups = parts_for(size, GROUP_BYTES)
-    found = (rows.where("doc_id is not null and text is not null")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    found = (rows.where("doc_id is not null and text is not null").select("doc_id", "text")
              .mapInArrow(_index_blocks(window, buckets), INDEX)
              .groupBy("bucket").applyInArrow(_meet, FOUND))
     left = rows.withColumn("grp", group_column("doc_id", groups))
     right = found.withColumn("grp", group_column("doc_id", groups))
-    return left.groupBy("grp").cogroup(right.groupBy("grp")).applyInArrow(_factor(window), RESULT)
+    return left.groupBy("grp").cogroup(right.groupBy("grp")).applyInArrow(_factor(window, tuple(carry)), RESULT + kinds)
