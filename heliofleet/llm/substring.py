@@ -18,13 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from heliofleet.llm.tables import GROUP_BYTES, group_column, parts_for, total_bytes
+from heliofleet.llm.tables import GROUP_BYTES, group_column, groups_of, parts_for, total_bytes
 from heliofleet.llm.words import (
     blocks, bucket_of, fingerprints, grams, inside, mix, pack, split_words, unpack)
 
 BUCKET_BYTES = 16 << 20  # text whose windows meet in one bucket
 INDEX = "bucket int, keys binary, docs binary, ids binary, settled boolean"
-FOUND = "doc_id long, keys binary"
+FOUND = "grp int, ids binary, keys binary"
 RESULT = ("doc_id long, n_words long, n_removed long, "
           "spans array<struct<start:long,end:long>>, kept_text string")
 
@@ -36,15 +36,6 @@ def _windows(texts, window):
     return words, at, keys
 
 
-def _by_doc(ids: np.ndarray, keys: np.ndarray):
-    """(id, packed sorted keys) of each document."""
-    order = np.lexsort((keys, ids))
-    ids, keys = ids[order], keys[order]
-    cuts = np.flatnonzero(np.diff(ids)) + 1
-    for part in np.split(np.arange(len(ids)), cuts) if len(ids) else []:
-        yield int(ids[part[0]]), pack(np.unique(keys[part]), sorted_=True)
-
-
 def _index_blocks(window: int, buckets: int):
     def run(batches):
         for batch in batches:
@@ -58,11 +49,11 @@ def _index_blocks(window: int, buckets: int):
                 least = owner[first][np.cumsum(first) - 1] if len(keys) else owner
                 out = {n: [] for n in ("bucket", "keys", "docs", "ids", "settled")}
                 later = owner > least
-                for doc, packed in _by_doc(owner[later], keys[later]):  # copies inside the block
-                    out["bucket"].append(doc % buckets)
-                    out["keys"].append(packed)
+                if later.any():  # copies inside the block
+                    out["bucket"].append(int(ids[0]) % buckets)
+                    out["keys"].append(pack(keys[later], sorted_=True))
                     out["docs"].append(b"")
-                    out["ids"].append(np.int64(doc).tobytes())
+                    out["ids"].append(pack(owner[later]))
                     out["settled"].append(True)
                 keys, owner = keys[first], owner[first]
                 to = bucket_of(keys, buckets)
@@ -83,33 +74,41 @@ def _index_blocks(window: int, buckets: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """One bucket of all blocks' indexes: windows that an earlier document has, by later document."""
-    doc_ids, packed, keys, owners = [], [], [], []
-    for k, d, i, settled in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "ids", "settled"))):
-        if settled:
-            doc_ids.append(int(np.frombuffer(i, np.int64)[0]))
-            packed.append(k)
-        else:
-            keys.append(unpack(k, np.uint64, sorted_=True))
-            owners.append(unpack(i, np.int64)[unpack(d, np.uint32)])
-    if keys:
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        least = np.repeat(np.minimum.reduceat(owners, heads), np.diff(np.append(heads, len(keys))))
-        later = owners > least
-        for doc, data in _by_doc(owners[later], keys[later]):
-            doc_ids.append(doc)
-            packed.append(data)
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "keys": pa.array(packed, pa.binary())})
+def _meet(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One bucket of all blocks' indexes: windows that an earlier document has, by group of the later ones."""
+        found_keys, found_ids, keys, owners = [], [], [], []
+        for k, d, i, settled in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "ids", "settled"))):
+            if settled:
+                found_keys.append(unpack(k, np.uint64, sorted_=True))
+                found_ids.append(unpack(i, np.int64))
+            else:
+                keys.append(unpack(k, np.uint64, sorted_=True))
+                owners.append(unpack(i, np.int64)[unpack(d, np.uint32)])
+        if keys:
+            keys, owners = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(keys, kind="stable")
+            keys, owners = keys[order], owners[order]
+            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            least = np.repeat(np.minimum.reduceat(owners, heads), np.diff(np.append(heads, len(keys))))
+            found_keys.append(keys[owners > least])
+            found_ids.append(owners[owners > least])
+        keys, ids = np.concatenate(found_keys), np.concatenate(found_ids)
+        to = groups_of(ids, groups)
+        order = np.lexsort((keys, to))
+        keys, ids, to = keys[order], ids[order], to[order]
+        used, starts = np.unique(to, return_index=True)
+        bounds = np.append(starts, len(to))
+        parts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        return pa.table({"grp": pa.array(used.astype(np.int32)), "ids": pa.array([pack(ids[lo:hi]) for lo, hi in parts], pa.binary()),
+                         "keys": pa.array([pack(keys[lo:hi], sorted_=True) for lo, hi in parts], pa.binary())})
+    return run
 
 
 def _factor(window: int, carry: tuple):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        marks = [unpack(k, np.uint64, sorted_=True) ^ mix(np.array([d], np.int64).view(np.uint64))
-                 for d, k in zip(found.column("doc_id").to_pylist(), found.column("keys").to_pylist())]
+        marks = [unpack(k, np.uint64, sorted_=True) ^ mix(unpack(i, np.int64).view(np.uint64))
+                 for i, k in zip(found.column("ids").to_pylist(), found.column("keys").to_pylist())]
         marks = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
         outs = []
         for batch in docs.combine_chunks().to_batches():
@@ -182,7 +181,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     found = (rows.where("doc_id is not null and text is not null").select("doc_id", "text")
              .mapInArrow(_index_blocks(window, buckets), INDEX)
-             .groupBy("bucket").applyInArrow(_meet, FOUND))
+             .groupBy("bucket").applyInArrow(_meet(groups), FOUND))
     left = rows.withColumn("grp", group_column("doc_id", groups))
-    right = found.withColumn("grp", group_column("doc_id", groups))
-    return left.groupBy("grp").cogroup(right.groupBy("grp")).applyInArrow(_factor(window, tuple(carry)), RESULT + kinds)
+    return left.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_factor(window, tuple(carry)), RESULT + kinds)

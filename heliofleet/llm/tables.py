@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from heliofleet.session import staged
@@ -26,7 +29,13 @@ def parts_for(size: int, each: int) -> int:
 def group_column(doc_id: str, groups: int) -> Column:
     """An even group number; rows without an id are spread too."""
     key = F.coalesce(F.col(doc_id).cast("long"), F.monotonically_increasing_id())
-    return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(groups)).cast("int")
+    return (F.crc32(key.cast("string")) % groups).cast("int")
+
+
+def groups_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    """`group_column` of ids, inside a task."""
+    known, at = np.unique(ids, return_inverse=True)
+    return np.array([zlib.crc32(b"%d" % i) % groups for i in known.tolist()], np.int64)[at]
 
 
-__all__ = ["GROUP_BYTES", "crc_mod", "total_bytes", "parts_for", "group_column", "staged"]
+__all__ = ["GROUP_BYTES", "crc_mod", "total_bytes", "parts_for", "group_column", "groups_of", "staged"]
