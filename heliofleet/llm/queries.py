@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from heliofleet.llm.decontaminate import contained_items
+from heliofleet.llm.embedding import near_vectors
+from heliofleet.llm.htmltext import extract_text
 from heliofleet.llm.lm import score_texts
 from heliofleet.llm.minhash import near_duplicates
 from heliofleet.llm.packing import pack_documents
@@ -62,6 +64,14 @@ def op3_toxicity(spark, sf_dir) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_html_text(spark, sf_dir) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_embedding_dedup(spark, sf_dir) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_byte_shards(spark, sf_dir) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
 
@@ -89,7 +99,9 @@ REGISTERED = {
     "op1_decontamination": (op1_decontamination, OP1_SQL),
     "op2_quality": (op2_quality, None),
     "op3_toxicity": (op3_toxicity, None),
+    "op4_html_text": (op4_html_text, None),
     "op5_byte_shards": (op5_byte_shards, None),
+    "op6_embedding_dedup": (op6_embedding_dedup, None),
     "op7_substring_dedup": (op7_substring_dedup, None),
     "op8_lm_scores": (op8_lm_scores, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
