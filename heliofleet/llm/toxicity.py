@@ -142,10 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int =
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return {}, np.array([np.log(share / (1 - share))])
-    odds = (F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1)))
+    odds = (F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("clean") + 2) / (sizes[0] + 1)))
     mined = (sample.mapInArrow(_count, "feature string, toxic long, clean long").groupBy("feature")
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= LEAST_SUPPORT)
-             .withColumn("odds", odds).where("odds >= 3")
+             .withColumn("odds", odds).where("odds >= 2.5")
              .orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "feature").limit(FEATURES).toPandas())
     if not len(mined):
         return {}, np.array([np.log(share / (1 - share))])
