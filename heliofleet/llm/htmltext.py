@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from heliofleet.llm.tables import staged
 from heliofleet.llm.words import grams, mix
 
 RUN = 6
@@ -156,29 +157,21 @@ def _pages(batch: pa.RecordBatch):
 
 
 def _find_runs(batches):
+    """Each page's runs with the least and greatest page, of those at hand, that has the run on this host."""
     for batch in batches:
-        hosts: dict[str, tuple[list, list]] = {}
-        for _, page, url, html in _pages(batch):
+        hosts: dict[str, list] = {}
+        for row, page, url, html in _pages(batch):
             words, _ = _stream(blocks_of(html or ""))
-            streams, pages = hosts.setdefault(host_of(url), ([], []))
-            streams.append(_numbers(words))
-            pages.append(np.full(len(words), page, np.int64))
-        for host, (streams, pages) in hosts.items():
-            keys, low, high = suffix_runs(np.concatenate(streams), np.concatenate(pages), RUN)
+            hosts.setdefault(host_of(url), []).append((row, page, _numbers(words)))
+        for host, found in hosts.items():
+            keys, low, high = suffix_runs(np.concatenate([t for _, _, t in found]),
+                                          np.concatenate([np.full(len(t), p, np.int64) for _, p, t in found]), RUN)
+            own = [np.unique(grams(t, RUN)) for _, _, t in found]
+            at = np.searchsorted(keys, np.concatenate(own))
+            rows = np.repeat([r for r, _, _ in found], [len(k) for k in own])
             yield pa.RecordBatch.from_arrays(
-                [pa.array((keys ^ _host_key(host)).view(np.int64)), pa.array(low), pa.array(high)], names=["run", "low", "high"])
-
-
-def _own_runs(batches):
-    for batch in batches:
-        rows, runs = [], []
-        for row, _, url, html in _pages(batch):
-            words, _ = _stream(blocks_of(html or ""))
-            keys = np.unique(grams(_numbers(words), RUN)) ^ _host_key(host_of(url))
-            rows.append(np.full(len(keys), row, np.int64))
-            runs.append(keys.view(np.int64))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(runs))], names=["row", "run"])
+                [pa.array(rows.astype(np.int64)), pa.array((keys[at] ^ _host_key(host)).view(np.int64)), pa.array(low[at]), pa.array(high[at])],
+                names=["row", "run", "low", "high"])
 
 
 def _take_apart(batches):
@@ -236,9 +229,10 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         content.alias("row"), F.coalesce(F.col(page_id).cast("long"), content).alias("page"), F.col(page_id).cast("long").alias("page_id"),
         F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     streams = rows.select("row", "page", "url", "html")
-    repeated = (streams.mapInArrow(_find_runs, "run long, low long, high long").groupBy("run")
-                .agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("run"))
-    covered = (streams.mapInArrow(_own_runs, "row long, run long").join(repeated, "run")
+    runs = staged(streams.mapInArrow(_find_runs, "row long, run long, low long, high long"), "page-runs")
+    repeated = (runs.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+                .where("low < high").select("run"))
+    covered = (runs.select("row", "run").join(repeated, "run")
                .groupBy("row").agg(F.collect_set("run").alias("runs")))  # at most a page's own runs
     parts = rows.select("row", "page_id", "url", "html").mapInArrow(_take_apart, "row long, page_id long, url string, parts binary")
     return parts.join(covered, "row", "left").select("page_id", "url", "parts", "runs").mapInArrow(
