@@ -37,7 +37,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, labels, lambda doc_id: crc_mod(doc_id, 4) != 2,
-                            carry=("lang", "source", "n_chars"))
+                            carry=COLUMNS[1:])
     return scored.where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
@@ -49,7 +49,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    cut = remove_repeats(docs, carry=("lang", "source", "n_chars"))
+    cut = remove_repeats(docs, carry=COLUMNS[1:])
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return cut.select("doc_id", text.alias("text"), "lang", "source",
                       F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

@@ -128,22 +128,33 @@ def _numbers(words: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
 
 
-def suffix_runs(tokens: np.ndarray, page: np.ndarray, length: int):
-    """Runs of ``length`` tokens in the concatenated streams of a host, in suffix order.
-
-    ``tokens`` are the streams end to end and ``page`` the page of each. Returns, per distinct run, its
-    fingerprint and the least and greatest page that has it. Runs over a page's end do not count.
+def runs_in(tokens: np.ndarray, owner: np.ndarray):
+    """Runs of a stream: (fingerprint, position, words) of ``RUN`` words inside one block; a shorter block is one run."""
+    keys = grams(tokens, RUN)
+    at = np.flatnonzero(owner[:len(keys)] == owner[RUN - 1:]) if len(keys) else np.zeros(0, np.int64)
+    keys, sizes = [keys[at]], [np.full(len(at), RUN)]
+    starts = [at]
+    _, first, counts = np.unique(owner, return_index=True, return_counts=True)
+    for n in range(1, RUN):
+        short = first[counts == n]
+        if len(short):
+            keys.append(grams(tokens, n)[short])
+            starts.append(short)
+            sizes.append(np.full(len(short), n))
+    return np.concatenate(keys), np.concatenate(starts), np.concatenate(sizes)
+
+
+def suffix_runs(keys: np.ndarray, page: np.ndarray):
+    """Runs of a host's concatenated streams in suffix order.
+
+    ``keys`` are the fingerprints of the suffixes' first words and ``page`` the page each starts on.
+    Returns, per distinct run, its fingerprint and the least and greatest page that has it.
     """
-    keys = grams(tokens, length)
-    if not len(keys):
-        return keys, page[:0], page[:0]
-    whole = page[:len(keys)] == page[length - 1:]
-    keys, owner = keys[whole], page[:len(whole)][whole]
     order = np.argsort(keys, kind="stable")  # suffixes ordered by (a fingerprint of) their first words
-    keys, owner = keys[order], owner[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if not len(heads):
+    keys, owner = keys[order], page[order]
+    if not len(keys):
         return keys, owner, owner
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[heads], np.minimum.reduceat(owner, heads), np.maximum.reduceat(owner, heads)
 
 
@@ -161,12 +172,12 @@ def _find_runs(batches):
     for batch in batches:
         hosts: dict[str, list] = {}
         for row, page, url, html in _pages(batch):
-            words, _ = _stream(blocks_of(html or ""))
-            hosts.setdefault(host_of(url), []).append((row, page, _numbers(words)))
+            words, owner = _stream(blocks_of(html or ""))
+            hosts.setdefault(host_of(url), []).append((row, page, runs_in(_numbers(words), owner)[0]))
         for host, found in hosts.items():
-            keys, low, high = suffix_runs(np.concatenate([t for _, _, t in found]),
-                                          np.concatenate([np.full(len(t), p, np.int64) for _, p, t in found]), RUN)
-            own = [np.unique(grams(t, RUN)) for _, _, t in found]
+            keys, low, high = suffix_runs(np.concatenate([k for _, _, k in found]),
+                                          np.concatenate([np.full(len(k), p, np.int64) for _, p, k in found]))
+            own = [np.unique(k) for _, _, k in found]
             at = np.searchsorted(keys, np.concatenate(own))
             rows = np.repeat([r for r, _, _ in found], [len(k) for k in own])
             yield pa.RecordBatch.from_arrays(
@@ -188,9 +199,10 @@ def main_text(blocks_: list[tuple[int, str]], repeated: np.ndarray, host: str) -
     """The text that stays, and how many words repeated runs covered."""
     words, owner = _stream(blocks_)
     covered = np.zeros(len(words), bool)
-    keys = grams(_numbers(words), RUN) ^ _host_key(host)
-    for at in np.flatnonzero(np.isin(keys, repeated)):
-        covered[at:at + RUN] = True
+    keys, starts, sizes = runs_in(_numbers(words), owner)
+    hit = np.isin(keys ^ _host_key(host), repeated)
+    for at, size in zip(starts[hit].tolist(), sizes[hit].tolist()):
+        covered[at:at + size] = True
     kept = []
     for at, (role, text) in enumerate(blocks_):
         if role == ARTICLE:

@@ -174,13 +174,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     without an id keeps its words and is no reference. Rows that repeat an id are one document:
     they do not remove each other's words, and a window removed from one goes from all of them.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry))
     size = total_bytes(rows, "text")
     buckets = parts_for(size, BUCKET_BYTES)
     groups = parts_for(size, GROUP_BYTES)
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    kinds = "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     found = (rows.where("doc_id is not null and text is not null").select("doc_id", "text")
              .mapInArrow(_index_blocks(window, buckets), INDEX)
              .groupBy("bucket").applyInArrow(_meet(groups), FOUND))
     left = rows.withColumn("grp", group_column("doc_id", groups))
-    return left.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_factor(window, tuple(carry)), RESULT + kinds)
+    cut = left.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(
+        _factor(window, tuple(f"c_{c}" for c in carry)), RESULT + kinds)
+    return cut.select("doc_id", "n_words", "n_removed", "spans", "kept_text", *(F.col(f"c_{c}").alias(c) for c in carry))

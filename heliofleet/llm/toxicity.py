@@ -113,8 +113,15 @@ def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = 40):
     """
     n, m = votes.shape
     seen = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    discount = np.ones(m)
+    value = np.where(votes == -1, 0, 2 * votes - 1).astype(float)
     chance = np.empty((2, m, 3))
+
+    def correlations(rest):
+        spread = np.sqrt((rest ** 2).mean(axis=0)) + 1e-9
+        return (rest.T @ rest) / n / np.outer(spread, spread)
+
+    # to begin with, voters that repeat each other outright share one voice
+    discount = 1 / np.clip((correlations(value - value.mean(axis=0)) ** 2).sum(axis=1), 1, None)
     for turn in range(2):
         chance[1] = np.array([0.5, 0.1, 0.4])
         chance[0] = np.array([0.5, 0.4, 0.1])
@@ -126,12 +133,9 @@ def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = 40):
         if turn:
             break
         # correlations of the votes given the label: what the votes share beyond it
-        value = np.where(votes == -1, 0, 2 * votes - 1).astype(float)
         mean = {c: chance[c] @ np.array([0.0, -1.0, 1.0]) for c in (0, 1)}
         rest = value - (post[:, None] * mean[1] + (1 - post[:, None]) * mean[0])
-        spread = np.sqrt((rest ** 2).mean(axis=0)) + 1e-9
-        correlation = (rest.T @ rest) / n / np.outer(spread, spread)
-        discount = 1 / np.clip(np.abs(correlation).sum(axis=1), 1, None)
+        discount = 1 / np.clip(np.abs(correlations(rest)).sum(axis=1), 1, None)
     return post, chance, discount
 
 
@@ -177,13 +181,15 @@ def _score(names: dict, weights: np.ndarray, whole: bool):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train, label: str = "toxic",
                    doc_id: str = "doc_id", text: str = "text", carry: tuple = ()) -> DataFrame:
-    """``doc_id`` and ``score``, with the text and the columns in ``carry`` between if any are named (0 to 1, higher: label 1 likelier) of every whole text.
+    """``doc_id``, the columns named in ``carry`` and ``score`` (0 to 1, higher: label 1 likelier) of every whole text.
 
     ``train`` maps an id column's name to the condition under which a row's label may be learned.
     Null and empty texts have no features and get the base score; repeated rows are scored each.
     Without labels of both classes every text gets the share of ones. An empty table gives no rows.
     """
     names, weights = fit(docs, labels, label, train)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
-    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return rows.mapInArrow(_score(names, weights, bool(carry)), f"doc_id long, {'text string, ' if carry else ''}{kinds}score double")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+                       *(F.col(c).alias(f"c_{c}") for c in carry))
+    kinds = "".join(f"`c_{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    scored = rows.mapInArrow(_score(names, weights, bool(carry)), f"doc_id long, {'text string, ' if carry else ''}{kinds}score double")
+    return scored.select("doc_id", *(F.col(f"c_{c}").alias(c) for c in carry), "score")

@@ -111,14 +111,15 @@ def pack(values: np.ndarray, sorted_: bool = False) -> bytes:
     """A compressed byte form of integers; ``sorted_`` stores differences."""
     if sorted_ and len(values):
         values = np.concatenate([values[:1], np.diff(values)])
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, kind, sorted_: bool = False) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=0 if data else 1), np.uint8)
-    values = np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    values = np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).ravel()
     return np.cumsum(values, dtype=kind) if sorted_ else values
 
 
