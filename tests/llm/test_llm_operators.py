@@ -320,3 +320,12 @@ def test_empty_tables(spark):
 def test_kept_text_digest(docs):
     row = remove_repeats(docs).select(F.sha2("kept_text", 256).alias("h")).where("h is null").count()
     assert row == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_near_duplicates_by_blocks(docs, monkeypatch):
+    """Clusters larger than a task are compared by blocks, with the same result."""
+    from heliofleet.llm import minhash
+    whole = {tuple(r) for r in near_duplicates(docs, shingle=4).collect()}
+    for name, value in (("SMALL", 2), ("BLOCK_MINOR", 3), ("BLOCK_ALL", 4)):
+        monkeypatch.setattr(minhash, name, value)
+    assert {tuple(r) for r in near_duplicates(docs, shingle=4).collect()} == whole
