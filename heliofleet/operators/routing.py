@@ -74,16 +74,22 @@ def name_candidates(facilities: DataFrame) -> DataFrame:
 def match_facility(questions: DataFrame, facilities: DataFrame) -> DataFrame:
     """(question_id, facility) for questions naming a facility; the longest phrase wins.
 
-    Questions meet phrases on the phrase's first word (an equi join), then the phrase is looked
-    for on word boundaries.
+    Questions meet phrases on the phrase's whole run of words (an equi join of the question's runs
+    up to the longest phrase), so a word that many names share pairs nothing. The phrase is then
+    looked for on word boundaries, which settles the marks between words.
     """
-    word = r"(?U)\w+"
-    phrases = name_candidates(facilities).withColumn("_word", F.regexp_extract("candidate", word, 0))
-    asked = questions.select("question_id", F.lower("question").alias("_q"))
-    asked = asked.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all("_q", F.lit(word), F.lit(0)))))
+    word = F.lit(r"(?U)\w+")
+    words = F.regexp_extract_all("candidate", word, F.lit(0))
+    phrases = name_candidates(facilities).withColumn("_run", F.array_join(words, " ")).withColumn("_n", F.size(words))
+    asked = questions.select("question_id", F.lower("question").alias("_q")).withColumn(
+        "_words", F.regexp_extract_all("_q", word, F.lit(0))).where(F.size("_words") > 0)
+    asked = asked.withColumn("_longest", F.least(F.size("_words"), phrases.agg(F.coalesce(F.max("_n"), F.lit(1))).scalar()))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.col("_longest")), lambda n: F.transform(
+        F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, n), " "))))
+    asked = asked.select("question_id", "_q", F.explode(F.array_distinct(runs)).alias("_run"))
     pattern = F.concat(F.lit(r"(?U)\b\Q"), "candidate", F.lit(r"\E\b"))
     return (
-        asked.join(phrases, "_word")
+        asked.join(phrases, "_run")
         .where(F.contains("_q", "candidate")).where(F.regexp_like("_q", pattern))
         .groupBy("question_id")
         .agg(F.min_by("facility_code", F.struct(-F.length("candidate"), "facility_name", "facility_code")).alias("facility"))
