@@ -152,7 +152,7 @@ def _fleet(calls: DataFrame, aged: DataFrame, farms: DataFrame, step: int) -> Da
         F.sum("energy").alias("total"), F.array_sort(F.collect_list(F.struct((-F.col("energy")).alias("o"), "region", part.alias("text")))).alias("regions"))
     h = F.col("hours").cast("string")
     text = F.when(F.col("regions").isNull(), F.concat(F.lit("No readings in the last "), h, F.lit(" hours."))).otherwise(F.concat(
-        F.lit("Last "), h, F.lit(" h: "), one_decimal(F.col("total")), F.lit(" MWh in total. "), _listed(F.col("regions"), "text", 1000, "; "), F.lit(".")))
+        F.lit("Last "), h, F.lit(" h: "), one_decimal(F.col("total")), F.lit(" MWh in total. "), F.array_join(F.transform("regions", lambda r: r["text"]), "; "), F.lit(".")))
     return asked.join(summed, ["hours", "region_key"], "left").select("call", text.alias("answer"), F.to_json(F.struct("hours", "total", "regions")).alias("data"))
 
 

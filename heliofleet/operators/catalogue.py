@@ -6,6 +6,7 @@ anchor with a literal instant: answers for a past moment, and static partition p
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -109,11 +110,17 @@ def _facility_matches(matched: DataFrame, exact: Column, *group: str) -> DataFra
     )
 
 
+def _pattern(text: Column) -> Column:
+    """A text as LIKE reads it: a backslash before an ordinary character, or at the end, says nothing."""
+    return F.regexp_replace(text, r"(\\[%_\\])|\\", "$1")
+
+
 def find_facility(units: DataFrame, text: str) -> DataFrame:
     """Exact code first, else the shortest name containing the text (LIKE wildcards live)."""
     wanted = text.strip()
     exact = F.lower("facility_code") == wanted.lower()
-    matched = units.where(exact | F.col("facility_name").ilike(f"%{wanted}%"))
+    inner = re.sub(r"(\\[%_\\])|\\", lambda m: m.group(1) or "", wanted)
+    matched = units.where(exact | F.col("facility_name").ilike(f"%{inner}%"))
     return (
         _facility_matches(matched, exact)
         .orderBy(F.desc("_exact"), F.length("facility_name"), "facility_code")
@@ -131,9 +138,9 @@ def find_facility_batch(units: DataFrame, texts: DataFrame, text: str = "text")
     """
     wanted = texts.select(F.trim(text).alias("searched_for")).where("searched_for is not null").distinct()
     literal = F.array_max(F.transform(
-        F.split(F.lower("searched_for"), "[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
+        F.split(F.lower(_pattern(F.col("searched_for"))), r"\\[%_\\]|[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
     ))["p"]
-    asked = wanted.withColumn("piece", F.substring(literal, 1, 3))
+    asked = wanted.withColumn("piece", F.substring(literal, 1, 3)).withColumn("like", _pattern(F.col("searched_for")))
     name = F.lower("facility_name")
     starts = F.sequence(F.lit(1), F.greatest(F.length("facility_name"), F.lit(1)))
     pieces = F.array_union(
@@ -144,7 +151,7 @@ def find_facility_batch(units: DataFrame, texts: DataFrame, text: str = "text")
     by_name = (
         units.select("facility_name").distinct().withColumn("piece", F.explode(pieces))
         .join(asked, "piece")
-        .where(F.expr("facility_name ilike concat('%', searched_for, '%')"))
+        .where(F.expr("facility_name ilike concat('%', like, '%')"))
         .select("searched_for", "facility_name").distinct()
         .join(units, "facility_name")
     )

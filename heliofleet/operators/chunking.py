@@ -67,8 +67,8 @@ def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
     the concatenated corpus would, without ever concatenating it. The two values differ.
     """
     digest = F.sha2(F.concat(F.col("id").cast("string"), F.lit("\n"), "text", F.lit("\n")), 256)
-    lanes = [F.conv(F.substring(F.col("_d"), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    lanes = [F.conv(F.substring(F.col("_d"), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(5)]
     sums = chunks.select(digest.alias("_d")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(lane.cast("decimal(28,0)")).alias(f"s{i}") for i, lane in enumerate(lanes)])
-    text = F.concat_ws(":", F.col("n").cast("string"), *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string") for i in range(4)])
+    text = F.concat_ws(":", F.col("n").cast("string"), *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string") for i in range(5)])
     return sums.select(F.col("n").alias("chunks"), F.substring(F.sha2(text, 256), 1, 12).alias("fingerprint"))

@@ -278,9 +278,10 @@ REGISTERED = {
         SQL_CHUNKS + " SELECT 'chunk_id_unique' AS rule, count(*) AS violations FROM (SELECT id FROM chunked GROUP BY id HAVING count(*) > 1)"),
     "corpus_fingerprint": (
         lambda s, d: chunking.corpus_fingerprint(corpus(s, d)),
-        """SELECT n AS chunks, substr(sha256(concat_ws(':', n, s0, s1, s2, s3)), 1, 12) AS fingerprint FROM (
+        """SELECT n AS chunks, substr(sha256(concat_ws(':', n, s0, s1, s2, s3, s4)), 1, 12) AS fingerprint FROM (
  SELECT count(*) AS n, sum(('0x' || d[1:15])::BIGINT)::VARCHAR AS s0, sum(('0x' || d[16:30])::BIGINT)::VARCHAR AS s1,
-        sum(('0x' || d[31:45])::BIGINT)::VARCHAR AS s2, sum(('0x' || d[46:60])::BIGINT)::VARCHAR AS s3
+        sum(('0x' || d[31:45])::BIGINT)::VARCHAR AS s2, sum(('0x' || d[46:60])::BIGINT)::VARCHAR AS s3,
+        sum(('0x' || d[61:64])::BIGINT)::VARCHAR AS s4
  FROM (SELECT sha256(concat(doc_id, chr(10), text, chr(10))) AS d FROM documents))"""),
     "keyword_index_postings": (
         lambda s, d: ranking.postings(corpus(s, d)).select("term", F.col("id").alias("doc_id"), "tf", "len"),

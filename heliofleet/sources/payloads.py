@@ -90,10 +90,16 @@ def archive_by_date(df: DataFrame, path: str, time: str = "interval_end", mode:
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
-    """Each row as one JSON text; timestamps ISO-8601, decimals as floats, NULLs kept."""
+    """Each row as one JSON text; timestamps ISO-8601 with their microseconds where they have any,
+    decimals as floats, NULLs kept."""
+    def instant(name: str) -> Column:
+        whole = F.date_trunc("second", name) == F.col(name)
+        return F.when(whole, F.date_format(name, "yyyy-MM-dd'T'HH:mm:ssXXX")).otherwise(
+            F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+
     plain = [
         F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-        else F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(f.name) if isinstance(f.dataType, T.TimestampType)
+        else instant(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType)
         else F.col(f.name)
         for f in df.schema.fields
     ]

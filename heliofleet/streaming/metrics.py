@@ -79,8 +79,10 @@ def start_alarms(
 
     The stream keeps one statistic per series and period; each batch logs the periods it changed
     under their day and re-evaluates ``<path>/alarms`` from the first day it touched to the day
-    after the last. A repeated batch replaces what it wrote. The periods of a rule must fit a day.
+    after the last, looking back as many days as the rule's periods span. A repeated batch replaces
+    what it wrote.
     """
+    reach = timedelta(days=max(1, -(-minutes * periods // 1440)))
     aggregate = {"max": F.max, "sum": F.sum}[stat]("value")
     stats = (
         metrics.withWatermark("ts", watermark)
@@ -94,10 +96,10 @@ def start_alarms(
         days = sorted(row["day"] for row in batch.select("day").distinct().toLocalIterator())  # calendar days
         if not days:
             return
-        first, last = days[0], days[-1] + timedelta(days=1)
+        first, last = days[0], days[-1] + reach
         log = spark.read.schema("series string, ts timestamp, value double, batch int, day date").parquet(f"{path}/stats")
-        # One day of lookback; a series that has gone quiet keeps its place in the spine.
-        lookback = F.lit(first - timedelta(days=1))
+        # A series that has gone quiet keeps its place in the spine.
+        lookback = F.lit(first - reach)
         latest = latest_per_key(log.where(F.col("day").between(lookback, F.lit(last))), ["series", "ts"], ["batch"])
         starts = log.groupBy("series").agg(F.greatest(F.min("ts"), lookback.cast("timestamp")).alias("start"))
         state = alarms(latest.select("series", "ts", "value"), minutes, threshold, periods, "max", starts=starts, **rule)
