@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from heliofleet.llm.tables import parts_for, staged
 from heliofleet.llm.tokens import token_ids
-from heliofleet.llm.words import blocks
+from heliofleet.llm.words import ROW_BYTES, blocks
 
 GROUP_PIECES = 8192
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -26,7 +26,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def _cut(path: str, length: int, end_id: int, with_ids: bool):
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", ROW_BYTES):
                 ids, starts = token_ids(block.column("text"), path)
                 out = {name: [] for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
                 for doc, lo, hi in zip(block.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):

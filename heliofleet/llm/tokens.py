@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from heliofleet.llm.words import split_words
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _TAILED = re.compile(r"([^\W\d_]+)([!#$%&*+,\-./:;=?@^~()\[\]{}]*)")
 _LOADED: dict = {}
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from heliofleet.llm.linear import fit_logistic, sigmoid
 from heliofleet.llm.sampling import class_share, labelled_sample
 from heliofleet.llm.tables import staged
-from heliofleet.llm.words import blocks, split_words
+from heliofleet.llm.words import ROW_BYTES, blocks, split_words
 
 PER_CLASS = 5000       # labelled rows per class used for fitting
 FEATURES = 1000        # mined words and beginnings
@@ -69,7 +69,7 @@ def _hits(block: pa.RecordBatch, wanted: dict | None):
 
 def _count(batches):
     for batch in batches:
-        for block in blocks(batch, "text"):
+        for block in blocks(batch, "text", ROW_BYTES):
             y = block.column("y").to_numpy()
             rows, ids, names = _hits(block, None)
             toxic = np.bincount(ids[y[rows] == 1], minlength=len(names))
@@ -80,7 +80,7 @@ def _count(batches):
 def _collect_hits(wanted: dict):
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", ROW_BYTES):
                 rows, ids, _ = _hits(block, wanted)
                 cuts = np.searchsorted(rows, np.arange(block.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids.astype(np.int32)))
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int =
 def _score(names: dict, weights: np.ndarray, whole: bool):
     def run(batches):
         for batch in batches:
-            for block in blocks(batch, "text"):
+            for block in blocks(batch, "text", ROW_BYTES):
                 total = np.full(block.num_rows, weights[-1])
                 if names:
                     rows, ids, _ = _hits(block, names)

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import zstandard
 
 BLOCK_BYTES = 8 << 20  # text handled at once inside a task
+ROW_BYTES = 2 << 20  # the same where rows are worked on one by one and a larger block saves nothing
 _FACTORS = np.random.default_rng(20260101).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
