@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from heliofleet.llm.tables import staged
-from heliofleet.llm.words import grams, mix
+from heliofleet.llm.words import gathered, grams, mix
 
 RUN = 6
 _TOKEN = re.compile(
@@ -169,7 +169,7 @@ def _pages(batch: pa.RecordBatch):
 
 def _find_runs(batches):
     """Each page's runs with the least and greatest page, of those at hand, that has the run on this host."""
-    for batch in batches:
+    for batch in gathered(batches, "html"):
         hosts: dict[str, list] = {}
         for row, page, url, html in _pages(batch):
             words, owner = _stream(blocks_of(html or ""))

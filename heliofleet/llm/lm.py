@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from heliofleet.llm.tables import crc_mod, parts_for, staged
 from heliofleet.llm.words import (
-    BLOCK_BYTES, blocks, bucket_of, fingerprints, mix, pack, pack_small, split_words, unpack, unpack_small)
+    BLOCK_BYTES, blocks, bucket_of, fingerprints, gathered, mix, pack, pack_small, split_words, unpack, unpack_small)
 
 BUCKET_TOKENS = 2_000_000
 HELD_PARTS = 10  # one training document in so many is set apart for the weights
@@ -39,7 +39,7 @@ SCORED = "doc_id long, row long, n_tokens long, n_known long, base_score double,
 
 def _blocks(batches):
     """Documents as numbers of a block's own words; documents set apart form blocks of their own."""
-    for batch in batches:
+    for batch in gathered(batches, "text"):
         for held in (0, 1):
             some = batch.filter(pa.compute.equal(batch.column("held"), held))
             for block in blocks(some, "text"):

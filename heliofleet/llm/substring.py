@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from heliofleet.llm.tables import GROUP_BYTES, group_column, groups_of, parts_for, total_bytes
 from heliofleet.llm.words import (
-    blocks, bucket_of, fingerprints, grams, inside, mix, pack, split_words, unpack)
+    blocks, bucket_of, fingerprints, gathered, grams, inside, mix, pack, split_words, unpack)
 
 BUCKET_BYTES = 16 << 20  # text whose windows meet in one bucket
 INDEX = "bucket int, keys binary, docs binary, ids binary, settled boolean"
@@ -38,7 +38,7 @@ def _windows(texts, window):
 
 def _index_blocks(window: int, buckets: int):
     def run(batches):
-        for batch in batches:
+        for batch in gathered(batches, "text"):
             for block in blocks(batch, "text"):
                 ids = block.column("doc_id").to_numpy(zero_copy_only=False)
                 words, at, keys = _windows(block.column("text"), window)

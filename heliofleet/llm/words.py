@@ -50,6 +50,19 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES):
         start = stop
 
 
+def gathered(batches, text: str, least: int = 2 * BLOCK_BYTES):
+    """Successive batches joined until their texts hold ``least`` bytes, where larger blocks save shuffle."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def split_words(texts: pa.Array, lower: bool) -> Words:
     """Words of each text; ``lower`` turns A-Z (only those) into a-z. A null text has none."""
     if isinstance(texts, pa.ChunkedArray):

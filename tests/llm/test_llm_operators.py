@@ -24,7 +24,7 @@ from heliofleet.llm.sharding import shard_by_bytes
 from heliofleet.llm.substring import remove_repeats
 from heliofleet.llm.tables import crc_mod
 from heliofleet.llm.toxicity import label_model, score_toxicity
-from heliofleet.llm.words import blocks, pack, pack_small, split_words, unpack, unpack_small
+from heliofleet.llm.words import blocks, gathered, pack, pack_small, split_words, unpack, unpack_small
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, root string, bucket int"
@@ -72,6 +72,8 @@ def test_words_and_binary_columns():
         assert unpack_small(pack_small(np.array(values, np.int64))).tolist() == values
     batch = pa.RecordBatch.from_arrays([pa.array(["ab", "c" * 9, "d", None])], names=["text"])
     assert [b.num_rows for b in blocks(batch, "text", 3)] == [1, 1, 2]
+    assert [b.num_rows for b in gathered(iter([batch, batch.slice(0, 1), batch.slice(0, 0)]), "text", 10)] == [4, 1]
+    assert list(gathered(iter([]), "text")) == []
 
 
 def test_substring_removal(docs):
