@@ -9,8 +9,8 @@ from heliofleet.sources import payloads, reports
 from heliofleet.streaming import ingest as stream
 from helpers import AT, STAMP, UNITS, archive, files, rows, scada_lines, section
 
-SCADA = "PUBLIC_DISPATCHSCADA_202609251200_0000000000000001.zip"
-NEXT = "PUBLIC_DISPATCHSCADA_202609251205_0000000000000002.zip"
+SCADA = "PUBLIC_DISPATCHSCADA_202603121200_0000000000000001.zip"
+NEXT = "PUBLIC_DISPATCHSCADA_202603121205_0000000000000002.zip"
 
 
 def parse(spark, named, table=fixed.SCADA_TABLE):
@@ -22,10 +22,10 @@ def units(spark):
 
 
 def test_scada_rows(spark):
-    lines = scada_lines([(STAMP, " TESTSF1 ", 40.5), (STAMP, "COALPS1", 500), ("bad date", "TESTSF2", 1), (STAMP, "TESTSF2", "n/a")],
+    lines = scada_lines([(STAMP, " HAZLSF1 ", 40.5), (STAMP, "BOILER3", 500), ("bad date", "HAZLSF2", 1), (STAMP, "HAZLSF2", "n/a")],
                         ["I,DISPATCH,OTHER,1,DUID", "D,DISPATCH,OTHER,1,X", "D,DISPATCH"])
     got = reports.scada_readings(parse(spark, {SCADA: archive(lines)}))
-    assert rows(got, "duid", "interval_end", "mw") == [("COALPS1", AT, 500.0), ("TESTSF1", AT, 40.5)]
+    assert rows(got, "duid", "interval_end", "mw") == [("BOILER3", AT, 500.0), ("HAZLSF1", AT, 40.5)]
 
 
 def test_rows_before_a_header_and_second_headers(spark):
@@ -50,14 +50,14 @@ def test_text_form_gives_the_same_rows(spark, tmp_path):
 
 
 def price_lines(price, intervention="0", stamp=STAMP):
-    return [*section("PRICE,5", "SETTLEMENTDATE RUNNO REGIONID DISPATCHINTERVAL INTERVENTION RRP", (stamp, 1, " NSW1 ", 1, intervention, price)),
+    return [*section("PRICE,5", "SETTLEMENTDATE RUNNO REGIONID DISPATCHINTERVAL INTERVENTION RRP", (stamp, 1, " VIC1 ", 1, intervention, price)),
             *section("CONSTRAINT,2", "SETTLEMENTDATE CONSTRAINTID RHS", (STAMP, "LINE_7", 310.5))]
 
 
 def test_prices(spark):
     named = {"a.zip": archive(price_lines(-40.5)), "b.zip": archive(price_lines(10, "1")), "c.zip": archive(price_lines(""))}
     got = reports.region_prices(parse(spark, named, fixed.PRICE_TABLE))
-    assert rows(got, "file", "region", "interval_end", "rrp") == [("a.zip", "NSW1", AT, -40.5)]
+    assert rows(got, "file", "region", "interval_end", "rrp") == [("a.zip", "VIC1", AT, -40.5)]
     broken = parse(spark, {"d.zip": archive(price_lines(1, stamp="soon"))}, fixed.PRICE_TABLE)
     with pytest.raises(Exception, match="bad settlement date"):
         reports.region_prices(broken).collect()
@@ -67,11 +67,11 @@ def test_prices(spark):
 def test_unit_dispatch(spark):
     lines = section(
         "UNIT_SOLUTION,5", "SETTLEMENTDATE DUID INTERVENTION INITIALMW UIGF AVAILABILITY SEMIDISPATCHCAP TOTALCLEARED",
-        (STAMP, "TESTSF1", 0, 31, 74.25, 71.5, 1, 33.75), (STAMP, "TESTSF2", 0, 6, None, None, 0, 6.5),
-        (STAMP, "OTHERSF1", 0, 12, 15, 15, 1, None), (STAMP, "HYDRO9", 0, 88, None, 120, 0, 91))
+        (STAMP, "HAZLSF1", 0, 31, 74.25, 71.5, 1, 33.75), (STAMP, "HAZLSF2", 0, 6, None, None, 0, 6.5),
+        (STAMP, "BRKNSF1", 0, 12, 15, 15, 1, None), (STAMP, "HYDRO9", 0, 88, None, 120, 0, 91))
     got = reports.unit_dispatch(parse(spark, {"n.zip": archive(lines)}, fixed.UNIT_SOLUTION_TABLE), units(spark))
     assert rows(got, "duid", "total_cleared", "availability", "uigf", "semidispatch_cap") == [
-        ("TESTSF1", 33.75, 71.5, 74.25, True), ("TESTSF2", 6.5, None, None, False)]
+        ("HAZLSF1", 33.75, 71.5, 74.25, True), ("HAZLSF2", 6.5, None, None, False)]
 
 
 def test_listing_and_names(spark):
@@ -134,7 +134,7 @@ def test_failures_retry_then_die(spark):
 def test_stream_ingest_of_archives(spark, tmp_path):
     source, store = tmp_path / "in", stream.Store(str(tmp_path / "store"))
     source.mkdir()
-    four = [(STAMP, "TESTSF1", 40.0), (STAMP, "TESTSF2", 20.0), (STAMP, "OTHERSF1", 150.0), (STAMP, "COALPS1", 500.0)]
+    four = [(STAMP, "HAZLSF1", 40.0), (STAMP, "HAZLSF2", 20.0), (STAMP, "BRKNSF1", 150.0), (STAMP, "BOILER3", 500.0)]
     (source / SCADA).write_bytes(archive(scada_lines(four)))
     (source / NEXT).write_bytes(b"not a zip")
     (source / NEXT.replace("1205", "1210")).write_bytes(archive(["I,DISPATCH,OTHER,1,DUID"]))
@@ -144,40 +144,40 @@ def test_stream_ingest_of_archives(spark, tmp_path):
         stream.start_zip_ingest(spark, str(source), units(spark), store, trigger={"availableNow": True}).awaitTermination()
 
     run()
-    want = [("OTHERSF1", AT, 150.0), ("TESTSF1", AT, 40.0), ("TESTSF2", AT, 20.0)]
+    want = [("BRKNSF1", AT, 150.0), ("HAZLSF1", AT, 40.0), ("HAZLSF2", AT, 20.0)]
     assert rows(spark.read.parquet(store.readings), "duid", "interval_end", "mw") == want
     assert rows(stream.ledger(spark, store), "file_name", "interval_end", "rows_total", "rows_solar") == [
         (SCADA, AT, 4, 3), (NEXT.replace("1205", "1210"), AT + dt.timedelta(minutes=10), 0, 0)]
     assert [(r["file"], r["attempts"], r["outcome"]) for r in stream.outcomes(spark, store).orderBy("file").collect()] == [
         (NEXT, 1, "retry"), ("odd.zip", 1, "retry")]
     # The same batch again, under its own and under another id: nothing changes.
-    again = reports.zipped_report_rows(files(spark, {SCADA: archive(scada_lines([(STAMP, "TESTSF1", 99.0)]))}), (fixed.SCADA_TABLE,))
+    again = reports.zipped_report_rows(files(spark, {SCADA: archive(scada_lines([(STAMP, "HAZLSF1", 99.0)]))}), (fixed.SCADA_TABLE,))
     stream.ingest_batch(again, "later", units(spark), store)
     assert rows(spark.read.parquet(store.readings), "duid", "interval_end", "mw") == want and stream.ledger(spark, store).count() == 2
     # The broken file is published again in good shape and a retry takes it.
-    (source / NEXT).write_bytes(archive(scada_lines([("2026/09/25 12:05:00", "TESTSF1", 41.0)])))
+    (source / NEXT).write_bytes(archive(scada_lines([("2026/03/12 12:05:00", "HAZLSF1", 41.0)])))
     stream.retry_failed(spark, str(source), units(spark), store, "1")
     assert spark.read.parquet(store.readings).count() == 4
     assert {r["file"]: r["outcome"] for r in stream.outcomes(spark, store).collect()} == {NEXT: "done", "odd.zip": "retry"}
     ingest.prune_table(spark, store.readings, 1, AT + dt.timedelta(days=1, minutes=5))
-    assert rows(spark.read.parquet(store.readings), "duid", "mw") == [("TESTSF1", 41.0)]
+    assert rows(spark.read.parquet(store.readings), "duid", "mw") == [("HAZLSF1", 41.0)]
 
 
 def test_price_and_dispatch_sync(spark, tmp_path):
     source, store = tmp_path / "in", stream.Store(str(tmp_path / "store"))
     source.mkdir()
-    names = [f"PUBLIC_DISPATCHIS_20260925120{i}_000000000000000{i}.zip" for i in range(3)]
+    names = [f"PUBLIC_DISPATCHIS_20260312120{i}_000000000000000{i}.zip" for i in range(3)]
     for i, name in enumerate(names):
         (source / name).write_bytes(archive(price_lines(-40.5 + i, stamp=STAMP if i != 1 else "soon")))
     listing = spark.createDataFrame([(n,) for n in names], "name string")
     got = stream.sync_files(spark, str(source), listing, units(spark).limit(0), store, "1", stream.PRICES)
     assert rows(got) == [(names[0], 1), (names[2], 1)]
-    assert rows(spark.read.parquet(store.table(stream.PRICES)), "region", "interval_end", "rrp") == [("NSW1", AT, -38.5)]  # last file wins
+    assert rows(spark.read.parquet(store.table(stream.PRICES)), "region", "interval_end", "rrp") == [("VIC1", AT, -38.5)]  # last file wins
     assert rows(stream.outcomes(spark, store), "file", "error", "outcome") == [(names[1], f"bad settlement date in {names[1]}", "retry")]
-    day = "PUBLIC_NEXT_DAY_DISPATCH_20260925_0000000000000003.zip"
+    day = "PUBLIC_NEXT_DAY_DISPATCH_20260312_0000000000000003.zip"
     (source / day).write_bytes(archive([
         "I,DISPATCH,UNIT_SOLUTION,5,SETTLEMENTDATE,DUID,INTERVENTION,TOTALCLEARED,AVAILABILITY,SEMIDISPATCHCAP,UIGF",
-        f'D,DISPATCH,UNIT_SOLUTION,5,"{STAMP}",OTHERSF1,0,32,160,1,160', f'D,DISPATCH,UNIT_SOLUTION,5,"{STAMP}",COALPS1,0,500,500,0,']))
+        f'D,DISPATCH,UNIT_SOLUTION,5,"{STAMP}",BRKNSF1,0,50,200,1,200', f'D,DISPATCH,UNIT_SOLUTION,5,"{STAMP}",BOILER3,0,500,500,0,']))
     days = spark.createDataFrame([(day,)], "name string")
     for again in ("1", "2"):
         loaded = stream.sync_files(spark, str(source), days, units(spark), store, again, stream.NEXT_DAY)
@@ -194,9 +194,9 @@ def test_empty_registry_is_refused(spark, tmp_path):
 
 
 def test_registry_sync(spark):
-    fetched = units(spark).where("duid = 'TESTSF1'").drop("updated_at").withColumn("capacity_mw", F.lit(101.0))
+    fetched = units(spark).where("duid = 'HAZLSF1'").drop("updated_at").withColumn("capacity_mw", F.lit(101.0))
     got = ingest.sync_registry(units(spark), fetched, AT)
-    assert rows(got, "duid", "capacity_mw", "updated_at") == [("OTHERSF1", 200.0, None), ("TESTSF1", 101.0, AT), ("TESTSF2", 50.0, None)]
+    assert rows(got, "duid", "capacity_mw", "updated_at") == [("BRKNSF1", 250.0, None), ("HAZLSF1", 101.0, AT), ("HAZLSF2", 40.0, None)]
     with pytest.raises(RuntimeError, match="no units"):
         ingest.sync_registry(units(spark), fetched.limit(0), AT)
 

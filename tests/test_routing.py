@@ -66,28 +66,28 @@ def test_routing_evaluation(spark):
 
 
 def test_answers(spark):
-    dispatch = [("OTHERSF1", AT, 32.0, 160.0, 160.0, True)]
-    f = fleet(spark, LOW, FULL_SUN, [("NSW1", AT, 20.0)], dispatch)
+    dispatch = [("BRKNSF1", AT, 50.0, 200.0, 200.0, True)]
+    f = fleet(spark, LOW, FULL_SUN, [("VIC1", AT, 20.0)], dispatch)
     chunks = spark.createDataFrame([(1, 1, "Faults", "Inverter trips", "An inverter trips on dew. Farms fault.")], "id int, pos int, title string, section string, text string")
     asked = [
-        (1, "Which farms are underperforming   right now?"), (2, "Which farms are being curtailed right now?"), (3, "How did testsf do in the last 8 hours"),
-        (4, "energy over the last 24 hours"), (5, "find farms in nsw"), (6, "what is an inverter"), (7, "Why are farms behind today, an inverter?"),
-        (8, "list farms in tas"), (9, "How is othersf1 now")]
+        (1, "Which farms are underperforming   right now?"), (2, "Which farms are being curtailed right now?"), (3, "How did hazlsf do in the last 8 hours"),
+        (4, "energy over the last 24 hours"), (5, "find farms in vic"), (6, "what is an inverter"), (7, "Why are farms behind today, an inverter?"),
+        (8, "list farms in tas"), (9, "How is brknsf1 now")]
     questions = spark.createDataFrame(asked, "question_id int, question string")
-    proposals = spark.createDataFrame([(4, "fleet_summary", {"hours": "999"}), (8, "facility_performance", {"facility": "nowhere"}), (9, "facility_performance", {"facility": "OTHERSF"})],
+    proposals = spark.createDataFrame([(4, "fleet_summary", {"hours": "999"}), (8, "facility_performance", {"facility": "nowhere"}), (9, "facility_performance", {"facility": "BRKNSF"})],
                                       "question_id int, tool string, args map<string,string>")
     got = {r["question_id"]: r for r in answers.answer_batch(spark, questions, f, chunks, ranking.build_index(chunks), proposals).collect()}
     assert len(got) == 9
-    assert got[1]["answer"] == ("At 12:00 AEST, 1 farm(s) were below 60% of expected: Test Solar Farm (NSW1) at 20% - 24.0 MW vs 120.0 MW expected."
+    assert got[1]["answer"] == ("At 12:00 AEST, 1 farm(s) were below 60% of expected: Hazel Solar Farm (VIC1) at 25% - 24.0 MW vs 96.0 MW expected."
                                 " 1 curtailed farm(s) were excluded as not faults.")
     assert got[1]["question"] == "Which farms are underperforming right now?" and got[1]["provider"] == "rules"
-    assert "128.0 MW held back by a dispatch cap" in got[2]["answer"] and got[2]["tool"] == "curtailed_farms"
-    assert got[3]["answer"] == ("Test Solar Farm (NSW1, 150.0 MW) produced 2.0 MWh in the last 8 h, peaking at 24.0 MW. Average performance index 20% (lowest 20%).")
+    assert "150.0 MW held back by a dispatch cap" in got[2]["answer"] and got[2]["tool"] == "curtailed_farms"
+    assert got[3]["answer"] == ("Hazel Solar Farm (VIC1, 120.0 MW) produced 2.0 MWh in the last 8 h, peaking at 24.0 MW. Average performance index 25% (lowest 25%).")
     assert got[4]["fallback_reason"] == "invalid hours" and got[4]["provider"] == "rules"
-    assert got[4]["answer"] == ("Last 24 h: 4.7 MWh in total. QLD1 2.7 MWh from 1 farms (avg index 20%, 0 underperforming and 1 curtailed at the last daylight interval); "
-                                "NSW1 2.0 MWh from 1 farms (avg index 20%, 1 underperforming and 0 curtailed at the last daylight interval).")
-    assert got[5]["answer"] == "1 solar farms in NSW1: Test Solar Farm"
+    assert got[4]["answer"] == ("Last 24 h: 6.2 MWh in total. SA1 4.2 MWh from 1 farms (avg index 25%, 0 underperforming and 1 curtailed at the last daylight interval); "
+                                "VIC1 2.0 MWh from 1 farms (avg index 25%, 1 underperforming and 0 curtailed at the last daylight interval).")
+    assert got[5]["answer"] == "1 solar farms in VIC1: Hazel Solar Farm"
     assert got[6]["answer"] == "An inverter trips on dew. Farms fault. [1]" and [s["n"] for s in got[6]["sources"]] == [1]
     assert got[7]["answer"].endswith(" Related guidance: Faults - Inverter trips [1].")
     assert got[8]["answer"] == "I couldn't find a solar farm matching 'nowhere'." and got[8]["provider"] == "proposed"
-    assert "128" not in got[9]["answer"] and "10.7 MWh was curtailed" in got[9]["answer"]
+    assert "150" not in got[9]["answer"] and "12.5 MWh was curtailed" in got[9]["answer"]

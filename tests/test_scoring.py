@@ -13,22 +13,22 @@ def statuses(f):
 
 
 def test_worked_index(spark):
-    f = fleet(spark, [("TESTSF1", AT, 40.0), ("TESTSF2", AT, 20.0), ("OTHERSF1", AT, 150.0)], FULL_SUN)
+    f = fleet(spark, [("HAZLSF1", AT, 30.0), ("HAZLSF2", AT, 12.0), ("BRKNSF1", AT, 170.0)], FULL_SUN)
     got = {r["facility_code"]: r for r in f.performance().collect()}
-    assert got["TESTSF"]["expected_mw"] == pytest.approx(120.0) and got["TESTSF"]["performance_index"] == pytest.approx(0.5)
-    assert got["OTHERSF"]["expected_mw"] == pytest.approx(160.0) and round(got["OTHERSF"]["performance_index"], 2) == 0.94
+    assert got["HAZLSF"]["expected_mw"] == pytest.approx(96.0) and got["HAZLSF"]["performance_index"] == pytest.approx(0.4375)
+    assert got["BRKNSF"]["expected_mw"] == pytest.approx(200.0) and round(got["BRKNSF"]["performance_index"], 2) == 0.85
     under = catalogue.underperformers(f).collect()
-    assert [r["facility_code"] for r in under] == ["TESTSF"]
-    assert catalogue.underperformers(f, region="QLD1").count() == 0
+    assert [r["facility_code"] for r in under] == ["HAZLSF"]
+    assert catalogue.underperformers(f, region="SA1").count() == 0
 
 
 def test_only_reporting_units_add_capacity(spark):
-    f = fleet(spark, [("TESTSF1", AT, 40.0)], FULL_SUN)
-    assert rows(f.performance(), "facility_code", "capacity_mw") == [("TESTSF", 100.0)]
+    f = fleet(spark, [("HAZLSF1", AT, 40.0)], FULL_SUN)
+    assert rows(f.performance(), "facility_code", "capacity_mw") == [("HAZLSF", 80.0)]
 
 
 def test_nearest_observation_decides_and_may_leave_no_score(spark):
-    weather = [("TESTSF", AT - dt.timedelta(minutes=50), 1000.0, None, None), ("TESTSF", AT + dt.timedelta(minutes=10), 150.0, None, None)]
+    weather = [("HAZLSF", AT - dt.timedelta(minutes=50), 1000.0, None, None), ("HAZLSF", AT + dt.timedelta(minutes=10), 150.0, None, None)]
     got = fleet(spark, LOW[:2], weather).performance().first()
     assert got["ghi_wm2"] == 150.0 and got["performance_index"] is None and got["status"] is None
 
@@ -39,33 +39,33 @@ def test_missing_weather_expects_zero(spark):
 
 
 def test_status_without_prices_or_dispatch(spark):
-    assert statuses(fleet(spark, LOW, FULL_SUN)) == {"TESTSF": "underperforming", "OTHERSF": "underperforming"}
+    assert statuses(fleet(spark, LOW, FULL_SUN)) == {"HAZLSF": "underperforming", "BRKNSF": "underperforming"}
 
 
 def test_negative_price_is_provisional(spark):
-    f = fleet(spark, LOW, FULL_SUN, [("NSW1", AT, -35.0), ("QLD1", AT, 60.0)])
-    assert statuses(f) == {"TESTSF": "likely_curtailed", "OTHERSF": "underperforming"}
-    assert [r["facility_code"] for r in catalogue.underperformers(f).collect()] == ["OTHERSF"]
+    f = fleet(spark, LOW, FULL_SUN, [("VIC1", AT, -35.0), ("SA1", AT, 60.0)])
+    assert statuses(f) == {"HAZLSF": "likely_curtailed", "BRKNSF": "underperforming"}
+    assert [r["facility_code"] for r in catalogue.underperformers(f).collect()] == ["BRKNSF"]
 
 
 def test_dispatch_confirms_or_overrules(spark):
-    dispatch = [("TESTSF1", AT, 16.0, 80.0, 80.0, False), ("TESTSF2", AT, 8.0, 40.0, 40.0, False), ("OTHERSF1", AT, 32.0, 160.0, 160.0, True)]
-    f = fleet(spark, LOW, FULL_SUN, [("NSW1", AT, -35.0)], dispatch)
-    assert statuses(f) == {"TESTSF": "underperforming", "OTHERSF": "curtailed"}
-    assert [(r["facility_code"], r["curtailed_mw"]) for r in catalogue.curtailed_farms(f).collect()] == [("OTHERSF", 128.0)]
+    dispatch = [("HAZLSF1", AT, 16.0, 64.0, 64.0, False), ("HAZLSF2", AT, 8.0, 32.0, 32.0, False), ("BRKNSF1", AT, 50.0, 200.0, 200.0, True)]
+    f = fleet(spark, LOW, FULL_SUN, [("VIC1", AT, -35.0)], dispatch)
+    assert statuses(f) == {"HAZLSF": "underperforming", "BRKNSF": "curtailed"}
+    assert [(r["facility_code"], r["curtailed_mw"]) for r in catalogue.curtailed_farms(f).collect()] == [("BRKNSF", 150.0)]
     report = catalogue.underperformers_report(f).collect()
-    assert [(r["facility_code"], r["curtailed_excluded"]) for r in report] == [("TESTSF", 1)]
+    assert [(r["facility_code"], r["curtailed_excluded"]) for r in report] == [("HAZLSF", 1)]
 
 
 def test_energy_of_one_interval(spark):
-    f = fleet(spark, [("OTHERSF1", AT, 150.0), ("TESTSF1", AT, 60.0)], FULL_SUN)
-    assert rows(catalogue.facility_summary(f), "facility_code", "energy_mwh") == [("OTHERSF", 12.5), ("TESTSF", 5.0)]
-    assert catalogue.fleet_kpis(catalogue.fleet_summary(f)).first()["energy_mwh"] == 17.5
+    f = fleet(spark, [("BRKNSF1", AT, 210.0), ("HAZLSF1", AT, 30.0)], FULL_SUN)
+    assert rows(catalogue.facility_summary(f), "facility_code", "energy_mwh") == [("BRKNSF", 17.5), ("HAZLSF", 2.5)]
+    assert catalogue.fleet_kpis(catalogue.fleet_summary(f)).first()["energy_mwh"] == 20.0
 
 
 def test_latest_scored_stays_in_daylight(spark):
     night = AT + dt.timedelta(hours=7)
-    f = fleet(spark, [*LOW, ("TESTSF1", night, 0.0)], FULL_SUN)
+    f = fleet(spark, [*LOW, ("HAZLSF1", night, 0.0)], FULL_SUN)
     assert catalogue.latest_interval(f.readings).first()[0] == night
     assert catalogue.latest_scored(f).first()[0] == AT
 
@@ -83,19 +83,19 @@ def test_expected(spark, capacity, ghi, want):
 
 
 def test_off_grid_interval_is_refused(spark):
-    f = fleet(spark, [("TESTSF1", AT + dt.timedelta(minutes=1), 1.0)], FULL_SUN)
+    f = fleet(spark, [("HAZLSF1", AT + dt.timedelta(minutes=1), 1.0)], FULL_SUN)
     with pytest.raises(Exception, match="off the interval grid"):
         f.performance().collect()
 
 
 def test_find_facility(spark):
     f = fleet(spark)
-    assert catalogue.find_facility(f.units, "othersf").first()["facility_code"] == "OTHERSF"
-    assert catalogue.find_facility(f.units, "solar").first()["facility_code"] == "TESTSF"  # shorter name
+    assert catalogue.find_facility(f.units, "brknsf").first()["facility_code"] == "BRKNSF"
+    assert catalogue.find_facility(f.units, "solar").first()["facility_code"] == "HAZLSF"  # shorter name
     assert catalogue.find_facility(f.units, "nowhere").count() == 0
-    texts = spark.createDataFrame([("othersf",), ("Solar",), ("T_st",), ("%",), ("nowhere",)], "text string")
+    texts = spark.createDataFrame([("brknsf",), ("Solar",), ("H_ze",), ("%",), ("nowhere",)], "text string")
     assert rows(catalogue.find_facility_batch(f.units, texts), "searched_for", "facility_code") == [
-        ("%", "TESTSF"), ("Solar", "TESTSF"), ("T_st", "TESTSF"), ("othersf", "OTHERSF")]
+        ("%", "HAZLSF"), ("H_ze", "HAZLSF"), ("Solar", "HAZLSF"), ("brknsf", "BRKNSF")]
 
 
 def test_freshness(spark):
@@ -105,7 +105,7 @@ def test_freshness(spark):
 
 def test_scored_view_plan(spark, tmp_path):
     """Files are scanned with few columns, unused joins vanish, and nothing is joined by loop."""
-    f = fleet(spark, LOW, FULL_SUN, [("NSW1", AT, -35.0)], [("TESTSF1", AT, 16.0, 80.0, 80.0, False)])
+    f = fleet(spark, LOW, FULL_SUN, [("VIC1", AT, -35.0)], [("HAZLSF1", AT, 16.0, 64.0, 64.0, False)])
     from dataclasses import replace
     stored = {}
     for name in ("units", "readings", "weather", "prices", "dispatch"):

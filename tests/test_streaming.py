@@ -28,15 +28,15 @@ def test_threshold_alarm_ignores_missing_periods(spark):
 
 def test_late_dispatch_rescores_only_what_it_touched(spark):
     later = AT + dt.timedelta(minutes=5)
-    f = fleet(spark, [*LOW, ("TESTSF1", later, 1.0)], FULL_SUN, [("NSW1", AT, -35.0)])
+    f = fleet(spark, [*LOW, ("HAZLSF1", later, 1.0)], FULL_SUN, [("VIC1", AT, -35.0)])
     before = f.performance()
     from dataclasses import replace
     from heliofleet import schemas
-    batch = spark.createDataFrame([("TESTSF1", AT, 16.0, 80.0, 80.0, False), ("OTHERSF1", AT, 32.0, 160.0, 160.0, True)], schemas.DISPATCH)
+    batch = spark.createDataFrame([("HAZLSF1", AT, 16.0, 64.0, 64.0, False), ("BRKNSF1", AT, 50.0, 200.0, 200.0, True)], schemas.DISPATCH)
     after = scores.rescore(replace(f, dispatch=batch), scores.touched_pairs(batch, f.units))
     assert after.count() == 2
     assert rows(scores.score_changes(before, after), "facility_code", "was", "now", "curtailed_mw") == [
-        ("OTHERSF", "underperforming", "curtailed", 128.0), ("TESTSF", "likely_curtailed", "underperforming", 0.0)]
+        ("BRKNSF", "underperforming", "curtailed", 150.0), ("HAZLSF", "likely_curtailed", "underperforming", 0.0)]
 
 
 def test_streamed_profile_equals_batch(spark, tmp_path):
