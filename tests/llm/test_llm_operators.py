@@ -252,6 +252,44 @@ def test_html(spark):
     assert got[10] == [("Head ©\nOne two\nthree four é x\ntail", 34)] * 2 and got[11] == [("", 0)] and got[12] == [(shared, len(shared))]
 
 
+def test_repeated_length_by_brute_force():
+    """Longest beginning that enough pages have; a page with several suffixes counts once."""
+    from heliofleet.llm.htmltext import repeated_length, suffix_array
+    rng = np.random.default_rng(7)
+    pages = [[rng.integers(0, 2, rng.integers(1, 9)).astype(np.uint64) for _ in range(rng.integers(1, 4))] for _ in range(40)]
+    rows: dict = {}
+    for own in pages:
+        order, shared = suffix_array(own)
+        for i, n in zip(order, shared):
+            rows[own[i].tobytes()] = rows.get(own[i].tobytes(), 0) + 1
+            if n:
+                rows[own[i][:n].tobytes()] = rows.get(own[i][:n].tobytes(), 0) - 1
+    suffixes = [np.frombuffer(k, np.uint64) for k in rows]
+    for many in (1, 3, 10):
+        got = repeated_length(suffixes, list(rows.values()), many)
+        for s, n in zip(suffixes, got):
+            have = [sum(any(len(o) >= d and (o[:d] == s[:d]).all() for o in own) for own in pages) for d in range(1, len(s) + 1)]
+            assert n == max((d for d, c in enumerate(have, 1) if c >= many), default=0)
+
+
+def test_html_without_article(spark):
+    """Open paragraphs stay whole; only blocks that lie in a repeat on many pages go."""
+    line, menu = "this long line stands on every page of the site", ["Home", "News of today", "About us", "Contact"]
+    six = "one two three four five six"
+    def page(i, *more):
+        return "".join(f"<div>{m}</div>" for m in menu) + f"<p>Page {i} says {six} and then {i} again</p><h2>Summary</h2><p>{i} times</p>" + "".join(f"<p>{m}</p>" for m in more) + f"<p>{line}</p>"
+    rows = [(i, f"http://a.example/{i}", page(i, *([f"before {line} after {i}"] if i == 2 else []))) for i in range(8)]
+    copy = "<p>A text that is the same on both pages of this host</p><h2>Summary</h2><p>and goes on here for some words</p>"
+    rows += [(20 + i, f"http://b.example/{i}", copy) for i in range(4)]
+    rows += [(30, "http://c.example/1", f"<p>{six} seven</p>"), (31, "http://c.example/2", f"<p>zero {six}</p>")]
+    got = {r.page_id: (r.text, r.n_repeated) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        own = f"Page {i} says {six} and then {i} again\nSummary\n{i} times" + (f"\nbefore {line} after 2" if i == 2 else "")
+        assert got[i][0] == own and got[i][1] > 0
+    assert all(got[20 + i] == ("A text that is the same on both pages of this host\nSummary\nand goes on here for some words", 0) for i in range(4))
+    assert got[30] == (f"{six} seven", 0) and got[31] == (f"zero {six}", 0)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 16))
