@@ -8,7 +8,8 @@ packing          packs the rest into sequences of token ids
 
 All but the last return the columns of ``documents``. A document that a stage leaves without words
 stays, with an empty text. Every stage takes rows with null texts or ids, repeated rows, empty
-tables and further columns; rows without an id are never dropped as copies or leaks.
+tables and further columns. Near copies and leaks are judged and dropped row by row, with or without
+an id; of a group of near copies the row with the least id stays, one without an id only if none has one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from heliofleet.llm.minhash import near_duplicates
 from heliofleet.llm.packing import pack_documents
 from heliofleet.llm.queries import tokenizer_path
 from heliofleet.llm.substring import remove_repeats
-from heliofleet.llm.tables import crc_mod, staged
+from heliofleet.llm.tables import crc_mod, keyed, staged
 from heliofleet.llm.toxicity import score_toxicity
 from heliofleet.session import configure
 
@@ -28,11 +29,6 @@ TOXIC = 0.3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _dropped(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is not among ``ids``."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -43,8 +39,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    found = near_duplicates(docs, shingle=5, percent=80)
-    return _dropped(docs, found.where("not kept and doc_id is not null")).dropDuplicates(["doc_id", "text"])
+    rows, key = keyed(docs.select(*COLUMNS), "near-rows")
+    found = near_duplicates(rows, shingle=5, percent=80, key=key)
+    return rows.join(found.where("not kept").select(key), key, "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +54,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return without_items(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

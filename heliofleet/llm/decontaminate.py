@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from heliofleet.llm.tables import staged
+from heliofleet.llm.tables import keyed, staged
 
 WIDTH = 5
 
@@ -81,7 +81,8 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
         "doc_id", "item_id", "b.n_shingles", "b.n_shared", (F.col("b.n_shared") / F.col("b.n_shingles")).alias("containment"))
 
 
-def without_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that contain no test item; rows without an id stay."""
-    leaked = contained_items(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(leaked, doc_id, "left_anti").select(docs.columns)
+def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that contain no test item; each row is judged by its own text, with or without an id."""
+    rows, key = keyed(docs, "decontamination-rows")
+    leaked = contained_items(rows, items, doc_id=key, **options).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(leaked, key, "left_anti").select(docs.columns)

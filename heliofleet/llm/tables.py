@@ -17,6 +17,14 @@ def crc_mod(doc_id, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
 
 
+def keyed(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """The rows with a written number that tells them apart, and that column's name."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), purpose), name
+
+
 def total_bytes(docs: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
@@ -38,4 +46,4 @@ def groups_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return np.array([zlib.crc32(b"%d" % i) % groups for i in known.tolist()], np.int64)[at]
 
 
-__all__ = ["GROUP_BYTES", "crc_mod", "total_bytes", "parts_for", "group_column", "groups_of", "staged"]
+__all__ = ["GROUP_BYTES", "crc_mod", "total_bytes", "parts_for", "group_column", "groups_of", "keyed", "staged"]
