@@ -4,7 +4,7 @@ toxicity         drops documents whose score reaches ``TOXIC``
 near_duplicates  keeps one document of each group of near copies (five-word shingles, 0.8)
 substring_dedup  takes out passages that an earlier document has; the text is what is left
 decontamination  drops documents that contain a benchmark item
-packing          packs the rest into sequences of token ids
+packing          packs the rest into sequences of token ids: pieces with their ids and place
 
 All but the last return the columns of ``documents``. A document that a stage leaves without words
 stays, with an empty text. Every stage takes rows with null texts or ids, repeated rows, empty
@@ -59,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return pack_documents(docs, tokenizer_path(), 2048)
+    return pack_documents(docs, tokenizer_path(), 2048, with_ids=True)
 
 
 STAGES = [
@@ -79,4 +79,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-ORACLE_SQL = None  # a trained classifier and a tokenizer have no SQL form: tests/llm compare with a brute-force version
+ORACLE_SQL = None  # a trained classifier and a tokenizer have no SQL form: tests/llm/test_pipeline.py compares the last four stages with brute force

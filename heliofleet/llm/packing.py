@@ -39,11 +39,11 @@ def _cut(path: str, length: int, end_id: int, with_ids: bool):
                         out["ids_crc32"].append(zlib.crc32(piece.tobytes()))
                         out["doc_tokens"].append(len(own))
                         if with_ids:
-                            out["ids"].append(piece)
+                            out["ids"].append(piece.astype(np.int32))
                 columns = [pa.array(out[n], pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    columns.append(pa.array(out["ids"], pa.list_(pa.int64())))
+                    columns.append(pa.array(out["ids"], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
@@ -96,7 +96,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     are unique, not gapless: the group's number in the high half, the sequence in the low one.
     Pieces within a sequence lie at offsets 0, then end to end. An empty table gives no rows.
     """
-    shape = PIECES + (", ids array<long>" if with_ids else "")
+    shape = PIECES + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     pieces = staged(rows.mapInArrow(_cut(tokenizer, length, end_id, with_ids), shape), "pieces")
     groups = parts_for(pieces.count(), GROUP_PIECES)

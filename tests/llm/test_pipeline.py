@@ -95,3 +95,17 @@ def test_leaks_are_dropped_by_row(spark, tables):
     got = corpus_pipeline.decontamination(spark, docs, tables)
     want = without_leaks(texts())
     assert counted(got) == collections.Counter(want) and len(want) == len(texts()) - 3
+
+
+def test_passages_of_earlier_documents_go(spark, tables):
+    got = corpus_pipeline.substring_dedup(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)
+    want = collections.Counter(without_passages(texts()))
+    assert counted(got) == want and want != collections.Counter(texts())
+
+
+def test_packing_gives_the_token_ids(spark, tables):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(corpus_pipeline.tokenizer_path())
+    got = corpus_pipeline.packing(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables).collect()
+    want = collections.Counter((i, *tokenizer.encode(t or "", add_special_tokens=False).ids, 1) for i, t in texts())
+    assert collections.Counter((r.doc_id, *r.ids) for r in got) == want
