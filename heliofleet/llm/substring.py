@@ -1,11 +1,14 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Substring deduplication by window matching across blocks of the corpus.
 
-Every slice of the corpus is a reference block: it is indexed by the fingerprint of each of its
-windows of ``window`` words with the smallest document that has it. The blocks' indexes meet by
-fingerprint, so each document is factored against all blocks at once: a factor is the longest run
-of windows that all start in some earlier document. A window that spans two neighbouring factors
-is looked up like any other, so nothing is lost at a factor's end. Factors of at least ``window``
-words become spans; their words go.
+This replaces relative Lempel-Ziv parsing: there is no greedy longest match and no factor of source,
+position and length. The rule removes every word of a window of ``window`` words that an earlier
+document has, whichever document that is. A greedy parse cuts a text where its longest match ends, so
+a window across two factors would have to be looked up by itself anyway, and those lookups alone
+decide the rule.
+
+Every slice of the corpus is indexed by the fingerprint of each of its windows with the smallest
+document that has it. The slices' indexes meet by fingerprint, so each document is looked up in all
+of them at once. The words of windows that start in some earlier document become spans and go.
 
 Per block each fingerprint travels once, so a passage that a third of all documents share costs
 one entry per block. Copies inside a block are settled in the block.
@@ -142,7 +145,7 @@ def _factor_block(block: pa.RecordBatch, marks: np.ndarray, window: int) -> pa.T
     np.add.at(steps, at[hit], 1)
     np.add.at(steps, at[hit] + window, -1)
     covered = np.cumsum(steps)[:n] > 0
-    # factors: covered runs, cut at document bounds
+    # spans: covered runs, cut at document bounds
     before = np.concatenate([[False], covered[:-1]]) if n else covered
     edge = np.zeros(n, bool)
     edge[words.starts[:-1][words.lengths > 0]] = True
@@ -168,7 +171,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Words of every text that lie in a window which also starts in a document with a smaller id.
 
     One row per input row: ``doc_id, n_words, n_removed, spans`` (word positions of the removed
-    factors) and ``kept_text`` (the other words, joined by one space), then the columns named in
+    runs) and ``kept_text`` (the other words, joined by one space), then the columns named in
     ``carry``; others are left out, and so may have any name.
     Null or empty texts have no words; texts under ``window`` words keep all of theirs. A row
     without an id keeps its words and is no reference. Rows that repeat an id are one document:
