@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from heliofleet.llm.annforest import nearest_vectors
 from heliofleet.llm.decontaminate import contained_items
 from heliofleet.llm.embedding import near_vectors
+from heliofleet.llm.hardnegatives import hard_negatives
 from heliofleet.llm.htmltext import extract_text
 from heliofleet.llm.lm import score_texts
 from heliofleet.llm.minhash import near_duplicates
 from heliofleet.llm.packing import pack_documents
+from heliofleet.llm.prefixtrie import conversation_trie
 from heliofleet.llm.quality import score_quality
 from heliofleet.llm.sharding import shard_by_bytes
 from heliofleet.llm.substring import remove_repeats
@@ -95,6 +98,40 @@ def op10_packing(spark, sf_dir) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op11_nearest_vectors(spark, sf_dir) -> DataFrame:
+    return nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark, sf_dir) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as ints
+    from embeddings where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+    select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same,
+           coalesce(list_sum(list_transform(list_zip(a.ints, r.ints), lambda p: p[1] * p[2])), 0)::bigint as score
+    from v a join v r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id and len(a.ints) = len(r.ints)),
+p as (
+    select anchor_id, vec_id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+    select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank,
+           vec_id as negative_id, positive_score, score as negative_score
+    from p join s using (anchor_id)
+    where not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
+def op13_conversation_trie(spark, sf_dir) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 REGISTERED = {
     "op1_decontamination": (op1_decontamination, OP1_SQL),
     "op2_quality": (op2_quality, None),
@@ -106,4 +143,7 @@ REGISTERED = {
     "op8_lm_scores": (op8_lm_scores, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
     "op10_packing": (op10_packing, None),
+    "op11_nearest_vectors": (op11_nearest_vectors, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_conversation_trie": (op13_conversation_trie, None),
 }
