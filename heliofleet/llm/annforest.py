@@ -217,26 +217,29 @@ def _descend(dtype: str, budget: int):
     return run
 
 
-def probes(queries: DataFrame, levels: list[DataFrame], dtype: str, budget: int) -> DataFrame:
-    """``cls, tree, cell, taken``: the leaves each query class (cls, dim, vec) visits, and the rows visited with each."""
+def probes(queries: DataFrame, levels: list[DataFrame], dtype: str, reach: int, budget: int) -> DataFrame:
+    """``cls, tree, cell, taken``: the leaves each query class (cls, dim, vec) visits, and the rows visited with each.
+
+    The last round takes ``budget`` rows; rounds before it take cells of ``reach`` rows, as near leaves lie in many cells."""
+    limits = [reach] * (len(levels) - 1) + [budget]
     schema = "cls long, tree int, cell long, far double, taken long, n long"
     blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     entry = queries.join(blocks, "dim").select("cls", F.col("dim").cast("long").alias("cell"), F.lit(0.0).alias("far"), "vec",
                                                F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
     roots = levels[0].join(blocks.select(F.col("dim").cast("long").alias("cell"), "blocks"), "cell").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = entry.groupBy("cell", "block").cogroup(roots.groupBy("cell", "block")).applyInArrow(_descend(dtype, budget), schema)
-    for level in levels[1:]:
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    found = entry.groupBy("cell", "block").cogroup(roots.groupBy("cell", "block")).applyInArrow(_descend(dtype, limits[0]), schema)
+    for level, limit in zip(levels[1:], limits[1:]):
         found = staged(found, "forest-probes")
         keys = ["tree", "cell"]
         inner = found.join(level.select(*keys), keys).select("cls", "far", *keys)
         blocks = inner.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-        entry = inner.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).join(queries.select("cls", "vec"), "cls")
-        below = level.join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        deeper = entry.groupBy(*keys, "block").cogroup(below.groupBy(*keys, "block")).applyInArrow(_descend(dtype, budget), schema)
+        entry = inner.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).drop("blocks").join(queries.select("cls", "vec"), "cls")
+        below = level.join(blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        deeper = entry.groupBy(*keys, "block").cogroup(below.groupBy(*keys, "block")).applyInArrow(_descend(dtype, limit), schema)
         flat = found.join(level.select(*keys), keys, "left_anti").unionByName(deeper)
         order = Window.partitionBy("cls").orderBy("far", "tree", "cell")
-        found = flat.withColumn("taken", F.sum("n").over(order)).where(F.col("taken") - F.col("n") < budget)
+        found = flat.withColumn("taken", F.sum("n").over(order)).where(F.col("taken") - F.col("n") < limit)
     return found.select("cls", "tree", "cell", "taken")
 
 
@@ -278,10 +281,10 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def nearest_classes(queries: DataFrame, levels: list[DataFrame], members: DataFrame, dtype: str, budget: int, k: int) -> DataFrame:
+def nearest_classes(queries: DataFrame, levels: list[DataFrame], members: DataFrame, dtype: str, reach: int, budget: int, k: int) -> DataFrame:
     """``query, cls, least, score, place``: the ``k`` best classes each query class finds."""
     keys = ["tree", "cell"]
-    visits = staged(probes(queries, levels, dtype, budget).select("cls", *keys), "forest-visits")
+    visits = staged(probes(queries, levels, dtype, reach, budget).select("cls", *keys), "forest-visits")
     asked_blocks = visits.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qs"))
     member_blocks = members.groupBy(*keys).agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("ms"))
     sizes = staged(asked_blocks.join(member_blocks, keys), "forest-blocks")
@@ -302,36 +305,48 @@ def brute_force(queries: DataFrame, classes: DataFrame, dtype: str, k: int) -> D
     return _merged(asked.groupBy("dim", "block").cogroup(held.groupBy("dim", "block")).applyInArrow(_rerank(dtype, k), NEAR), k)
 
 
-def fitted_budget(queries: DataFrame, classes: DataFrame, levels, members: DataFrame, dtype: str, k: int, first: int = FIRST_BUDGET,
-                  audit: int = AUDIT, target: float = TARGET) -> tuple[int, float | None]:
-    """The least budget that finds ``target`` of the true neighbours of one sample of queries, and the recall at
-    that budget on another; (0, None) without queries. The budget asked for grows until both are met or it covers every row."""
-    drawn = staged(queries.orderBy(F.xxhash64("cls", F.lit(3))).limit(2 * audit).withColumn("fit", F.pmod(F.xxhash64("cls", F.lit(4)), F.lit(2)) == 0), "forest-audit")
-    if drawn.isEmpty():
-        return 0, None
-    true = staged(brute_force(drawn, classes, dtype, k).select("query", "cls"), "forest-true")
-    homes = members.join(true.select("cls").distinct(), "cls", "left_semi").select("cls", "tree", "cell")
-    asked = staged(true.join(homes, "cls").select("query", "cls", "tree", "cell"), "forest-homes")
+def fitted_budget(asked: DataFrame, classes: DataFrame, levels, members: DataFrame, dtype: str, k: int, first: int = FIRST_BUDGET,
+                  audit: int = AUDIT, target: float = TARGET) -> tuple[int, int, float | None]:
+    """The budget asked for, the least that finds ``target`` of the true neighbours of one sample of queries (``vec_id, cls``),
+    and the recall at the latter on another sample; no recall without queries. Queries and neighbours count once per row, so a vector
+    that many rows share weighs as much as they do. The budget asked for grows until both samples are met or it covers
+    every row; a target of 1 or more covers every row from the start."""
     most = members.count()
-    budget = first
+    if target >= 1:
+        return most, most, 1.0
+    drawn = asked.orderBy(F.xxhash64("vec_id", "cls", F.lit(3))).limit(2 * audit)
+    half = F.pmod(F.xxhash64("vec_id", "cls", F.lit(4)), F.lit(2)) == 0
+    weights = staged(drawn.groupBy("cls").agg(F.count(F.when(half, 1)).alias("fit"), F.count(F.when(~half, 1)).alias("rest")), "forest-audit")
+    if weights.isEmpty():
+        return 1, 1, None
+    queries = staged(classes.join(weights, "cls").select("cls", "dim", "vec"), "forest-audit")
+    near = brute_force(queries, classes, dtype, k + 1).join(classes.select("cls", F.size("ids").alias("rows")), "cls").withColumn(
+        "rows", F.col("rows") - F.when(F.col("cls") == F.col("query"), 1).otherwise(0))
+    sofar = F.sum("rows").over(Window.partitionBy("query").orderBy("place"))
+    true = staged(near.withColumn("sofar", sofar).select("query", "cls", F.least("rows", k - F.col("sofar") + F.col("rows")).alias("rows")).where("rows > 0"), "forest-true")
+    homes = members.join(true.select("cls").distinct(), "cls", "left_semi").select("cls", "tree", "cell")
+    sought = staged(true.join(homes, "cls").select("query", "cls", "rows", "tree", "cell"), "forest-homes")
+    if sought.isEmpty():
+        return 1, 1, None
+    budget = min(first, most)
     while True:
-        visits = probes(drawn, levels, dtype, budget).withColumnRenamed("cls", "query")
-        cost = asked.join(visits, ["query", "tree", "cell"], "left").groupBy("query", "cls").agg(F.min("taken").alias("cost"))
-        seen = cost.join(drawn.select(F.col("cls").alias("query"), "fit"), "query").select("fit", "cost").toPandas()  # 2 x audit x k rows
-        fit, rest = (np.sort(seen[seen["fit"] == own]["cost"].fillna(np.inf).to_numpy()) for own in (True, False))
-        if not len(fit):
-            fit = rest
-        need = fit[min(len(fit) - 1, int(np.ceil(target * len(fit))))]
-        recall = float((rest <= need).mean()) if len(rest) else float((fit <= need).mean())
+        visits = probes(queries, levels, dtype, budget, budget).withColumnRenamed("cls", "query")
+        cost = sought.join(visits, ["query", "tree", "cell"], "left").groupBy("query", "cls", "rows").agg(F.min("taken").alias("cost"))
+        seen = cost.join(weights.withColumnRenamed("cls", "query"), "query").select("rows", "cost", "fit", "rest").toPandas()  # 2 x audit x k rows
+        seen = seen.fillna({"cost": np.inf}).sort_values("cost")
+        cost, fit, rest = seen["cost"].to_numpy(), (seen["rows"] * seen["fit"]).to_numpy(), (seen["rows"] * seen["rest"]).to_numpy()
+        fit, rest = fit if fit.sum() else rest, rest if rest.sum() else fit
+        need = cost[min(int(np.searchsorted(fit.cumsum(), target * fit.sum())), len(cost) - 1)]
+        recall = float(rest[cost <= need].sum() / rest.sum())
         if np.isfinite(need) and recall >= LEAST_RECALL:
-            return int(need), recall
+            return budget, int(need), recall
         if budget >= most:
-            return budget, 1.0
+            return most, most, 1.0
         budget = min(budget * 8, most)
 
 
 def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
-                    first_budget: int = FIRST_BUDGET, **shape) -> DataFrame:
+                    first_budget: int = FIRST_BUDGET, target: float = TARGET, **shape) -> DataFrame:
     """``query_id, rank, vec_id, score, audit_recall``: the ``k`` nearest found for every row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision, largest first, ties to the smaller id; a query's
@@ -339,7 +354,8 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: st
     that are null, empty, zero or hold a null or non-finite component take no part. Vectors of different
     widths do not meet. Rows that repeat an id with the same vector count once; with different vectors each
     is a row of its own. Products too large for a double are infinite, undefined ones the least of all.
-    An empty table gives no rows. Further columns are ignored. ``audit_recall`` is the run's measured recall.
+    An empty table gives no rows. Further columns are ignored. ``audit_recall`` is the run's measured recall
+    (null where no query has a candidate). With ``target`` 1 every leaf is visited and the result is exact.
     """
     kind = vectors.schema[embedding].dataType
     dtype = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
@@ -349,14 +365,14 @@ def nearest_vectors(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: st
     order = Window.partitionBy("vec").orderBy("vec_id")
     ids = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).groupBy("vec").agg(
         F.array_sort(F.collect_list("vec_id")).alias("ids"), F.any_value("dim").alias("dim"), F.any_value("norm").alias("norm"))
-    reach = known.groupBy("dim").agg(F.max("norm").alias("reach"))
-    classes, key = keyed(ids.join(reach, "dim").select("dim", "vec", "reach", "ids", F.col("ids")[0].alias("least")), "forest-classes")
+    longest = known.groupBy("dim").agg(F.max("norm").alias("reach"))
+    classes, key = keyed(ids.join(longest, "dim").select("dim", "vec", "reach", "ids", F.col("ids")[0].alias("least")), "forest-classes")
     classes = classes.withColumnRenamed(key, "cls")
     asked = staged(known.where(F.col("vec_id") % every == 0).select("vec_id", "vec").join(classes.select("cls", "vec"), "vec").select("vec_id", "cls"), "forest-asked")
     queries = staged(classes.join(asked.select("cls").distinct(), "cls", "left_semi").select("cls", "dim", "vec"), "forest-queries")
     levels, members = grow(classes, dtype, **shape)
-    budget, recall = fitted_budget(queries, classes, levels, members, dtype, k, first_budget)
-    near = nearest_classes(queries, levels, members, dtype, max(budget, 1), k + 1)
+    reach, budget, recall = fitted_budget(asked, classes, levels, members, dtype, k, first_budget, target=target)
+    near = nearest_classes(queries, levels, members, dtype, reach, budget, k + 1)
     named = near.join(classes.select("cls", "ids"), "cls").select("query", F.explode("ids").alias("vec_id"), "score")
     top = named.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))  # k + 1 each
