@@ -51,10 +51,10 @@ def numbered_turns(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     place in its range plus the rows of earlier ranges.
     """
     said, body = F.coalesce(F.col(role).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = turns.where(F.col(conv_id).isNotNull()).select(
+    rows = staged(turns.where(F.col(conv_id).isNotNull()).select(
         F.col(conv_id).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), said.alias("role"),
         _digest(F.octet_length(said).cast("string").cast("binary"), F.lit(b":"), said.cast("binary"), body.cast("binary")).alias("sym"),
-        F.regexp_count(body, F.lit(WORD)).cast("long").alias("words"))
+        F.regexp_count(body, F.lit(WORD)).cast("long").alias("words")), "trie-digests")  # texts are read once; sorting by range looks at its rows twice
     order = ["conv", F.asc_nulls_first("turn"), "role", "sym"]
     dealt = staged(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "trie-turns")
     within = Window.partitionBy("part", "conv").orderBy(*order[1:])
@@ -94,31 +94,31 @@ def block_names(steps: DataFrame, rounds: int) -> list[DataFrame]:
 
 
 def prefix_names(steps: DataFrame, convs: DataFrame, rounds: int) -> DataFrame:
-    """``conv, d, name`` for every prefix, d from 0: equal names for equal prefixes."""
+    """``conv, last, d, name`` for every prefix, d from 0: equal names for equal prefixes. ``convs``: conv, last (its turns)."""
     blocks = block_names(steps, rounds)
-    done = [convs.select("conv", F.lit(0).cast("long").alias("d"), F.unhex(F.lit(ROOT)).alias("name"))]
+    done = [convs.select("conv", "last", F.lit(0).cast("long").alias("d"), F.unhex(F.lit(ROOT)).alias("name"))]
     for k in range(rounds - 1, -1, -1):
         cut = blocks[k].where(F.col("j") % 2 == 0).select("conv", F.shiftleft("j", k).alias("d"), F.col("name").alias("block"))
         done.append(staged(_read(done).join(cut, ["conv", "d"]).select(
-            "conv", (F.col("d") + (1 << k)).alias("d"), _digest(F.col("name"), F.col("block")).alias("name")), "trie-names"))
+            "conv", "last", (F.col("d") + (1 << k)).alias("d"), _digest(F.col("name"), F.col("block")).alias("name")), "trie-names"))
     return _read(done)
 
 
 def grafted(paths: DataFrame, nodes: DataFrame, values: list[str], rounds: int) -> DataFrame:
     """``d, name`` and the sum of each value over the node's subtree.
 
-    ``paths`` (conv, d, name) are all prefixes; ``nodes`` (conv, d, name, values) names for each node
+    ``paths`` (conv, last, d, name) are all prefixes; ``nodes`` (conv, d, name, values) names for each node
     one conversation that passes it.
     """
     keys, sums = ["d", "name"], [F.sum(v).alias(v) for v in values]
     got = [nodes.select(*keys, *values)]
     for k in range(rounds):
         whole, half = 1 << (k + 1), 1 << k
-        at_cut = F.col("d") % whole == half
+        at_cut = (F.col("d") >= half) & (F.col("d") % whole == half)
         total = _read(got).where(at_cut).groupBy(*keys).agg(*sums) if k else nodes.where(at_cut).select(*keys, *values)
         cut = nodes.where(at_cut).select("conv", *keys).join(total, keys).select(
             "conv", F.shiftright("d", k + 1).alias("block"), *values)
-        upper = paths.where(F.col("d") % whole < half).select("conv", F.shiftright("d", k + 1).alias("block"), *keys)
+        upper = paths.where((F.col("last") >= half) & (F.col("d") % whole < half)).select("conv", F.shiftright("d", k + 1).alias("block"), *keys)
         got.append(staged(upper.join(cut, ["conv", "block"]).groupBy(*keys).agg(*sums), "trie-totals"))
     return _read(got).groupBy(*keys).agg(*sums)
 
@@ -146,12 +146,12 @@ def _hashes(rows):
                                       names=["d", "name", "ends_sha256"])
 
 
-def end_hashes(paths: DataFrame, depths: DataFrame) -> DataFrame:
+def end_hashes(paths: DataFrame) -> DataFrame:
     """``d, name, ends_sha256`` of nodes at which a conversation ends: SHA-256 of the ids that end there, ascending.
 
     Ids become text in runs of at most ``ID_RUN``; a node's runs are sorted on disk and hashed as a stream.
     """
-    ends = paths.join(depths, ["conv", "d"]).select("d", "name", "conv", F.floor(F.col("conv") / ID_RUN).alias("run"))
+    ends = paths.where("d = last").select("d", "name", "conv", F.floor(F.col("conv") / ID_RUN).alias("run"))
     runs = ends.groupBy("d", "name", "run").agg(F.array_join(F.array_sort(F.collect_list("conv")), ",").alias("ids"))
     return runs.repartition("d", "name").sortWithinPartitions("d", "name", "run").mapInArrow(
         _hash_runs, "d long, name binary, ends_sha256 string")
@@ -170,8 +170,9 @@ def conversation_trie(turns: DataFrame, conv_id: str = "conv_id", turn: str = "t
     numbered = staged(numbered_turns(turns, conv_id, turn, role, text), "trie-numbered")
     steps, convs = rebuilt(numbered)
     steps = staged(steps, "trie-steps")
-    longest = steps.agg(F.coalesce(F.max("d"), F.lit(0))).first()[0]
-    rounds = int(longest).bit_length()
+    lengths = steps.groupBy("conv").agg(F.max("d").alias("last"))
+    convs = staged(convs.join(lengths, "conv", "left").select("conv", F.coalesce("last", F.lit(0)).alias("last")), "trie-lengths")
+    rounds = int(convs.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]).bit_length()
     paths = staged(prefix_names(steps, convs, rounds), "trie-paths")
     before = paths.select("conv", (F.col("d") + 1).alias("d"), F.col("name").alias("parent"))
     seen = paths.join(before, ["conv", "d"], "left").join(steps.select("conv", "d", "words"), ["conv", "d"], "left")
@@ -184,8 +185,7 @@ def conversation_trie(turns: DataFrame, conv_id: str = "conv_id", turn: str = "t
         F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("n_leaves"),
         ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens")), "trie-valued")
     totals = grafted(paths, valued, ["n_leaves", "saved_tokens"], rounds)
-    depths = paths.groupBy("conv").agg(F.max("d").alias("d"))
-    own = valued.drop("n_leaves", "saved_tokens").join(totals, ["d", "name"]).join(end_hashes(paths, depths), ["d", "name"], "left")
+    own = valued.drop("n_leaves", "saved_tokens").join(totals, ["d", "name"]).join(end_hashes(paths), ["d", "name"], "left")
     above = valued.where("n_children > 0").select((F.col("d") + 1).alias("d"), F.col("name").alias("parent"), F.col("conv").alias("parent_conv_id"))
     return staged(own, "trie-totals").join(above, ["d", "parent"], "left").select(
         F.col("conv").alias("conv_id"), F.col("d").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
