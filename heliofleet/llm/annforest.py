@@ -11,7 +11,9 @@ length of the longest (Euclidean order is then the order of inner products), and
   crossed so far, and takes leaves until they hold ``budget`` rows. Where leaves were cut again, the
   query goes on from each with its margin, and its leaves of all cells are put in one order again.
 * Reranking. Each leaf, in blocks, scores its queries exactly, in double precision, on the original
-  vectors; the best of all leaves are merged per query.
+  vectors; the best of all leaves are merged per query. Leaves are scored in two passes, nearest
+  first, and the second sends on only what reaches the last of the best found before, so what a
+  query sends does not grow with the leaves it visits.
 * Budget. The true neighbours of a bounded sample of queries are found by brute force and the least
   budget is taken that finds ``TARGET`` of them; it grows until it does, at last to all rows. The
   recall reported is measured on other queries than those the budget was fitted on.
@@ -30,6 +32,7 @@ from heliofleet.llm.tables import keyed, staged
 TREES, LEAF, SAMPLE, LEAST_SAMPLE = 4, 512, 4096, 8
 CUTS, CHILDREN = 8, 1024  # projections tried per cut; ids of a cell's leaves
 ROUTE_BLOCK, QUERY_BLOCK, MEMBER_BLOCK = 16_384, 1024, 8192
+STEP = 16  # how much further the second pass of reranking goes
 AUDIT, FIRST_BUDGET, TARGET, LEAST_RECALL = 192, 1 << 15, 0.94, 0.9
 MODEL = "tree int, cell long, planes binary, cuts binary, kids binary, leaves int"
 
@@ -218,7 +221,7 @@ def _descend(dtype: str, budget: int):
 
 
 def probes(queries: DataFrame, levels: list[DataFrame], dtype: str, reach: int, budget: int) -> DataFrame:
-    """``cls, tree, cell, taken``: the leaves each query class (cls, dim, vec) visits, and the rows visited with each.
+    """``cls, tree, cell, taken, n``: the leaves each query class (cls, dim, vec) visits, the rows visited with each, and its own.
 
     The last round takes ``budget`` rows; rounds before it take cells of ``reach`` rows, as near leaves lie in many cells."""
     limits = [reach] * (len(levels) - 1) + [budget]
@@ -240,28 +243,27 @@ def probes(queries: DataFrame, levels: list[DataFrame], dtype: str, reach: int,
         flat = found.join(level.select(*keys), keys, "left_anti").unionByName(deeper)
         order = Window.partitionBy("cls").orderBy("far", "tree", "cell")
         found = flat.withColumn("taken", F.sum("n").over(order)).where(F.col("taken") - F.col("n") < limit)
-    return found.select("cls", "tree", "cell", "taken")
+    return found.select("cls", "tree", "cell", "taken", "n")
 
 
 def _rerank(dtype: str, k: int):
-    """The ``k`` best classes of a block of members for every query that visits the leaf."""
+    """The ``k`` best classes of a block of members for every query that visits the leaf, as far as they reach its ``bar``."""
     def run(asked: pa.Table, members: pa.Table) -> pa.Table:
         a, b = [], []
         scores = []
         if asked.num_rows and members.num_rows:
             q, x = _matrix(asked.column("vec"), dtype), _matrix(members.column("vec"), dtype)
             least = members.column("least").to_numpy()
+            reach = [-np.inf if b is None else b for b in asked.column("bar").to_pylist()] if "bar" in asked.column_names else [-np.inf] * len(q)
             with np.errstate(over="ignore", invalid="ignore"):
+                rounding = 1e-12 * np.sqrt((x * x).sum(axis=1).max())
                 for lo in range(0, len(q), 128):
                     rough = q[lo:lo + 128] @ x.T
                     rough[np.isnan(rough)] = -np.inf
                     for i, row in enumerate(rough, lo):
-                        if len(row) > k:
-                            bar = np.partition(row, -k)[-k]
-                            slack = 1e-9 * np.sqrt((q[i] @ q[i]) or 1) if np.isfinite(bar) else 0.0
-                            at = np.flatnonzero(row >= bar - slack)
-                        else:
-                            at = np.arange(len(row))
+                        bar = max(reach[i], np.partition(row, -k)[-k] if len(row) > k else -np.inf)
+                        slack = rounding * np.sqrt(q[i] @ q[i])
+                        at = np.flatnonzero(row >= (bar - slack if np.isfinite(bar) and np.isfinite(slack) else -np.inf if bar < np.inf else bar))
                         exact = np.einsum("j,ij->i", q[i], x[at])
                         exact[np.isnan(exact)] = -np.inf
                         best = np.lexsort((least[at], -exact))[:k]
@@ -284,17 +286,28 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 def nearest_classes(queries: DataFrame, levels: list[DataFrame], members: DataFrame, dtype: str, reach: int, budget: int, k: int) -> DataFrame:
     """``query, cls, least, score, place``: the ``k`` best classes each query class finds."""
     keys = ["tree", "cell"]
-    visits = staged(probes(queries, levels, dtype, reach, budget).select("cls", *keys), "forest-visits")
+    visits = staged(probes(queries, levels, dtype, reach, budget).withColumn("start", F.col("taken") - F.col("n")), "forest-visits")
     asked_blocks = visits.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qs"))
     member_blocks = members.groupBy(*keys).agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("ms"))
     sizes = staged(asked_blocks.join(member_blocks, keys), "forest-blocks")
+
     def dealt(rows, own, count, other, others):
         return rows.join(sizes, keys).withColumn(own, F.pmod(F.xxhash64("cls"), F.col(count)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("qs", "ms")
-    asked = dealt(visits, "qb", "qs", "mb", "ms").join(queries.select("cls", "vec"), "cls")
+
+    cell, near = [*keys, "qb", "mb"], None
     held = dealt(members, "mb", "ms", "qb", "qs")
-    cell = [*keys, "qb", "mb"]
-    return _merged(asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(_rerank(dtype, k), NEAR), k)
+    edges = [0, budget // STEP, budget]
+    for low, high in zip(edges, edges[1:]):
+        if high <= low:
+            continue
+        now = visits.where((F.col("start") >= low) & (F.col("start") < high)).select("cls", *keys)
+        asked = dealt(now, "qb", "qs", "mb", "ms").join(queries.select("cls", "vec"), "cls")
+        if near is not None:
+            asked = asked.join(near.where(F.col("place") == k).select(F.col("query").alias("cls"), F.col("score").alias("bar")), "cls", "left")
+        found = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(_rerank(dtype, k), NEAR)
+        near = staged(_merged(found if near is None else found.unionByName(near.drop("place")), k), "forest-near")
+    return near
 
 
 def brute_force(queries: DataFrame, classes: DataFrame, dtype: str, k: int) -> DataFrame:
