@@ -14,8 +14,8 @@ from heliofleet import fixed
 from heliofleet.functions.columns import energy_mwh, micros, rounded
 from heliofleet.operators import catalogue, quality, ranking, routing
 from heliofleet.operators.fleet import Fleet
+from heliofleet.operators.index import Index
 from heliofleet.operators.passages import extractive_answers
-from heliofleet.operators.ranking import Index
 from heliofleet.session import staged
 
 ALL = "all regions"

@@ -1,4 +1,4 @@
-"""Keyword index and BM25, dense cosine ranking, rank fusion and search.
+"""BM25 over a keyword index, dense cosine ranking, rank fusion and search.
 
 Scores are rounded before they are ranked: sums of doubles differ in the last bits with the order
 of the rows, and a rank must not depend on that. Ties go to the chunk that comes first (``pos``).
@@ -6,121 +6,87 @@ of the rows, and a rank must not depend on that. Ties go to the chunk that comes
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from heliofleet import fixed
 from heliofleet.functions.columns import scalar
-from heliofleet.functions.text import kept_words, stem, tokens
+from heliofleet.functions.text import tokens
+from heliofleet.operators.index import TOP, Index, weight
+from heliofleet.session import joined_as_dealt, staged
 
 SCORE_DIGITS = 9
-# Query terms are broadcast up to this many rows (a few tens of bytes each), joined beyond it.
-BROADCAST_ROWS = 500_000
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 32_768
-_SLICE = 4096
-
 
-@dataclass(frozen=True)
-class Index:
-    """postings (term, id, pos, tf, len), terms (term, df, idf), stats (chunks, avg_len)."""
 
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
+    """Distinct expanded terms of queries (query_id, query)."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query), expand=True))).alias("term"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """Term counts of chunks (id, pos, title, section, text); headings count twice. A chunk's
-    length rides along, so no second pass gathers it. The texts are spread by chunk before they
-    are taken apart: that one shuffle of compact rows evens out uneven files, and the counts per
-    (chunk, term) then need no exchange."""
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")),
-                       F.coalesce("section", F.lit("")), "text")
+def _scored(asked: DataFrame, index: Index, blocks: DataFrame, k1: float, b: float) -> DataFrame:
+    """Scores of ``asked`` (query_id, range, term, idf). Blocks and terms are dealt by the range of chunks,
+    so a chunk's sum is made where its blocks already are."""
+    held = blocks.select("range", "term", "entries").repartition("range")
+    part = F.col("idf") * weight(F.col("e.tf"), F.col("e.len"), scalar(index.stats.select("avg_len")), k1, b)
     return (
-        chunks.select("id", "pos", text.alias("_text")).repartition("id")
-        .select("id", "pos", kept_words(F.col("_text")).alias("_words"))
-        .select("id", "pos", F.size("_words").alias("len"), F.explode("_words").alias("_word"))
-        .select("id", "pos", "len", stem(F.col("_word")).alias("term"))
-        .groupBy("term", "id", "pos")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+        held.join(asked.repartition("range"), ["range", "term"])
+        .select("query_id", "range", "idf", F.explode("entries").alias("e"))
+        .select("query_id", "range", F.col("e.id").alias("id"), F.col("e.pos").alias("pos"), part.alias("part"))
+        .groupBy("range", "id", "pos", "query_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+        .where("score > 0").select("query_id", "id", "pos", "score")
     )
 
 
-def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
-    n = scalar(stats.select("chunks"))
-    df = F.col("df")
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn(
-        "idf", F.log(1 + (n - df + 0.5) / (df + 0.5)))
-
-
-def corpus_stats(chunks: DataFrame, post: DataFrame) -> DataFrame:
-    total = scalar(post.agg(F.coalesce(F.sum("tf"), F.lit(0))))
-    return chunks.agg(F.count(F.lit(1)).alias("chunks")).select(
-        "chunks", (total / F.greatest("chunks", F.lit(1))).alias("avg_len"))
-
-
-def build_index(chunks: DataFrame, path: str | None = None) -> Index:
-    """A keyword index. With a path it is written once and read back, so that term counts, idf and
-    scoring share one tokenising pass; sorted by term so that a search reads few row groups."""
-    post = postings(chunks)
-    if path is not None:
-        spark = chunks.sparkSession
-        post.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        post = spark.read.schema(post.schema).parquet(f"{path}/postings")
-    stats = corpus_stats(chunks, post)
-    if path is not None:
-        stats.write.mode("overwrite").parquet(f"{path}/stats")
-        stats = spark.read.schema(stats.schema).parquet(f"{path}/stats")
-        term_stats(post, stats).write.mode("overwrite").parquet(f"{path}/terms")
-        return load_index(spark, path)
-    return Index(post, term_stats(post, stats), stats)
-
-
-def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")])
-
-
-def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
-    """Distinct expanded terms of queries (query_id, query)."""
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query), expand=True))).alias("term"))
-
-
-def fits_rows(df: DataFrame, limit: int) -> bool:
-    """A bounded count: stops at ``limit`` + 1 rows."""
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+def ranges_in_reach(asked: DataFrame, index: Index, blocks: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
+    """``query_id, range, term, idf`` of a query's terms in the ranges of chunks that hold them; with ``k``, in
+    the ranges whose bound reaches the query's bar.
+
+    A block's highest count and shortest chunk bound what it can add, so a range has a bound per query. The bar
+    is the most that one term alone gives the query's k-th best chunk, which the index keeps for each term."""
+    heads = blocks.select("bucket", "term", "range", "top_tf", "least_len")
+    pairs = heads.join(asked, ["bucket", "term"])
+    if k is None or k > TOP or (k1, b) != (fixed.BM25_K1, fixed.BM25_B):
+        return pairs.select("query_id", "range", "term", "idf")
+    most = weight(F.col("top_tf"), F.col("least_len"), scalar(index.stats.select("avg_len")), k1, b)
+    bars = asked.groupBy("query_id").agg(F.max(F.col("idf") * F.col("kth")).alias("bar"))
+    # Both sides are sums of doubles in their own order, hence the slack.
+    within = (
+        pairs.groupBy("query_id", "range").agg(
+            F.sum(F.col("idf") * most).alias("reach"), F.collect_list(F.struct("term", "idf")).alias("terms"))  # a query's terms at most
+        .join(bars, "query_id").where(F.col("reach") >= F.col("bar") - 1e-6))
+    return within.select("query_id", "range", F.explode("terms").alias("t")).select("query_id", "range", "t.term", "t.idf")
+
+
+def opened(queries: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """The weighted terms of queries (query_id, bucket, term, idf, kth) and the blocks of their terms. The index is
+    read only at the buckets of those terms; bucket numbers are all that reaches the driver."""
+    words = query_terms(queries).withColumn("bucket", index.bucket_of(F.col("term")))
+    used = sorted(r["bucket"] for r in words.select("bucket").distinct().collect())  # at most index.buckets
+    here = F.col("bucket").isin(used)
+    asked = staged(words.join(index.terms.where(here).select("term", "bucket", "idf", "kth"), ["bucket", "term"]), "search-terms")
+    return asked, index.blocks.where(here).join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
 
 
 def bm25(
-    queries: DataFrame, index: Index, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
-    broadcast_rows: int = BROADCAST_ROWS,
+    queries: DataFrame, index: Index, k: int | None = None, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B,
 ) -> DataFrame:
-    """Scores (query_id, id, pos, score) of every chunk sharing a term with a query.
-
-    While the weighted query terms fit a broadcast, matching postings are spread by chunk first,
-    so each (query, chunk) sum and the first cut of the top-k happen where the chunk is, and only
-    the best rows per query move. Beyond that, terms join by shuffle under AQE's skew split.
+    """Scores (query_id, id, pos, score) of chunks sharing a term with a query; with ``k``, of all that
+    can be among a query's k best: ranges of chunks that cannot hold one are skipped with their blocks.
+    One plan for every size.
     """
-    asked = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    used = index.postings.select("term", "id", "pos", "tf", "len")
-    if fits_rows(asked, broadcast_rows):
-        needed = F.broadcast(asked.select("term").distinct())
-        local = used.join(needed, "term", "left_semi").repartition("id", "pos")
-        matched = local.join(F.broadcast(asked), "term")
-    else:
-        matched = used.join(asked, "term")
-    avg_len = scalar(index.stats.select("avg_len"))
-    norm = k1 * (1 - b + b * F.col("len") / avg_len)
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return (
-        matched.select("query_id", "id", "pos", part.alias("part"))
-        .groupBy("id", "pos", "query_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-        .where("score > 0")
-        .select("query_id", "id", "pos", "score")
-    )
+    asked, blocks = opened(queries, index)
+    return _scored(ranges_in_reach(asked, index, blocks, k, k1, b), index, blocks, k1, b)
+
+
+def bm25_topk(queries: DataFrame, index: Index, k: int = fixed.CANDIDATES, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+    """The k best chunks per query, written: k rows per query. Ranges are even, so blocks and terms are
+    joined where the deal by range put them."""
+    spark = queries.sparkSession
+    with joined_as_dealt(spark):
+        return staged(top_k(bm25(queries, index, k, k1, b), k), "search-best")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -129,38 +95,35 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _cell(dim_check: bool, k: int):
+def _cell(k: int):
     def matrix(column: pd.Series) -> np.ndarray:
         widths = {len(v) for v in column}
         if len(widths) > 1:
             raise ValueError(f"vectors of unequal length: {sorted(widths)}")
-        return np.stack(column.to_numpy()).astype("float64")
-
-    def unit(m: np.ndarray) -> np.ndarray:
+        m = np.stack(column.to_numpy()).astype("float64")
         norms = np.sqrt((m * m).sum(axis=1))
         return m / np.where(norms > 0, norms, 1.0)[:, None]
 
     def best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "id", "pos", "score"]
         if queries.empty or vectors.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: [] for c in ("query_id", "id", "pos", "score")})
         q, v = matrix(queries["embedding"]), matrix(vectors["embedding"])
         if q.shape[1] != v.shape[1]:
             raise ValueError(f"vectors of unequal length: {q.shape[1]} and {v.shape[1]}")
-        q, v = unit(q), unit(v)
-        ids, pos, asked = vectors["id"].to_numpy(), vectors["pos"].to_numpy(), queries["query_id"].to_numpy()
-        out = []
+        pos, who, found, scores = vectors["pos"].to_numpy(), [], [], []
         for start in range(0, len(q), 64):
             sims = np.round(q[start:start + 64] @ v.T, SCORE_DIGITS) + 0.0
-            for i, row in enumerate(sims):
-                if len(row) > k:
-                    # Everything at or above the k-th score, so ties at the cut are settled by pos.
-                    picked = np.flatnonzero(row >= np.partition(row, -k)[-k])
-                else:
-                    picked = np.arange(len(row))
-                order = picked[np.lexsort((pos[picked], -row[picked]))][:k]
-                out.append(pd.DataFrame({"query_id": asked[start + i], "id": ids[order], "pos": pos[order], "score": row[order]}))
-        return pd.concat(out, ignore_index=True)
+            # Everything at or above the k-th score, so ties at the cut are settled by pos.
+            bars = np.partition(sims, -k, axis=1)[:, -k] if len(v) > k else np.full(len(sims), -np.inf)
+            row, col = np.nonzero(sims >= bars[:, None])
+            order = np.lexsort((pos[col], -sims[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < k], col[place < k]
+            who.append(start + row), found.append(col), scores.append(sims[row, col])
+        who, found = np.concatenate(who), np.concatenate(found)
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[who], "id": vectors["id"].to_numpy()[found], "pos": pos[found],
+                             "score": np.concatenate(scores)})
 
     return best
 
@@ -184,7 +147,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.CANDIDATE
     id_type, pos_type = v.schema["id"].dataType.simpleString(), v.schema["pos"].dataType.simpleString()
     query_type = q.schema["query_id"].dataType.simpleString()
     cells = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(
-        _cell(True, k), f"query_id {query_type}, id {id_type}, pos {pos_type}, score double")
+        _cell(k), f"query_id {query_type}, id {id_type}, pos {pos_type}, score double")
     return top_k(cells, k)
 
 
@@ -212,7 +175,7 @@ def search(
 ) -> DataFrame:
     """Hits (query_id, rank, id, score, method): fused when vectors are given, else keyword only.
     A query that matches nothing has no rows in keyword mode."""
-    lexical = top_k(bm25(queries, index), fixed.CANDIDATES)
+    lexical = bm25_topk(queries, index)
     if vectors is None or query_vectors is None:
         hits, method = lexical.where(F.col("rank") <= k), "bm25"
     else:

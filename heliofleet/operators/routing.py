@@ -10,6 +10,7 @@ from heliofleet.functions.text import collapsed
 from heliofleet.operators import quality
 from heliofleet.operators.evaluation import rank_percentiles
 from heliofleet.operators.ranking import query_terms
+from heliofleet.session import staged
 
 
 def normalised(question: Column) -> Column:
@@ -97,24 +98,27 @@ def match_facility(questions: DataFrame, facilities: DataFrame) -> DataFrame:
 
 
 def route(questions: DataFrame, facilities: DataFrame, terms: DataFrame) -> DataFrame:
-    """One tool call per question (question_id, question, tool, args)."""
-    covered = (
-        query_terms(questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("query")))
-        .join(terms.select("term"), "term", "left_semi")
-        .select(F.col("query_id").alias("question_id")).distinct().withColumn("_covered", F.lit(True))
-    )
+    """One tool call per question (question_id, question, tool, args).
+
+    Rules go in order and the first that holds names the tool. Only questions that no earlier rule decides
+    are taken apart and held against the corpus ``terms``.
+    """
     q = F.lower("question")
-    region, live = F.col("region").isNotNull(), F.col("_live")
-    # Rules in order; the first that holds names the tool.
-    tool = (
+    region = F.col("region").isNotNull()
+    live = _says(q, fixed.LIVE_PATTERN)
+    early = (
         F.when(F.col("facility").isNotNull(), "facility_performance")
         .when(_says(q, fixed.DOCS_PATTERN) & ~live, "search_docs")
         .when(_says(q, fixed.CURTAIL_PATTERN), "curtailed_farms")
         .when(_says(q, fixed.UNDER_PATTERN) & (region | live | _says(q, fixed.DATA_ASK_PATTERN)), "underperformers")
         .when(_says(q, fixed.LIST_PATTERN), "find_facilities")
-        .when(~(region | live | _says(q, fixed.FLEET_PATTERN)) & F.coalesce("_covered", F.lit(False)), "search_docs")
-        .otherwise("fleet_summary")
+        .when(region | live | _says(q, fixed.FLEET_PATTERN), "fleet_summary")
     )
+    decided = staged(extract_slots(questions).join(match_facility(questions, facilities), "question_id", "left").select(
+        "question_id", "question", "hours", "region", "threshold", "facility", early.alias("tool")), "questions")
+    open_ = decided.where("tool is null").select(F.col("question_id").alias("query_id"), F.col("question").alias("query"))
+    covered = query_terms(open_).join(terms.select("term"), "term", "left_semi").select(F.col("query_id").alias("question_id")).distinct()
+
     def args(**values):
         return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
     with_threshold = F.when(F.col("threshold").isNotNull(), args(region=F.col("region"), threshold=F.col("threshold")))
@@ -125,12 +129,10 @@ def route(questions: DataFrame, facilities: DataFrame, terms: DataFrame) -> Data
         .when(F.col("tool") == "fleet_summary", args(hours=F.col("hours"), region=F.col("region")))
         .otherwise(args(region=F.col("region")))
     )
+    late = F.when(F.coalesce("_covered", F.lit(False)), "search_docs").otherwise("fleet_summary")
     return (
-        extract_slots(questions)
-        .join(match_facility(questions, facilities), "question_id", "left")
-        .join(covered, "question_id", "left")
-        .withColumn("_live", _says(q, fixed.LIVE_PATTERN))
-        .withColumn("tool", tool).withColumn("args", by_tool)
+        decided.join(covered.withColumn("_covered", F.lit(True)), "question_id", "left")
+        .withColumn("tool", F.coalesce("tool", late)).withColumn("args", by_tool)
         .select("question_id", "question", "tool", "args")
     )
 

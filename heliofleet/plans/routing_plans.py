@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from heliofleet import fixed
-from heliofleet.operators import quality, ranking, routing
+from heliofleet.operators import quality, routing
 from heliofleet.plans.bindings import sql_round, table
-from heliofleet.plans.text_plans import SQL_INDEX, corpus, q as quoted, sql_tokens
+from heliofleet.plans.text_plans import SQL_INDEX, index, q as quoted, sql_tokens
 from heliofleet.session import configure
 
 TEMPLATES = (
@@ -54,8 +54,7 @@ def facilities(spark, sf) -> DataFrame:
 
 
 def routed(spark, sf) -> DataFrame:
-    terms = ranking.postings(corpus(spark, sf)).select("term").distinct()
-    return routing.route(questions(spark, sf), facilities(spark, sf), terms)
+    return routing.route(questions(spark, sf), facilities(spark, sf), index(spark, sf).terms)
 
 
 def routed_flat(spark, sf) -> DataFrame:
@@ -179,7 +178,7 @@ def answered(spark, sf) -> DataFrame:
     from heliofleet.operators import answers
     from heliofleet.plans.fleet_plans import AS_OF
     from heliofleet.plans.bindings import fleet
-    from heliofleet.plans.text_plans import index
+    from heliofleet.plans.text_plans import corpus
     out = answers.answer_batch(spark, questions(spark, sf), fleet(spark, sf), corpus(spark, sf), index(spark, sf), as_of=AS_OF)
     return out.select("question_id", "question", "answer", "tool", "provider", "fallback_reason", F.size("sources").alias("n_sources"))
 

@@ -12,8 +12,9 @@ from heliofleet import fixed
 from heliofleet.functions import text as tx
 from heliofleet.functions.columns import rounded
 from heliofleet.operators import catalogue, chunking, evaluation, passages, quality, ranking
+from heliofleet.operators.index import Index, files_version, stored_index
 from heliofleet.plans.bindings import sql_round, table
-from heliofleet.session import configure, shared_dir
+from heliofleet.session import configure, shared_base
 
 
 def corpus(spark, sf) -> DataFrame:
@@ -26,9 +27,9 @@ def questions(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def index(spark, sf) -> ranking.Index:
-    configure(spark)
-    return ranking.build_index(corpus(spark, sf), shared_dir(spark, "keyword-index"))
+def index(spark, sf) -> Index:
+    """The stored index of the documents; queries over the same files share it."""
+    return stored_index(corpus(spark, sf), shared_base(spark), files_version(table(spark, sf, "documents")))
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -284,13 +285,13 @@ REGISTERED = {
         sum(('0x' || d[61:64])::BIGINT)::VARCHAR AS s4
  FROM (SELECT sha256(concat(doc_id, chr(10), text, chr(10))) AS d FROM documents))"""),
     "keyword_index_postings": (
-        lambda s, d: ranking.postings(corpus(s, d)).select("term", F.col("id").alias("doc_id"), "tf", "len"),
+        lambda s, d: index(s, d).postings().select("term", F.col("id").alias("doc_id"), "tf", "len"),
         f"WITH {SQL_INDEX.strip()} SELECT term, doc_id, tf, CAST(len AS INTEGER) AS len FROM posting JOIN doc_len USING (doc_id)"),
     "keyword_index_terms": (
         lambda s, d: index(s, d).terms.select("term", "df", rounded(F.col("idf"), 6).alias("idf")),
         f"WITH {SQL_INDEX.strip()} SELECT term, df, {sql_round('idf', 6)} AS idf FROM idf"),
     "bm25_top20": (
-        lambda s, d: ranking.top_k(ranking.bm25(questions(s, d), index(s, d)), fixed.CANDIDATES).select(
+        lambda s, d: ranking.bm25_topk(questions(s, d), index(s, d)).select(
             "query_id", F.col("id").alias("doc_id"), rounded(F.col("score"), 6).alias("score"), "rank"),
         f"WITH {SQL_INDEX.strip()} SELECT item_id AS query_id, doc_id, {sql_round('score', 6)} AS score, CAST(rank AS INTEGER) AS rank FROM lex"),
     "search_keyword": (

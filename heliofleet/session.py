@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -47,18 +48,41 @@ def local_session(cpus: int = 8, app: str = "heliofleet", **extra: str) -> Spark
     return configure(spark)
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for written tables and stream checkpoints.
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+
 
-    It lies under ``spark.checkpoint.dir``, which the cluster points at shared storage.
-    Only a local master may fall back to a machine-local folder.
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which the cluster points at shared storage.
+
+    Only a local master may fall back to a machine-local folder: one per application, removed at its end.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder first")
-        base = tempfile.mkdtemp(prefix="heliofleet-")
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder first")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.TemporaryDirectory(prefix="heliofleet-", ignore_cleanup_errors=True)
+    return _LOCAL[app].name
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for written tables and stream checkpoints."""
+    return os.path.join(shared_base(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+@contextlib.contextmanager
+def joined_as_dealt(spark: SparkSession):
+    """Within: two sides dealt by one of their join keys are joined as they lie, not dealt again by all of
+    them. For plans that deal evenly by themselves; what is planned inside must also run inside."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def staged(df, purpose: str):

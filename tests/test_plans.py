@@ -5,7 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from heliofleet.operators import ranking, routing
+from heliofleet.operators.index import build_index, postings
 from heliofleet.plans.registry import REGISTERED
+from heliofleet.session import joined_as_dealt
 
 
 def plan(df):
@@ -29,20 +31,30 @@ def corpus(spark, tmp_path):
 
 
 def test_counting_terms_moves_the_texts_once(spark, tmp_path):
-    text = plan(ranking.postings(corpus(spark, tmp_path)))
+    text = plan(postings(corpus(spark, tmp_path)))
     assert len(re.findall(r"Exchange hash", text)) == 1 and "SortAggregate" not in text
 
 
 def test_scores_are_summed_where_the_chunks_are(spark, tmp_path):
-    index = ranking.build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
+    index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
     queries = spark.createDataFrame([(1, "dust panel")], "query_id int, query string")
-    text = plan(ranking.top_k(ranking.bm25(queries, index), 3))
+    with joined_as_dealt(spark):
+        text = plan(ranking.top_k(ranking.bm25(queries, index, 3), 3))
     no_loops(text)
-    # One exchange spreads postings by chunk; the only one above it moves each query's best rows.
-    assert len(re.findall(r"Exchange hashpartitioning\(query_id#\d+, ", text)) == 1
-    assert not re.search(r"Exchange hashpartitioning\(id#\d+L, pos#\d+L, query_id", text)
-    assert text.count("WindowGroupLimit") == 2
-    assert "PushedFilters" in text
+    # Blocks are dealt by range; the only exchange above the sums moves each query's best rows.
+    assert len(re.findall(r"Exchange hashpartitioning\(range#\d+, \d+\), REPARTITION_BY_COL", text)) == 2
+    assert len(re.findall(r"Exchange hashpartitioning\(range#\d+, term", text)) == 0
+    assert not re.search(r"Exchange hashpartitioning\(range#\d+, id", text) and text.count("WindowGroupLimit") == 2
+
+
+def test_a_search_opens_only_its_buckets(spark, tmp_path):
+    index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "dust panel")], "query_id int, query string")
+    wanted = {r[0] for r in index.terms.where("term in ('dust', 'panel')").select("bucket").collect()}
+    text = plan(ranking.bm25(queries, index, 3))
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", text)
+    listed = [set(map(int, re.findall(r"\b\d+\b", re.sub(r"#\d+", "", f)))) for f in filters if "bucket" in f]
+    assert len(listed) >= 2 and all(found == wanted for found in listed) and 0 < len(wanted) < index.buckets
 
 
 def test_vectors_and_names_meet_without_loops(spark):

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from heliofleet.operators import answers, quality, ranking, routing
+from heliofleet.operators import answers, quality, routing
+from heliofleet.operators.index import build_index
 from helpers import AT, FULL_SUN, LOW, fleet, rows
 
 FARMS = [("ORCH", "Orchard Flat Solar Farm"), ("WRIDGE", "Western Ridge Green Power Hub"), ("SMSF", "Salt Marsh Solar Farm")]
@@ -76,7 +77,7 @@ def test_answers(spark):
     questions = spark.createDataFrame(asked, "question_id int, question string")
     proposals = spark.createDataFrame([(4, "fleet_summary", {"hours": "999"}), (8, "facility_performance", {"facility": "nowhere"}), (9, "facility_performance", {"facility": "BRKNSF"})],
                                       "question_id int, tool string, args map<string,string>")
-    got = {r["question_id"]: r for r in answers.answer_batch(spark, questions, f, chunks, ranking.build_index(chunks), proposals).collect()}
+    got = {r["question_id"]: r for r in answers.answer_batch(spark, questions, f, chunks, build_index(chunks), proposals).collect()}
     assert len(got) == 9
     assert got[1]["answer"] == ("At 12:00 AEST, 1 farm(s) were below 60% of expected: Hazel Solar Farm (VIC1) at 25% - 24.0 MW vs 96.0 MW expected."
                                 " 1 curtailed farm(s) were excluded as not faults.")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from heliofleet import fixed
 from heliofleet.functions import text as tx
 from heliofleet.operators import chunking, evaluation, passages, ranking
+from heliofleet.operators.index import build_index, files_version, postings, stored_index
 from heliofleet.sources.payloads import read_markdown_corpus
 from helpers import rows
 
@@ -127,15 +128,15 @@ def python_bm25(token_lists, query_terms):
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_bm25_matches_brute_force_both_ways(spark, broadcast_rows, tmp_path):
+@pytest.mark.parametrize("stored", [True, False])
+def test_bm25_matches_brute_force(spark, stored, tmp_path):
     docs = corpus(spark)
     text = F.concat_ws(" ", "title", "section", "section", "text")
     lists = [r[0] for r in docs.orderBy("pos").select(tx.tokens(text)).collect()]
     asked = ["wash the dust", "why do trackers trip in the wind", "how are you", "inverter"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
-    index = ranking.build_index(docs, str(tmp_path / "index"))
-    got = {(r["query_id"], r["id"]): r["score"] for r in ranking.bm25(queries, index, broadcast_rows=broadcast_rows).collect()}
+    index = build_index(docs, str(tmp_path / "index") if stored else None)
+    got = {(r["query_id"], r["id"]): r["score"] for r in ranking.bm25(queries, index).collect()}
     want = {}
     for q, line in enumerate(asked):
         terms = set(one(spark, tx.tokens(F.col("t"), True), t=line))
@@ -146,6 +147,55 @@ def test_bm25_matches_brute_force_both_ways(spark, broadcast_rows, tmp_path):
     assert top.where("query_id = 2").count() == 0 and top.first()["method"] == "bm25"
 
 
+def test_ranges_out_of_reach_are_skipped(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("heliofleet.operators.index.RANGE_CHUNKS", 4)
+    rng = random.Random(6)
+    rows_ = [(i, i, "", "", " ".join(["panel"] * rng.randrange(1, 4) + (["zebra"] if i % 10 == 0 else []) + ["fill"] * rng.randrange(9))) for i in range(400)]
+    docs = spark.createDataFrame(rows_, "id int, pos int, title string, section string, text string")
+    index = build_index(docs, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "zebra panel"), (2, "panel"), (3, "nothing here"), (4, "zebra")], "query_id int, query string")
+    asked, blocks = ranking.opened(queries, index)
+    def ranges(k):
+        found = ranking.ranges_in_reach(asked, index, blocks, k, fixed.BM25_K1, fixed.BM25_B)
+        return {q: n for q, n in found.groupBy("query_id").agg(F.countDistinct("range")).collect()}
+    every, reached = ranges(None), ranges(5)
+    assert reached[1] < every[1] / 2 and 3 not in reached
+    best = rows(ranking.bm25_topk(queries, index, 5), "query_id", "rank", "id", "score")
+    assert best == rows(ranking.top_k(ranking.bm25(queries, index), 5), "query_id", "rank", "id", "score") and len(best) == 15
+    # Beyond what the index keeps a bar for, nothing is skipped.
+    assert ranges(30) == every and ranking.bm25_topk(queries, index, 30).count() == 90
+
+
+def test_stored_index_is_built_once_per_version(spark, tmp_path):
+    docs = corpus(spark)
+    first = stored_index(docs, str(tmp_path))
+    assert sorted(map(tuple, first.postings().collect())) == sorted(map(tuple, postings(docs).select("term", "id", "pos", "tf", "len").collect()))
+    folders = sorted(p.name for p in tmp_path.iterdir())
+    again = stored_index(docs.orderBy(F.desc("id")), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == folders and len(list((tmp_path / folders[0]).glob("build-*"))) == 1
+    assert rows(again.terms, "term", "df") == rows(first.terms, "term", "df")
+    stored_index(docs.where("id < 4"), str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_a_build_that_died_is_not_read(spark, tmp_path):
+    docs = corpus(spark)
+    build_index(docs.limit(1), str(tmp_path / "keyword-index-x" / "build-dead"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    version = files_version(table)
+    assert stored_index(table, str(tmp_path), version).stats.first()["chunks"] == 5
+    docs.limit(2).write.mode("overwrite").parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    assert files_version(table) != version and stored_index(table, str(tmp_path), files_version(table)).stats.first()["chunks"] == 2
+
+
+def test_an_empty_corpus_answers_nothing(spark, tmp_path):
+    index = build_index(corpus(spark).limit(0), str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "zebra panel")], "query_id int, query string")
+    assert ranking.bm25_topk(queries, index, 5).count() == 0
+
+
 def test_cosine_matches_brute_force_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(ranking, "QUERY_BLOCK", 7)
     monkeypatch.setattr(ranking, "VECTOR_BLOCK", 11)
@@ -204,7 +254,7 @@ def test_rank_percentiles(spark, n):
 
 def test_extractive_answer(spark):
     docs = corpus(spark)
-    index = ranking.build_index(docs)
+    index = build_index(docs)
     queries = spark.createDataFrame([(1, "why do trackers stow in the wind"), (2, "how are you")], "query_id int, query string")
     hits = ranking.search(queries, index, 4).join(docs.select("id", "text"), "id").select("query_id", F.col("rank").alias("n"), "score", "text")
     got = dict(rows(passages.extractive_answers(hits, queries, index.terms)))
