@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from heliofleet import fixed
 from heliofleet.operators import quality, routing
 from heliofleet.plans.bindings import sql_round, table
-from heliofleet.plans.text_plans import SQL_INDEX, index, q as quoted, sql_tokens
+from heliofleet.plans.text_plans import SQL_CORPUS, index, q as quoted, sql_tokens
 from heliofleet.session import configure
 
 TEMPLATES = (
@@ -109,9 +109,11 @@ slots AS (SELECT *, CAST(CASE WHEN regexp_matches(ql, {h}) THEN least(168, great
   CASE WHEN regexp_matches(ql, {quoted(fixed.THRESHOLD_PATTERN)}) THEN least(1.5, greatest(0.05, CAST(regexp_extract(ql, {quoted(fixed.THRESHOLD_PATTERN)}, 1) AS DOUBLE) / 100)) END::DOUBLE AS threshold FROM low)"""
 
 
-SQL_NAMES = """
+SQL_SUPPLIERS = """
 sup AS (SELECT 'SUP' || s_suppkey AS code, CASE s_suppkey % 3 WHEN 0 THEN 'Orchard ' || s_suppkey || ' Solar Farm' WHEN 1 THEN 'Western Ridge ' || s_suppkey || ' Power Hub'
-        ELSE 'Lake ' || s_suppkey || ' Solar Park' END AS name, s_suppkey AS n FROM supplier),
+        ELSE 'Lake ' || s_suppkey || ' Solar Park' END AS name, s_suppkey AS n FROM supplier)"""
+
+SQL_MATCH = """
 cand AS (SELECT code, name, lower(code) AS c FROM sup
   UNION ALL SELECT code, name, CASE n % 3 WHEN 0 THEN 'orchard ' WHEN 1 THEN 'western ridge ' ELSE 'lake ' END || n FROM sup
   UNION ALL SELECT code, name, 'western ridge' FROM sup WHERE n % 3 = 1 UNION ALL SELECT code, name, 'orchard' FROM sup WHERE n % 3 = 0),
@@ -120,12 +122,14 @@ fac AS (SELECT question_id, arg_min(code, (-length(c), name, code)) AS facility
         FROM (SELECT question_id, ' ' || regexp_replace(ql, '[^a-z0-9_]+', ' ', 'g') || ' ' AS padded FROM low), firsts
         WHERE contains(padded, ' ' || c || ' ') GROUP BY 1)"""
 
+SQL_NAMES = f"{SQL_SUPPLIERS},{SQL_MATCH}"
+
 
-def sql_route() -> str:
+def sql_route(suppliers: str = SQL_SUPPLIERS) -> str:
     def says(p):
         return f"regexp_matches(ql, {quoted(p)})"
     live = says(fixed.LIVE_PATTERN)
-    return f"""{SQL_INDEX.strip()}, {sql_questions().strip()}, {sql_slots().strip()}, {SQL_NAMES.strip()},
+    return f"""{SQL_CORPUS.strip()}, {sql_questions().strip()}, {sql_slots().strip()}, {suppliers.strip()}, {SQL_MATCH.strip()},
 hit AS (SELECT DISTINCT question_id FROM ({sql_tokens('ques', 'question_id', 'question', True)}) WHERE term IN (SELECT term FROM idf)),
 routed AS (SELECT s.*, f.facility, CASE WHEN f.facility IS NOT NULL THEN 'facility_performance'
    WHEN {says(fixed.DOCS_PATTERN)} AND NOT {live} THEN 'search_docs'
@@ -172,15 +176,3 @@ REGISTERED = {
  (SELECT {sql_round('list_sort(list(o_totalprice / 1000))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1]', 1)} FROM orders) AS p95_ms FROM verdict"""),
 }
 
-
-def answered(spark, sf) -> DataFrame:
-    """Every question answered over the bound fleet at a fixed instant."""
-    from heliofleet.operators import answers
-    from heliofleet.plans.fleet_plans import AS_OF
-    from heliofleet.plans.bindings import fleet
-    from heliofleet.plans.text_plans import corpus
-    out = answers.answer_batch(spark, questions(spark, sf), fleet(spark, sf), corpus(spark, sf), index(spark, sf), as_of=AS_OF)
-    return out.select("question_id", "question", "answer", "tool", "provider", "fallback_reason", F.size("sources").alias("n_sources"))
-
-
-REGISTERED["answer_questions"] = (answered, None)

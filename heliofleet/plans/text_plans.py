@@ -6,6 +6,8 @@ the questions, and embeddings for the dense vectors (``vec_id`` = ``doc_id``).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from heliofleet import fixed
@@ -172,16 +174,24 @@ def sql_tokens(source: str, keys: str, text: str, expand: bool = False) -> str:
     return f"SELECT {keys}, {sql_stem('w')} AS term FROM ({raw}) WHERE length(w) > 1 AND w NOT IN {STOP_SQL}"
 
 
-SQL_INDEX = f"""
+SQL_CORPUS = f"""
 doc_tokens AS ({sql_tokens('documents', 'doc_id', "concat_ws(' ', lang, source, source, text)")}),
 posting AS (SELECT doc_id, term, count(*) AS tf FROM doc_tokens GROUP BY ALL),
 doc_len AS (SELECT doc_id, sum(tf) AS len FROM posting GROUP BY 1),
 corpus AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM posting) / (SELECT count(*) FROM documents) AS avg_len),
-idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM corpus) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posting GROUP BY 1),
-qterm AS (SELECT DISTINCT item_id, term FROM ({sql_tokens('benchmark', 'item_id', 'text', True)})),
-bm AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg_len FROM corpus)))), 9) AS score
-       FROM qterm JOIN posting USING (term) JOIN idf USING (term) JOIN doc_len USING (doc_id) GROUP BY 1, 2),
-lex AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20)"""
+idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM corpus) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posting GROUP BY 1)"""
+
+
+def sql_hits(queries: str = "benchmark", key: str = "item_id", text: str = "text", p: str = "") -> str:
+    """The best 20 documents of each query as ``lex``; ``p`` goes before the names of the subqueries."""
+    return f"""
+{p}qterm AS (SELECT DISTINCT {key}, term FROM ({sql_tokens(queries, key, text, True)})),
+{p}bm AS (SELECT {key}, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg_len FROM corpus)))), 9) AS score
+       FROM {p}qterm JOIN posting USING (term) JOIN idf USING (term) JOIN doc_len USING (doc_id) GROUP BY 1, 2),
+{p}lex AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, doc_id) AS rank FROM {p}bm QUALIFY rank <= 20)"""
+
+
+SQL_INDEX = f"{SQL_CORPUS},{sql_hits()}"
 
 SQL_DENSE = """
 dense AS (SELECT item_id, vec_id AS doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, vec_id) AS rank
@@ -200,13 +210,21 @@ exp AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, unnest({sql_senten
         JOIN (SELECT doc_id, unnest({sql_sentences('text')}) AS s FROM documents) b USING (s) WHERE length(s) >= 30),
 found AS (SELECT e.item_id, min(l.rank) FILTER (l.rank <= 5) AS rank FROM exp e LEFT JOIN lex l USING (item_id, doc_id) GROUP BY 1)"""
 
-SQL_BEST = f"""
-sent AS (SELECT item_id, rank AS n, seq, s FROM (
-   SELECT l.item_id, l.rank, l.score, unnest(ss) AS s, unnest(range(len(ss))) AS seq FROM lex l
+def sql_best(key: str = "item_id", p: str = "") -> str:
+    """The sentences of each query's first two documents, ordered by the query terms they share."""
+    return f"""
+{p}sent AS (SELECT {key}, rank AS n, seq, s FROM (
+   SELECT l.{key}, l.rank, l.score, unnest(ss) AS s, unnest(range(len(ss))) AS seq FROM {p}lex l
    JOIN (SELECT doc_id, {sql_sentences('text')} AS ss FROM documents) d USING (doc_id) WHERE l.rank <= 2)),
-st AS (SELECT DISTINCT item_id, n, seq, term FROM ({sql_tokens('sent', 'item_id, n, seq', 's')})),
-ov AS (SELECT item_id, n, seq, round(sum(idf), 9) AS o FROM st JOIN qterm USING (item_id, term) JOIN idf USING (term) GROUP BY ALL),
-pick AS (SELECT sent.*, row_number() OVER (PARTITION BY item_id, n ORDER BY coalesce(o, 0) DESC, seq) AS place FROM sent LEFT JOIN ov USING (item_id, n, seq))"""
+{p}st AS (SELECT DISTINCT {key}, n, seq, term FROM ({sql_tokens(f'{p}sent', f'{key}, n, seq', 's')})),
+{p}ov AS (SELECT {key}, n, seq, round(sum(idf), 9) AS o FROM {p}st JOIN {p}qterm USING ({key}, term) JOIN idf USING (term) GROUP BY ALL),
+{p}pick AS (SELECT {p}sent.*, row_number() OVER (PARTITION BY {key}, n ORDER BY coalesce(o, 0) DESC, seq) AS place FROM {p}sent LEFT JOIN {p}ov USING ({key}, n, seq)),
+{p}piece AS (SELECT {key}, n, concat(string_agg(s, ' ' ORDER BY seq), ' [', max(n), ']') AS t FROM {p}pick
+   WHERE (n = 1 AND place <= 3) OR (n = 2 AND place <= 2 AND EXISTS (SELECT 1 FROM {p}lex a JOIN {p}lex b USING ({key})
+      WHERE a.{key} = {p}pick.{key} AND a.rank = 1 AND b.rank = 2 AND round(b.score, 4) >= 0.5 * round(a.score, 4))) GROUP BY {key}, n)"""
+
+
+SQL_BEST = sql_best()
 
 SQL_CHUNKS = f"""
 WITH RECURSIVE md AS (SELECT doc_id AS doc, source, unnest(l) AS line, unnest(range(len(l))) AS i FROM (
@@ -244,11 +262,9 @@ UNION ALL SELECT doc_id, part, cur FROM fold WHERE i = len(p) AND cur <> ''"""
 
 
 def sql_mask(source: str, key: str) -> str:
-    kinds = [
-        ("url_credentials", "(?i)(\\b[a-z][a-z0-9+.-]*://)[^/\\s''\"@]+@", "\\1***@"),
-        ("key_value", "(?i)(x-api-key|api[_-]?key|authorization|password|secret|token)(\\\\?[\"'']?\\s*[:=]\\s*\\\\?[\"'']?)(bearer\\s+)?[^\\s,;&''\"\\\\}]+", "\\1\\2***"),
-        ("bearer", "(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer ***"),
-        ("sk_key", "\\bsk-[A-Za-z0-9_-]{16,}", "sk-***")]
+    # The rules' own patterns as RE2 reads them: no Unicode flag, and quotes doubled for SQL.
+    kinds = [(name, re.sub(r"^\(\?(i?)U\)", lambda m: "(?i)" if m.group(1) else "", pattern).replace("'", "''"), re.sub(r"\$(\d)", r"\\\1", replacement))
+             for name, pattern, replacement in fixed.SECRET_RULES]
     sql = f"SELECT * FROM {source}"
     for name, pattern, replacement in kinds:
         sql = (f"SELECT * REPLACE (regexp_replace(text, '{pattern}', '{replacement}', 'g') AS text), "
@@ -320,9 +336,7 @@ FROM found f LEFT JOIN lex l ON l.item_id = f.item_id AND l.rank <= 3 WHERE f.ra
         f"WITH {SQL_INDEX.strip()}, {SQL_BEST.strip()} SELECT item_id AS query_id, CAST(n AS INTEGER) AS n, string_agg(s, ' ' ORDER BY seq) AS extract FROM pick WHERE place <= 2 GROUP BY ALL"),
     "extractive_answers": (
         extractive_answers,
-        f"""WITH {SQL_INDEX.strip()}, {SQL_BEST.strip()}, piece AS (SELECT item_id, n, concat(string_agg(s, ' ' ORDER BY seq), ' [', max(n), ']') AS t FROM pick
-   WHERE (n = 1 AND place <= 3) OR (n = 2 AND place <= 2 AND EXISTS (SELECT 1 FROM lex a JOIN lex b USING (item_id)
-      WHERE a.item_id = pick.item_id AND a.rank = 1 AND b.rank = 2 AND round(b.score, 4) >= 0.5 * round(a.score, 4))) GROUP BY item_id, n)
+        f"""WITH {SQL_INDEX.strip()}, {SQL_BEST.strip()}
 SELECT b.item_id AS query_id, coalesce(string_agg(t, ' ' ORDER BY n), {q(fixed.NO_PASSAGES_TEXT)}) AS answer FROM benchmark b LEFT JOIN piece USING (item_id) GROUP BY 1"""),
     "check_citations": (citations, """
 SELECT l_orderkey, l_linenumber, l_partkey, text, reason, reason IS NULL AS valid FROM (

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,5 +91,38 @@ def test_answers(spark):
     assert got[5]["answer"] == "1 solar farms in VIC1: Hazel Solar Farm"
     assert got[6]["answer"] == "An inverter trips on dew. Farms fault. [1]" and [s["n"] for s in got[6]["sources"]] == [1]
     assert got[7]["answer"].endswith(" Related guidance: Faults - Inverter trips [1].")
+    profile = json.loads(got[3]["data"])
+    assert profile["facility"]["facility_code"] == "HAZLSF" and profile["summary"]["intervals"] == 1 and profile["summary"]["curtailed_intervals"] == 0
+    assert profile["hourly"] == [{"hour": "2026-03-12 02:00", "avg_mw": 24.0, "expected_mw": 96.0, "performance_index": 0.25}]
+    assert json.loads(got[2]["data"])["farms"][0]["curtailed_mw"] == 150.0
+    assert [r["curtailed_mwh"] for r in json.loads(got[4]["data"])["regions"]] == [12.5, 0.0]
+    assert json.loads(got[6]["data"])["results"][0]["section"] == "Inverter trips" and json.loads(got[8]["data"]) == {"searched_for": "nowhere"}
     assert got[8]["answer"] == "I couldn't find a solar farm matching 'nowhere'." and got[8]["provider"] == "proposed"
     assert "150" not in got[9]["answer"] and "12.5 MWh was curtailed" in got[9]["answer"]
+
+
+def test_proposed_texts_must_cite_what_was_given(spark):
+    f = fleet(spark, LOW, FULL_SUN)
+    chunks = spark.createDataFrame([(i, i, "Faults", f"Inverter {w}", f"An inverter {w} on dew.") for i, w in enumerate(["trips", "hums", "stops"])],
+                                   "id int, pos int, title string, section string, text string")
+    ids = range(1, 9)
+    questions = spark.createDataFrame([(i, f"what is an inverter {i}") for i in ids], "question_id int, question string")
+    proposals = spark.createDataFrame([(i, "search_docs", {"query": "inverter trips", "k": str(k)}) for i, k in [(1, 1), (2, 1), (3, 2), (4, 2), (5, 9), (6, 1)]] +
+                                      [(7, "find_facilities", {"region": "VIC1"})], "question_id int, tool string, args map<string,string>")
+    texts = spark.createDataFrame([(1, "It trips [1]."), (2, "It hums [2]."), (3, "It does [2][1]."), (4, "It just does."), (5, "Never read [1]."), (6, "  "),
+                                   (7, "One farm."), (8, "Nobody proposed a call [1].")], "question_id int, text string")
+    got = {r["question_id"]: r for r in answers.answer_batch(spark, questions, f, chunks, build_index(chunks), proposals, texts=texts, corpus_version="v1").collect()}
+    extract = "An inverter trips on dew. [1]"
+    assert [(got[i]["answer"], got[i]["provider"], got[i]["fallback_reason"]) for i in (1, 2, 3, 4, 6, 7)] == [
+        ("It trips [1].", "proposed", None), (extract, "rules", "answer cites unknown passages [2]"), ("It does [2][1].", "proposed", None),
+        (got[4]["answer"], "rules", "answer cites no passages"), (extract, "rules", "empty answer"), ("One farm.", "proposed", None)]
+    assert got[4]["answer"].startswith(extract) and len(got[4]["sources"]) == 2
+    assert got[5]["provider"] == "rules" and got[5]["fallback_reason"] == "invalid k" and got[5]["answer"] != "Never read [1]."
+    assert got[8]["provider"] == "rules" and "Nobody" not in got[8]["answer"]
+    data = json.loads(got[1]["data"])
+    assert data["corpus_version"] == "v1" and [(r["n"], r["id"], r["method"]) for r in data["results"]] == [(1, 0, "bm25")]
+    vectors = spark.createDataFrame([(i, i, [1.0, float(i)]) for i in range(3)], "id int, pos int, embedding array<double>")
+    asked = spark.createDataFrame([(3, [1.0, 2.0])], "question_id int, embedding array<double>")
+    both = {r["question_id"]: r for r in answers.answer_batch(
+        spark, questions.where("question_id in (3, 8)"), f, chunks, build_index(chunks), proposals, vectors=vectors, question_vectors=asked).collect()}
+    assert {i: {p["method"] for p in json.loads(both[i]["data"])["results"]} for i in both} == {3: {"hybrid"}, 8: {"bm25"}}
