@@ -53,7 +53,19 @@ def latest_scored(fleet: Fleet, as_of: datetime | None = None) -> DataFrame:
 
 
 def at_latest_scored(fleet: Fleet, as_of: datetime | None = None) -> DataFrame:
-    return trailing(fleet, 24, as_of).where(F.col("interval_end") == scalar(latest_scored(fleet, as_of)))
+    """Scored rows of the newest interval with an index in the last day, from one view.
+
+    Each farm keeps its newest scored row; of those, the ones that share the newest time stay. Farms
+    without an index then are left out: they are neither below a threshold nor held back.
+    """
+    scored = trailing(fleet, 24, as_of).where(F.col("performance_index").isNotNull())
+    columns = [c for c in scored.columns if c not in ("facility_code", "interval_end")]
+    newest = scored.groupBy("facility_code").agg(
+        F.max("interval_end").alias("interval_end"), F.max_by(F.struct(*columns), "interval_end").alias("_row"))
+    return (
+        newest.withColumn("_place", F.rank().over(Window.orderBy(F.desc("interval_end")))).where("_place = 1")
+        .select("facility_code", "interval_end", "_row.*").select(*scored.columns)
+    )
 
 
 # ---------- registry and status ----------
@@ -170,14 +182,14 @@ def find_facility_batch(units: DataFrame, texts: DataFrame, text: str = "text")
 
 # ---------- ranked questions ----------
 
-def _under(perf: DataFrame, threshold: float) -> DataFrame:
+def _under(perf: DataFrame, threshold: float, *also: str) -> DataFrame:
     held_back = F.coalesce("status", F.lit("")).isin(*fixed.CURTAILED_KINDS)
     return perf.where((F.col("performance_index") < threshold) & ~held_back).select(
         "facility_code", "facility_name", "region", "interval_end",
         rounded(F.col("actual_mw"), 1).alias("actual_mw"),
         rounded(F.col("expected_mw"), 1).alias("expected_mw"),
         rounded(F.col("performance_index"), 2).alias("performance_index"),
-        rounded(F.col("rrp"), 2).alias("price_per_mwh"),
+        rounded(F.col("rrp"), 2).alias("price_per_mwh"), *also,
     )
 
 
@@ -240,12 +252,10 @@ def underperformers_report(
     region: str | None = None, as_of: datetime | None = None,
 ) -> DataFrame:
     """Underperformers, each row carrying how many curtailed farms were left out (25 at most)."""
-    excluded = (
-        in_region(at_latest_scored(fleet, as_of), region)
-        .agg(F.least(F.count_if(F.col("status").isin(*fixed.CURTAILED_KINDS)), F.lit(25)))
-    )
-    return underperformers(fleet, threshold, limit, region, as_of).withColumn(
-        "curtailed_excluded", scalar(excluded))
+    rows = in_region(at_latest_scored(fleet, as_of), region)  # the farms of one interval
+    cut = F.count_if(F.col("status").isin(*fixed.CURTAILED_KINDS)).over(Window.partitionBy())
+    found = _under(rows.withColumn("curtailed_excluded", F.least(cut, F.lit(25))), threshold, "curtailed_excluded")
+    return _first(found, _UNDER_ORDER, limit)
 
 
 # ---------- window summaries ----------
@@ -298,24 +308,31 @@ def fleet_summary(
     fleet: Fleet, n_hours: int = 24, region: str | None = None, as_of: datetime | None = None
 ) -> DataFrame:
     """Per region: farms, energy, mean index, flags at the latest scored interval, curtailed MWh."""
-    per_farm = (
-        in_region(trailing(fleet, n_hours, as_of), region)
-        .groupBy("region", "facility_code")
-        .agg(F.sum("actual_mw").alias("mw"), F.sum("performance_index").alias("ix"),
-             F.count("performance_index").alias("n"))
-    )
-    totals = per_farm.groupBy("region").agg(
-        F.count(F.lit(1)).alias("facilities"),
-        rounded(energy_mwh(F.sum("mw"), fleet.interval_minutes), 1).alias("energy_mwh"),
-        rounded(F.try_divide(F.sum("ix"), F.sum("n")), 2).alias("avg_performance_index"),
-    )
-    flags = at_latest_scored(fleet, as_of).groupBy("region").agg(
-        F.count_if(F.col("status") == "underperforming").alias("_under"),
-        F.count_if(F.col("status").isin(*fixed.CURTAILED_KINDS)).alias("_cut"),
-    )
+    anchor = _anchor(fleet, as_of)
+    inside, today = F.col("interval_end") > anchor - hours(n_hours), F.col("interval_end") > anchor - hours(24)
+    scored = today & F.col("performance_index").isNotNull()
+    # The view is scored once and added up twice: by farm for the window, by interval for the flags of the day.
+    rows = trailing(fleet, max(n_hours, 24), as_of).select(
+        "region", "facility_code", "interval_end", "status", F.when(inside, F.col("actual_mw")).alias("mw"),
+        F.when(inside, F.col("performance_index")).alias("ix"), inside.alias("inside"), scored.alias("scored"))
+    both = rows.groupingSets([["region", "facility_code"], ["region", "interval_end"]], "region", "facility_code", "interval_end").agg(
+        F.sum("mw").alias("mw"), F.sum("ix").alias("ix"), F.count("ix").alias("n"), F.bool_or("inside").alias("inside"), F.bool_or("scored").alias("scored"),
+        F.count_if(F.col("status") == "underperforming").alias("under"), F.count_if(F.col("status").isin(*fixed.CURTAILED_KINDS)).alias("cut"),
+        F.grouping("interval_end").alias("by_farm"))
+    farm = (F.col("by_farm") == 1) & F.col("inside")
+    at = F.when((F.col("by_farm") == 0) & F.col("scored"), F.col("interval_end"))
+    regions = both.groupBy("region").agg(
+        F.count_if(farm).alias("facilities"), F.sum(F.when(farm, F.col("mw"))).alias("mw"), F.sum(F.when(farm, F.col("ix"))).alias("ix"),
+        F.sum(F.when(farm, F.col("n"))).alias("n"), F.max(at).alias("at"), F.max_by(F.struct("under", "cut"), at).alias("flags"))
+    # A region whose newest scored interval is older than another's has no flag at the newest.
+    newest = F.max("at").over(Window.partitionBy())
+    totals = in_region(regions.withColumn("now", F.col("at") == newest).where("facilities > 0"), region).select(
+        "region", "facilities", rounded(energy_mwh(F.col("mw"), fleet.interval_minutes), 1).alias("energy_mwh"),
+        rounded(F.try_divide("ix", "n"), 2).alias("avg_performance_index"),
+        F.when(F.col("now"), F.col("flags.under")).alias("_under"), F.when(F.col("now"), F.col("flags.cut")).alias("_cut"))
     held = dispatch_curtailed_mwh(fleet, _anchor(fleet, as_of) - hours(n_hours), _upto(as_of))
     return (
-        totals.join(flags, "region", "left").join(held, "region", "left")
+        totals.join(held, "region", "left")
         .select(
             "region", "facilities", "energy_mwh", "avg_performance_index",
             F.coalesce("_under", F.lit(0)).alias("underperforming_latest"),

@@ -1,10 +1,13 @@
 """Physical plans of the heavy operators keep the shape they were designed for."""
 
 import re
+from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
-from heliofleet.operators import ranking, routing
+from helpers import AT, FULL_SUN, LOW, fleet
+from heliofleet.operators import catalogue, ranking, routing
 from heliofleet.operators.index import build_index, postings
 from heliofleet.plans.registry import REGISTERED
 from heliofleet.session import joined_as_dealt
@@ -65,5 +68,17 @@ def test_vectors_and_names_meet_without_loops(spark):
     no_loops(plan(routing.match_facility(questions, farms)))
 
 
+@pytest.mark.parametrize("question", [
+    catalogue.underperformers, catalogue.curtailed_farms, catalogue.underperformers_report, lambda f, **a: catalogue.fleet_summary(f, 72, **a)])
+def test_one_scored_view_per_question(spark, tmp_path, question):
+    f = fleet(spark, LOW, FULL_SUN, [("VIC1", AT, 20.0)], [("BRKNSF1", AT, 50.0, 200.0, 200.0, True)])
+    for name in ("readings", "weather"):
+        getattr(f, name).write.parquet(str(tmp_path / name))
+    f = replace(f, readings=spark.read.parquet(str(tmp_path / "readings")), weather=spark.read.parquet(str(tmp_path / "weather")))
+    text = plan(question(f, as_of=AT))
+    assert text.count("FileScan parquet [duid") == 1 and text.count("FileScan parquet [facility_code") == 1
+    no_loops(text)
+
+
 def test_every_query_has_sql():
     assert [name for name, (_, sql) in REGISTERED.items() if sql is None] == []
