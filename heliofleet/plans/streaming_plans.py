@@ -77,6 +77,23 @@ def stream_hourly_profile(spark, sf) -> DataFrame:
     return scores.current_state(spark.read.parquet(f"{root}/updates"), ["facility_code", "hour"])
 
 
+def stream_scored_hours(spark, sf) -> DataFrame:
+    """Readings and weather as two streams of files. The last row of each is far ahead and belongs to no farm:
+    it moves the watermarks past every hour, so that all of them come out."""
+    f = fleet(spark, sf)
+    root = shared_dir(spark, "stream-scored")
+    end = F.expr("INTERVAL 30 DAYS")
+    readings, weather = f.readings.select("duid", "interval_end", "mw"), f.weather.select("facility_code", "observed_at", "ghi_wm2")
+    readings.unionByName(readings.agg((F.max("interval_end") + end).alias("interval_end")).select(
+        F.lit("").alias("duid"), "interval_end", F.lit(0.0).alias("mw"))).write.parquet(f"{root}/readings")
+    weather.unionByName(weather.agg((F.max("observed_at") + end).alias("observed_at")).select(
+        F.lit("").alias("facility_code"), "observed_at", F.lit(0.0).alias("ghi_wm2"))).write.parquet(f"{root}/weather")
+    streams = [spark.readStream.schema(df.schema).parquet(f"{root}/{part}") for part, df in (("readings", readings), ("weather", weather))]
+    hours = scores.scored_hours(*streams, f.units, "10 days", f.interval_minutes, f.tolerance_minutes)
+    _finish(hours.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(**NOW_TRIGGER).start(f"{root}/out"))
+    return spark.read.schema(hours.schema).parquet(f"{root}/out")
+
+
 def stream_metric_totals(spark, sf) -> DataFrame:
     configure(spark)
     root = shared_dir(spark, "stream-metrics")
@@ -100,6 +117,14 @@ def user_lags(spark, sf) -> DataFrame:
     return events(spark, sf).select(F.concat(F.lit("F"), F.col("user_id") % 10).alias("series"), "ts", "value")
 
 
+def silent_lags(spark, sf) -> DataFrame:
+    """The farms' lags two hours after the last event, when all feeds have stopped, with a farm that never reported."""
+    lags = user_lags(spark, sf)
+    first = lags.groupBy("series").agg(F.min("ts").alias("start")).unionByName(lags.agg(F.min("ts").alias("start")).select(F.lit("F10").alias("series"), "start"))
+    starts = first.select("series", F.timestamp_micros(F.unix_micros("start") - F.pmod(F.unix_micros("start"), F.lit(900_000_000))).alias("start"))
+    return metrics.stale_data_alarm(lags, lags.agg(F.max("ts")).scalar() + F.expr("INTERVAL 2 HOURS"), starts)
+
+
 def rolled(spark, sf) -> DataFrame:
     configure(spark)
     out = metrics.rollups(events(spark, sf).select(F.col("event_type").alias("series"), "ts", "value"), 60)
@@ -138,6 +163,10 @@ REGISTERED = {
         lambda s, d: as_naive(stream_hourly_profile(s, d)),
         f"""SELECT facility_code, hour, CAST(count(DISTINCT i) AS INTEGER) AS intervals, {sql_round('sum(value) / count(DISTINCT i)', 1)} AS avg_mw
 FROM (SELECT concat('F', user_id % 10) AS facility_code, date_trunc('hour', ts) AS hour, time_bucket(INTERVAL 5 MINUTE, ts) AS i, value FROM events WHERE event_type = 'click') GROUP BY 1, 2"""),
+    "stream_scored_hours": (
+        lambda s, d: as_naive(stream_scored_hours(s, d)),
+        fleet_sql(f"""SELECT facility_code, date_trunc('hour', interval_end) AS hour, {sql_round('avg(actual_mw)', 1)} AS avg_mw,
+ {sql_round('avg(expected_mw)', 1)} AS expected_mw, {sql_round('avg(performance_index)', 2)} AS performance_index FROM perf GROUP BY 1, 2""", True)),
     "stream_metric_totals": (
         lambda s, d: as_naive(stream_metric_totals(s, d)),
         f"SELECT event_type AS series, date_trunc('hour', ts) AS period, count(value) AS n, {sql_round('sum(value)', 4)} AS total, max(value) AS highest FROM events GROUP BY 1, 2"),
@@ -149,6 +178,13 @@ FROM perf p JOIN b USING (facility_code, interval_end) WHERE p.curtailed_mw IS N
     "stale_data_alarm": (
         lambda s, d: as_naive(metrics.stale_data_alarm(user_lags(s, d)).withColumn("value", rounded(F.col("value"), 4))),
         sql_alarms(15, "max", "value > 45", 2, "true")),
+    "stale_data_alarm_silence": (
+        lambda s, d: as_naive(silent_lags(s, d).withColumn("value", rounded(F.col("value"), 4))),
+        f"""WITH s AS (SELECT concat('F', user_id % 10) AS series, time_bucket(INTERVAL 15 MINUTE, ts) AS period, max(value) AS value FROM events GROUP BY 1, 2),
+known AS (SELECT series, min(period) AS start FROM s GROUP BY 1 UNION ALL SELECT 'F10', min(period) FROM s),
+spine AS (SELECT series, unnest(generate_series(start, (SELECT time_bucket(INTERVAL 15 MINUTE, max(ts) + INTERVAL 2 HOUR) - INTERVAL 15 MINUTE FROM events), INTERVAL 15 MINUTE)) AS period FROM known),
+b AS (SELECT series, period, value, coalesce(value > 45, true) AS breaching FROM spine LEFT JOIN s USING (series, period))
+SELECT series, period, {sql_round('value', 4)} AS value, breaching, breaching AND coalesce(lag(breaching) OVER (PARTITION BY series ORDER BY period), false) AS alarm FROM b"""),
     "threshold_alarm_backlog": (
         lambda s, d: as_naive(metrics.alarms(user_lags(s, d), 60, 20.0, periods=3).withColumn("value", rounded(F.col("value"), 4))),
         sql_alarms(60, "max", "value > 20", 3, "false")),

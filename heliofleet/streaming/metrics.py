@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from heliofleet import fixed
 from heliofleet.operators.evaluation import rank_percentiles
 from heliofleet.operators.ingest import latest_per_key
+from heliofleet.streaming.scores import start_updates
+
+STALE_PERIOD, STALE_PERIODS = 15, 2  # minutes of a period, and periods in a row
 
 
 def _period(minutes: int):
@@ -46,18 +51,24 @@ def counts_by_reason(events: DataFrame, minutes: int) -> DataFrame:
 
 def alarms(
     metrics: DataFrame, minutes: int, threshold: float, periods: int = 1, stat: str = "max",
-    inclusive: bool = False, missing_breaches: bool = False, starts: DataFrame | None = None,
+    inclusive: bool = False, missing_breaches: bool = False, starts: DataFrame | None = None, until: Column | None = None,
 ) -> DataFrame:
     """State per series and period of (series, ts, value).
 
     A period breaches when its statistic is above the threshold (at or above it if ``inclusive``);
     an empty period breaches only if ``missing_breaches``. The alarm holds once ``periods`` in a row
     breach. Rows are reduced to one per period before any ordering, and the spine runs from a
-    series' first period (or from ``starts`` (series, start)) to the newest period of all.
+    series' first period (or from ``starts`` (series, start), which may name series that never
+    reported) to the newest period of all, or with ``until`` to the last period over by then: a feed
+    that has stopped altogether goes on having empty periods.
     """
     aggregate = {"max": F.max, "sum": F.sum}[stat]("value")
     sums = metrics.groupBy("series", _period(minutes).alias("period")).agg(aggregate.alias("value"))
     newest = sums.agg(F.max("period")).scalar()
+    if until is not None:
+        step = minutes * 60_000_000
+        over = F.unix_micros(until) - F.pmod(F.unix_micros(until), F.lit(step)) - step
+        newest = F.greatest(newest, F.timestamp_micros(over))
     if starts is None:
         starts = sums.groupBy("series").agg(F.min("period").alias("start"))
     spine = starts.where(F.col("start") <= newest).select(
@@ -109,6 +120,43 @@ def start_alarms(
     return stats.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def stale_data_alarm(lags: DataFrame) -> DataFrame:
+def stale_data_alarm(lags: DataFrame, until: Column | None = None, starts: DataFrame | None = None) -> DataFrame:
     """Lag above 45 minutes, or none reported, in two 15-minute periods running."""
-    return alarms(lags, 15, fixed.STALE_MINUTES, periods=2, missing_breaches=True)
+    return alarms(lags, STALE_PERIOD, fixed.STALE_MINUTES, periods=STALE_PERIODS, missing_breaches=True, starts=starts, until=until)
+
+
+def _watch(quiet_ms: int):
+    def run(key, frames, state):
+        now = pd.Timestamp(state.getCurrentProcessingTimeMs(), unit="ms")
+        seen, silent = state.get if state.exists else (None, True)
+        if state.hasTimedOut:
+            state.update((seen, True))
+            yield pd.DataFrame({"series": key, "alarm": [True], "last_seen": [pd.Timestamp(seen, unit="us")], "at": [now]})
+            return
+        newest = max(int(f["at_us"].max()) for f in frames)
+        seen = newest if seen is None else max(seen, newest)
+        state.update((seen, False))
+        state.setTimeoutDuration(quiet_ms)
+        if silent:
+            yield pd.DataFrame({"series": key, "alarm": [False], "last_seen": [pd.Timestamp(seen, unit="us")], "at": [now]})
+    return run
+
+
+def silence(metrics: DataFrame, quiet_seconds: int) -> DataFrame:
+    """Changes (series, alarm, last_seen, at) of a stream (series, ts): a series that sends nothing for ``quiet_seconds``
+    of the clock alarms, and is well again with its next row.
+
+    A timer per series, kept in keyed state, fires without any input, so a feed that stops alarms too. Run it with a
+    processing-time trigger. A series that must report but has not yet is armed by a row of its own in the stream.
+    """
+    rows = metrics.select("series", F.unix_micros("ts").alias("at_us")).where("series is not null and at_us is not null")
+    return rows.groupBy("series").applyInPandasWithState(
+        _watch(quiet_seconds * 1000), "series string, alarm boolean, last_seen timestamp_ntz, at timestamp_ntz",
+        "seen long, silent boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def start_silence_alarms(
+    metrics: DataFrame, path: str, checkpoint: str, trigger: dict, quiet_seconds: int = 60 * STALE_PERIOD * STALE_PERIODS,
+) -> StreamingQuery:
+    """The silence alarms of a stream, as an update log under ``path``; ``scores.current_state`` reads it by series."""
+    return start_updates(silence(metrics, quiet_seconds), path, checkpoint, trigger)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from heliofleet import fixed
 from heliofleet.functions.columns import rounded
 from heliofleet.operators.fleet import Fleet, minutes
 from heliofleet.operators.ingest import latest_per_key
+from heliofleet.operators.scoring import expected_mw, performance_index
 
 
 def touched_pairs(dispatch_batch: DataFrame, units: DataFrame) -> DataFrame:
@@ -57,6 +59,47 @@ def hourly_profile(readings: DataFrame, units: DataFrame, watermark: str | None
     )
 
 
+def _nearest_on_grid(weather: DataFrame, step: int, tolerance: int, watermark: str | None) -> DataFrame:
+    """The observation nearest each grid time of a facility, within ``tolerance`` minutes (the earlier of two)."""
+    grain, reach, at = step * 60_000_000, tolerance * 60_000_000, F.unix_micros("observed_at")
+
+    def below(micros_: Column) -> Column:
+        return ((micros_ - F.pmod(micros_, F.lit(grain))) / grain).cast("bigint")
+    ticks = F.sequence(below(at - reach + grain - 1), below(at + reach))
+    rows = weather.select("facility_code", "ghi_wm2", at.alias("_at"), F.explode(F.when(below(at - reach + grain - 1) <= below(at + reach), ticks)).alias("_tick"))
+    rows = rows.select("facility_code", "ghi_wm2", "_at", F.timestamp_micros(F.col("_tick") * grain).alias("interval_end"))
+    if watermark is not None:
+        rows = rows.withWatermark("interval_end", watermark)
+    gap = F.abs(F.col("_at") - F.unix_micros("interval_end"))
+    return rows.groupBy("facility_code", "interval_end").agg(F.min_by("ghi_wm2", F.struct(gap.alias("g"), F.col("_at").alias("a"))).alias("ghi_wm2"))
+
+
+def scored_hours(
+    readings: DataFrame, weather: DataFrame, units: DataFrame, watermark: str | None = None,
+    interval_minutes: int = fixed.INTERVAL_MINUTES, tolerance_minutes: int = fixed.WEATHER_TOLERANCE_MINUTES,
+) -> DataFrame:
+    """Mean output, expected output and index per facility and hour, for two streams (with a watermark) or two tables.
+
+    Units are summed per interval, each grid time gets its nearest observation, the two streams are joined on
+    facility and time (an interval without weather stays, once the watermark has passed it), and the scored
+    intervals are averaged per hour. Each step keeps state only for times that the watermark has not passed, so an
+    hour is final when it comes out.
+    """
+    rows = readings if watermark is None else readings.withWatermark("interval_end", watermark)
+    output = (
+        rows.join(units.select("duid", "facility_code", "capacity_mw"), "duid")
+        .groupBy("facility_code", "interval_end").agg(F.sum("mw").alias("actual_mw"), F.sum("capacity_mw").alias("capacity_mw")))
+    sun = _nearest_on_grid(weather, interval_minutes, tolerance_minutes, watermark)
+    scored = output.join(sun, ["facility_code", "interval_end"], "left").select(
+        "facility_code", "interval_end", "actual_mw", expected_mw(F.col("capacity_mw"), F.col("ghi_wm2")).alias("expected_mw"),
+        performance_index(F.col("actual_mw"), F.col("capacity_mw"), F.col("ghi_wm2")).alias("performance_index"))
+    return (
+        scored.groupBy("facility_code", F.window("interval_end", "1 hour").alias("w"))
+        .agg(F.avg("actual_mw").alias("mw"), F.avg("expected_mw").alias("expected"), F.avg("performance_index").alias("ix"))
+        .select("facility_code", F.col("w.start").alias("hour"), rounded(F.col("mw"), 1).alias("avg_mw"),
+                rounded(F.col("expected"), 1).alias("expected_mw"), rounded(F.col("ix"), 2).alias("performance_index")))
+
+
 def start_updates(df: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     """Write each batch's updated rows under its batch id; a repeated batch replaces itself."""
     def each(rows: DataFrame, batch_id: int) -> None:

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -69,3 +70,62 @@ def test_streamed_alarms_equal_batch(spark, tmp_path):
                          watermark="10 days", missing_breaches=True).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "alarms"))
     assert rows(got, "series", "period", "breaching", "alarm") == rows(metrics.stale_data_alarm(df), "series", "period", "breaching", "alarm")
+
+
+def test_a_silent_series_keeps_alarming_in_the_batch_form(spark):
+    rows_ = [("a", dt.datetime(2026, 3, 12, 0, 5), 10.0), ("b", dt.datetime(2026, 3, 12, 0, 5), 10.0), ("b", dt.datetime(2026, 3, 12, 0, 50), 50.0)]
+    lags = spark.createDataFrame(rows_, "series string, ts timestamp, value double")
+    until = F.lit(dt.datetime(2026, 3, 12, 1, 40))
+    got = rows(metrics.stale_data_alarm(lags, until).where("alarm"), "series", F.date_format("period", "HH:mm").alias("p"))
+    assert got == [("a", p) for p in ("00:30", "00:45", "01:00", "01:15")] + [("b", p) for p in ("00:30", "00:45", "01:00", "01:15")]
+    late = metrics.stale_data_alarm(lags, F.lit(dt.datetime(2026, 3, 11)))  # rows newer than the clock still count
+    assert late.agg(F.max("period")).first()[0] == dt.datetime(2026, 3, 12, 0, 45)
+    expected = spark.createDataFrame([("c", dt.datetime(2026, 3, 12, 0, 30))], "series string, start timestamp")
+    never = metrics.stale_data_alarm(lags, until, expected).where("series = 'c'").orderBy("period").collect()
+    assert [r["alarm"] for r in never] == [False, True, True, True] and all(r["breaching"] for r in never)
+
+
+def test_a_feed_that_stops_alarms(spark, tmp_path):
+    schema = "series string, ts timestamp"
+
+    def send(*series):
+        spark.createDataFrame([(s, dt.datetime.now()) for s in series] + [(None, dt.datetime.now())], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def until(test, seconds=60):
+        end = time.time() + seconds
+        while time.time() < end:
+            if (tmp_path / "out").exists() and any((tmp_path / "out").glob("batch=*/*.parquet")):
+                log = spark.read.schema("series string, alarm boolean, last_seen timestamp_ntz, at timestamp_ntz, batch long").parquet(str(tmp_path / "out"))
+                now = {r["series"]: r["alarm"] for r in scores.current_state(log, ["series"]).collect()}
+                if test(now):
+                    return now
+            time.sleep(0.5)
+        raise AssertionError("not in time")
+
+    send("a", "b")
+    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = metrics.start_silence_alarms(feed, str(tmp_path / "out"), str(tmp_path / "checkpoint"), {"processingTime": "300 milliseconds"}, quiet_seconds=6)
+    try:
+        until(lambda now: now == {"a": False, "b": False})
+
+        def only_b(now):
+            send("b")
+            return now.get("a") is True
+        assert until(only_b)["b"] is False  # b reports on, a is missed
+        assert until(lambda now: now["b"] is True) == {"a": True, "b": True}  # nothing comes in any more
+        send("a")
+        assert until(lambda now: now["a"] is False)["b"] is True
+    finally:
+        query.stop()
+
+
+def test_scored_hours_of_a_table_match_the_catalogue(spark):
+    at = [AT + dt.timedelta(minutes=5 * i) for i in range(-20, 20)]
+    readings = [(unit[0], t, float(i % 7) * unit[6] / 9) for i, t in enumerate(at) for unit in UNITS]
+    weather = [("HAZLSF", t + dt.timedelta(minutes=m), ghi, 20.0, 0.0) for t, m, ghi in
+               [(at[0], -31, 400.0), (at[3], 2, 900.0), (at[9], -2, 100.0), (at[9], 3, 700.0), (at[30], 0, 0.0)]]
+    f = fleet(spark, readings, weather)
+    got = scores.scored_hours(f.readings, f.weather, f.units, None, f.interval_minutes, f.tolerance_minutes)
+    want = catalogue.facility_hourly(f, 1000)
+    columns = ["facility_code", F.date_format("hour", "HH").alias("h"), "avg_mw", "expected_mw", "performance_index"]
+    assert rows(got.na.fill(-1.0), *columns) == rows(want.na.fill(-1.0), *columns) and got.count() == 8
