@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,9 @@ from heliofleet import fixed
 from heliofleet.functions.columns import instant
 
 
+EMPTIED_AT_ONCE = 8  # partitions that retention empties side by side
+
+
 def latest_per_key(batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``. A map-side combined aggregate, so a key that holds
     a large share of the batch collapses before the shuffle. All columns follow the same order
@@ -141,18 +145,31 @@ def prune_counts(tables: dict[str, tuple[DataFrame, str]], days: int, now: Colum
     return out
 
 
-def prune_table(spark: SparkSession, path: str, days: int, now: datetime, time: str = "interval_end") -> None:
-    """Apply retention to a date-partitioned table: whole old dates are emptied, the cut date is
-    rewritten, newer dates are not read."""
-    table = spark.read.parquet(path)
+def prune_table(
+    spark: SparkSession, path: str, days: int, now: datetime, time: str = "interval_end", schema=None, leaf: Sequence[str] = ("date",),
+) -> int:
+    """Apply retention to a table laid out by market date (``leaf``: its partition columns, the date first) and
+    say how many rows went.
+
+    The cut date is rewritten with the rows it keeps, older partitions are overwritten with none, newer dates are
+    not read. Each partition is replaced by one commit of its own and emptying is final, so a run that dies half-way
+    is finished by the next; a partition emptied before has no rows and is not touched again.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
     cut = instant(now) - F.make_dt_interval(days=F.lit(days))
     market_day = F.to_date(F.from_utc_timestamp(cut, fixed.NEM_OFFSET))
-    keep_cut_day = table.where((F.col("date") == market_day) & (F.col(time) >= cut))
-    # A cut date with nothing left to keep goes as a whole: an empty overwrite would leave it.
-    gone = F.col("date") <= market_day if keep_cut_day.isEmpty() else F.col("date") < market_day
-    old = table.where(gone).select("date").distinct()
-    keep_cut_day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in old.toLocalIterator():  # calendar dates only
-        fs.delete(fs_path(f"{path}/date={row['date'].isoformat()}"), True)
+    old = reader.parquet(path).where(F.col("date") <= market_day)
+    keep = old.where((F.col("date") == market_day) & (F.col(time) >= cut))
+    deleted = old.where(F.col(time) < cut).count()
+    if not deleted:
+        return 0
+    # Partitions older than the cut: calendar dates and what is laid out below them.
+    emptied = [row.asDict() for row in old.select(*leaf).distinct().join(keep.select(*leaf).distinct(), list(leaf), "left_anti").toLocalIterator()]
+    keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*leaf).parquet(path)
+    nothing = spark.createDataFrame([], old.drop(*leaf).schema)
+
+    def empty(part: dict) -> None:
+        nothing.coalesce(1).write.mode("overwrite").parquet("/".join([path, *[f"{c}={part[c]}" for c in leaf]]))
+    with ThreadPoolExecutor(EMPTIED_AT_ONCE) as pool:  # small jobs of their own
+        list(pool.map(empty, emptied))
+    return deleted

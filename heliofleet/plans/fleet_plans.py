@@ -149,18 +149,18 @@ def freshness_by_unit(spark, sf):
 
 
 def find_texts(spark, sf):
-    """Search texts made from every part row: fragments, exact codes and wildcards."""
+    """Search texts made from every part row: fragments, exact codes, wildcards and whole names."""
     k = F.col("p_partkey")
     return table(spark, sf, "part").select(
         F.when(k % 5 == 0, F.concat(F.lit(" f"), k % 12))
         .when(k % 5 == 1, F.concat(F.lit("arm "), k % 12))
         .when(k % 5 == 2, F.concat(F.lit("F_r%"), k % 7))
         .when(k % 5 == 3, F.lit("%"))
-        .otherwise(F.substring("p_name", 1, 2)).alias("text"))
+        .otherwise(F.col("p_name")).alias("text"))
 
 
 FIND_TEXTS_SQL = """SELECT DISTINCT trim(CASE p_partkey % 5 WHEN 0 THEN concat(' f', p_partkey % 12) WHEN 1 THEN concat('arm ', p_partkey % 12)
- WHEN 2 THEN concat('F_r%', p_partkey % 7) WHEN 3 THEN '%' ELSE substr(p_name, 1, 2) END) AS t FROM part"""
+ WHEN 2 THEN concat('F_r%', p_partkey % 7) WHEN 3 THEN '%' ELSE p_name END) AS t FROM part"""
 
 
 REGISTERED = {

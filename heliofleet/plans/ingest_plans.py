@@ -3,15 +3,19 @@ derived by Spark from the given tables, row for row."""
 
 from __future__ import annotations
 
+import functools
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
 from heliofleet import fixed
-from heliofleet.functions.columns import as_naive, instant
+from heliofleet.functions.columns import as_naive, instant, nem_date
 from heliofleet.operators import ingest, quality
 from heliofleet.plans.bindings import events, fleet, fleet_sql, ledger_of, table
+from heliofleet.session import shared_dir
 from heliofleet.sources import payloads, reports
+from heliofleet.streaming import ingest as stream_ingest
 
 NOW = datetime(2024, 1, 31, 0, 0)
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -177,14 +181,13 @@ def json_rows(spark, sf):
 # ---------- ingest ----------
 
 def upsert_readings(spark, sf):
-    """Readings of two thirds of the units, written over by every click in event order."""
+    """Every reading, written over by every event in event order; events of odd units count for the hour after."""
     f = fleet(spark, sf)
-    clicks = events(spark, sf).where("event_type = 'click'").select(
+    batch = events(spark, sf).select(
         F.concat(F.lit("U"), "user_id").alias("duid"),
-        (F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")).alias("interval_end"),
+        (F.date_trunc("hour", "ts") + F.make_dt_interval(hours=(1 + F.col("user_id") % 2).cast("int"))).alias("interval_end"),
         (F.col("value") + 1000).alias("mw"), "event_id")
-    target = f.readings.where("uid % 3 <> 0").select("duid", "interval_end", "mw")
-    return ingest.upsert(target, clicks, ["duid", "interval_end"], ["event_id"])
+    return ingest.upsert(f.readings.select("duid", "interval_end", "mw"), batch, ["duid", "interval_end"], ["event_id"])
 
 
 def weather_backfill(spark, sf):
@@ -196,9 +199,14 @@ def weather_backfill(spark, sf):
     return ingest.upsert(polls, history, ["facility_code", "observed_at"], ["seq"])
 
 
+def with_strangers(f) -> DataFrame:
+    """The readings as reports carry them: every fourth unit is one that the registry does not know."""
+    return f.readings.withColumn("duid", F.when(F.col("uid") % 4 == 0, F.concat(F.lit("X"), "uid")).otherwise(F.col("duid")))
+
+
 def known_readings(spark, sf):
     f = fleet(spark, sf)
-    return ingest.keep_known(f.readings, f.units.where("capacity_mw > 100")).select("duid", "interval_end", "mw")
+    return ingest.keep_known(with_strangers(f), f.units).select("duid", "interval_end", "mw")
 
 
 def ledger_append(spark, sf):
@@ -216,9 +224,13 @@ def pending(spark, sf):
 
 
 def ingest_counts(spark, sf):
+    """Counts of the files that the ledger lacks: two thirds of its entries are for other files of the same intervals."""
     f = fleet(spark, sf)
-    rows = reports.scada_readings(reports.report_records(scada_rows(f), fixed.SCADA_TABLE))
-    return ingest.ingest_counts(rows, f.units.where("capacity_mw > 100"), f.ledger.where("hour(interval_end) % 3 = 0"))
+    strangers = replace(f, readings=with_strangers(f))
+    rows = reports.scada_readings(reports.report_records(scada_rows(strangers), fixed.SCADA_TABLE))
+    other = F.regexp_replace("file_name", "1.zip$", "2.zip")
+    ledger = f.ledger.withColumn("file_name", F.when(F.expr("hour(interval_end) % 3 = 0"), F.col("file_name")).otherwise(other))
+    return ingest.ingest_counts(rows, f.units, ledger)
 
 
 def price_sync_counts(spark, sf):
@@ -251,6 +263,37 @@ def constraints(spark, sf):
         quality.not_empty_rule(cust, "customers_loaded"))
 
 
+def written_store(spark, sf) -> stream_ingest.Store:
+    """All five tables as ingest lays them out; the ledger as if each hour of the day had been a batch."""
+    f = fleet(spark, sf)
+    store = stream_ingest.Store(f"{shared_dir(spark, 'pruned')}/store")
+    tables = ((f.readings.drop("uid"), store.readings), (f.prices, store.table(stream_ingest.PRICES)), (f.dispatch, store.table(stream_ingest.NEXT_DAY)))
+    for df, path in tables:
+        df.withColumn("date", nem_date(F.col("interval_end"))).write.partitionBy("date").parquet(path)
+    sky = f.weather.groupBy("facility_code", "observed_at").agg(F.max("ghi_wm2").alias("ghi_wm2"))
+    stream_ingest.store_weather(sky, store)
+    (f.ledger.withColumn("ingested_at", F.col("interval_end")).withColumn("date", nem_date(F.col("interval_end")))
+     .withColumn("batch", F.format_string("%012d", F.expr("hour(interval_end) div 6")))
+     .write.partitionBy(*stream_ingest.LEDGER_LEAF).parquet(store.ledger))
+    return store
+
+
+def pruned_ledger(spark, sf):
+    store = written_store(spark, sf)
+    stream_ingest.prune_store(spark, store, 20, NOW)
+    return stream_ingest.ledger(spark, store).select("file_name", "interval_end", "rows_total", "rows_solar", F.col("date").cast("string").alias("date"), "batch")
+
+
+def pruned_store(spark, sf):
+    """Rows that retention took from each table, and rows that are left."""
+    store = written_store(spark, sf)
+    gone = stream_ingest.prune_store(spark, store, 20, NOW)
+    left = [spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left")).select(F.lit(name).alias("table"), "left") for name, path in (
+        ("readings", store.readings), ("weather", store.weather), ("prices", store.table(stream_ingest.PRICES)),
+        ("dispatch", store.table(stream_ingest.NEXT_DAY)), ("ledger", store.ledger))]
+    return gone.join(functools.reduce(DataFrame.unionByName, left), "table")
+
+
 def prune_counts(spark, sf):
     f = fleet(spark, sf)
     return ingest.prune_counts({
@@ -346,16 +389,16 @@ SELECT concat('{"o_orderkey":', o_orderkey, ',"o_orderstatus":"', o_orderstatus,
  'Z","cust":', CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'null' END, '}') AS json FROM orders"""),
     "upsert_readings": (lambda s, d: as_naive(upsert_readings(s, d)), fleet_sql("""
 SELECT coalesce(c.duid, t.duid) AS duid, coalesce(c.interval_end, t.interval_end) AS interval_end, coalesce(c.mw, t.mw) AS mw
-FROM (SELECT * FROM readings WHERE uid % 3 <> 0) t
-FULL JOIN (SELECT concat('U', user_id) AS duid, date_trunc('hour', ts) + INTERVAL 1 HOUR AS interval_end, arg_max(value + 1000, event_id) AS mw
-           FROM events WHERE event_type = 'click' GROUP BY 1, 2) c ON c.duid = t.duid AND c.interval_end = t.interval_end""")),
+FROM readings t
+FULL JOIN (SELECT concat('U', user_id) AS duid, date_trunc('hour', ts) + to_hours(1 + user_id % 2) AS interval_end, arg_max(value + 1000, event_id) AS mw
+           FROM events GROUP BY 1, 2) c ON c.duid = t.duid AND c.interval_end = t.interval_end""")),
     "weather_backfill": (lambda s, d: as_naive(weather_backfill(s, d)), fleet_sql("""
 , p AS (SELECT facility_code, date_trunc('hour', observed_at) AS observed_at, max(ghi_wm2) AS ghi_wm2 FROM weather GROUP BY 1, 2),
  h AS (SELECT facility_code, date_trunc('hour', observed_at) + INTERVAL 3 HOUR AS observed_at, min(ghi_wm2) AS ghi_wm2 FROM weather GROUP BY 1, 2)
 SELECT * FROM h UNION ALL SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.facility_code = p.facility_code AND h.observed_at = p.observed_at)""")),
     "known_readings": (
         lambda s, d: as_naive(known_readings(s, d)),
-        fleet_sql("SELECT duid, interval_end, mw FROM readings WHERE duid IN (SELECT duid FROM units WHERE capacity_mw > 100)")),
+        fleet_sql("SELECT duid, interval_end, mw FROM readings WHERE uid % 4 <> 0")),
     "ledger_append": (lambda s, d: as_naive(ledger_append(s, d)), fleet_sql(f"""
 SELECT file_name, interval_end, rows_total, rows_solar, 0::BIGINT AS ingested_at FROM ledger WHERE hour(interval_end) % 3 = 0
 UNION ALL SELECT {FILE_SQL}, interval_end, 1, 1, min(uid) + 1 FROM readings WHERE hour(interval_end) % 3 <> 0 GROUP BY interval_end""")),
@@ -387,6 +430,14 @@ UNION ALL SELECT 'weather', count(*) FILTER (observed_at < {NOW_SQL} - INTERVAL
 UNION ALL SELECT 'prices', count(*) FILTER (interval_end < {NOW_SQL} - INTERVAL 20 DAY) FROM prices
 UNION ALL SELECT 'dispatch', count(*) FILTER (interval_end < {NOW_SQL} - INTERVAL 20 DAY) FROM dispatch
 UNION ALL SELECT 'ledger', count(*) FILTER (interval_end < {NOW_SQL} - INTERVAL 20 DAY) FROM ledger""")),
+    "pruned_ledger": (
+        lambda s, d: as_naive(pruned_ledger(s, d)),
+        fleet_sql(f"""SELECT file_name, interval_end, rows_total, rows_solar, strftime(interval_end + INTERVAL 10 HOUR, '%Y-%m-%d') AS date,
+ printf('%012d', hour(interval_end) // 6) AS batch FROM ledger WHERE interval_end >= {NOW_SQL} - INTERVAL 20 DAY""")),
+    "pruned_store": (pruned_store, fleet_sql(", sky AS (SELECT DISTINCT facility_code, observed_at FROM weather)" + " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", count(*) FILTER ({at} < {NOW_SQL} - INTERVAL 20 DAY) AS deleted, count(*) FILTER ({at} >= {NOW_SQL} - INTERVAL 20 DAY) AS "left" FROM {view}"""
+        for name, view, at in (("readings", "readings", "interval_end"), ("weather", "sky", "observed_at"), ("prices", "prices", "interval_end"),
+                               ("dispatch", "dispatch", "interval_end"), ("ledger", "ledger", "interval_end"))))),
     "pruned_readings": (
         lambda s, d: as_naive(ingest.prune(fleet(s, d).readings, "interval_end", 20, instant(NOW)).select("duid", "interval_end", "mw")),
         fleet_sql(f"SELECT duid, interval_end, mw FROM readings WHERE NOT interval_end < {NOW_SQL} - INTERVAL 20 DAY")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from heliofleet import fixed
 from heliofleet.functions.columns import as_naive, rounded
 from heliofleet.plans.bindings import events, fleet, fleet_sql, sql_round, table, SQL_PERFORMANCE
-from heliofleet.plans.ingest_plans import _stamp
+from heliofleet.plans.ingest_plans import _stamp, with_strangers
 from heliofleet.session import configure, shared_dir
 from heliofleet.streaming import ingest as stream_ingest, metrics, scores
 
@@ -22,7 +22,7 @@ def _finish(query) -> None:
 def daily_reports(f, path: str) -> None:
     """Readings as one plain report per market day under ``report=<name>/``."""
     day = F.date_format(F.from_utc_timestamp("interval_end", fixed.NEM_OFFSET), "yyyyMMdd")
-    rows = f.readings.withColumn("report", F.concat(F.lit("PUBLIC_DISPATCHSCADA_"), day, F.lit("0000_1.zip")))
+    rows = with_strangers(f).withColumn("report", F.concat(F.lit("PUBLIC_DISPATCHSCADA_"), day, F.lit("0000_1.zip")))
     head = rows.select("report").distinct().select(
         "report", F.lit("").alias("k"), F.lit("I,DISPATCH,UNIT_SCADA,1,SETTLEMENTDATE,DUID,SCADAVALUE").alias("value"))
     data = rows.select("report", F.concat(F.date_format("interval_end", "yyyyMMddHH"), "duid").alias("k"), F.concat(
@@ -36,8 +36,7 @@ def stream_ingest_readings(spark, sf) -> DataFrame:
     root = shared_dir(spark, "stream-ingest")
     store = stream_ingest.Store(f"{root}/store")
     daily_reports(f, f"{root}/reports")
-    units = f.units.where("capacity_mw > 100")
-    _finish(stream_ingest.start_text_ingest(spark, f"{root}/reports", units, store, 20, NOW_TRIGGER))
+    _finish(stream_ingest.start_text_ingest(spark, f"{root}/reports", f.units, store, 20, NOW_TRIGGER))
     return spark.read.parquet(store.readings).select("duid", "interval_end", "mw", F.col("date").cast("string").alias("date"))
 
 
@@ -46,8 +45,8 @@ def stream_ingest_ledger(spark, sf) -> DataFrame:
     root = shared_dir(spark, "stream-ledger")
     store = stream_ingest.Store(f"{root}/store")
     daily_reports(f, f"{root}/reports")
-    _finish(stream_ingest.start_text_ingest(spark, f"{root}/reports", f.units.where("capacity_mw > 100"), store, 20, NOW_TRIGGER))
-    return stream_ingest.ledger(spark, store).drop("batch", "ingested_at")
+    _finish(stream_ingest.start_text_ingest(spark, f"{root}/reports", f.units, store, 20, NOW_TRIGGER))
+    return stream_ingest.ledger(spark, store).drop("batch", "ingested_at", "date")
 
 
 def event_stream(spark, sf) -> DataFrame:
@@ -69,7 +68,7 @@ def stream_first_sightings(spark, sf) -> DataFrame:
 def stream_hourly_profile(spark, sf) -> DataFrame:
     f = fleet(spark, sf)
     root = shared_dir(spark, "stream-profile")
-    readings = event_stream(spark, sf).where("event_type = 'click'").select(
+    readings = event_stream(spark, sf).select(
         F.concat(F.lit("U"), "user_id").alias("duid"),
         F.timestamp_micros(F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(300_000_000))).alias("interval_end"), F.col("value").alias("mw"))
     profile = scores.hourly_profile(readings, f.units, "2 days")
@@ -162,7 +161,7 @@ REGISTERED = {
     "stream_hourly_profile": (
         lambda s, d: as_naive(stream_hourly_profile(s, d)),
         f"""SELECT facility_code, hour, CAST(count(DISTINCT i) AS INTEGER) AS intervals, {sql_round('sum(value) / count(DISTINCT i)', 1)} AS avg_mw
-FROM (SELECT concat('F', user_id % 10) AS facility_code, date_trunc('hour', ts) AS hour, time_bucket(INTERVAL 5 MINUTE, ts) AS i, value FROM events WHERE event_type = 'click') GROUP BY 1, 2"""),
+FROM (SELECT concat('F', user_id % 10) AS facility_code, date_trunc('hour', ts) AS hour, time_bucket(INTERVAL 5 MINUTE, ts) AS i, value FROM events) GROUP BY 1, 2"""),
     "stream_scored_hours": (
         lambda s, d: as_naive(stream_scored_hours(s, d)),
         fleet_sql(f"""SELECT facility_code, date_trunc('hour', interval_end) AS hour, {sql_round('avg(actual_mw)', 1)} AS avg_mw,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -63,13 +64,17 @@ class Store:
     def table(self, kind: ReportKind) -> str:
         return f"{self.root}/{kind.name}"
 
-    def staging(self, kind: ReportKind) -> str:
-        return f"{self.root}/staging/{kind.name}"
+    def staging(self, kind: ReportKind, batch: str) -> str:
+        return f"{self.root}/staging/{kind.name}/{batch}"
 
     @property
     def readings(self) -> str:
         return self.table(SCADA)
 
+    @property
+    def weather(self) -> str:
+        return f"{self.root}/weather"
+
     @property
     def ledger(self) -> str:
         return f"{self.root}/ledger"
@@ -83,7 +88,8 @@ class Store:
         return f"{self.root}/checkpoint"
 
 
-LEDGER_SCHEMA = "file_name string, interval_end timestamp, rows_total int, rows_solar int, ingested_at timestamp, batch string"
+LEDGER_SCHEMA = "file_name string, interval_end timestamp, rows_total int, rows_solar int, ingested_at timestamp, date date, batch string"
+LEDGER_LEAF = ("date", "batch")  # by market date, so retention and look-ups read few folders; by batch, so a repeated one replaces itself
 FAILURE_SCHEMA = "file string, error string, batch string"
 
 
@@ -114,8 +120,9 @@ def ingest_batch(rows: DataFrame, batch: str, units: DataFrame, store: Store, ki
     if kind is not PRICES:
         ingest.require_units(units)
     # Parsed once, then read back by every step below.
-    rows.write.mode("overwrite").parquet(store.staging(kind))
-    staged = spark.read.schema(rows.schema).parquet(store.staging(kind))
+    staging = store.staging(kind, batch)  # a batch's own: a retry may run beside a stream
+    rows.write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(rows.schema).parquet(staging)
     parsed, kept = kind.read(reports.report_records(staged, kind.section), units)
 
     broken = staged.where("error is not null").select("file", "error")
@@ -137,9 +144,33 @@ def ingest_batch(rows: DataFrame, batch: str, units: DataFrame, store: Store, ki
     entry = (
         good.join(per_file(parsed, "rows_total"), "file", "left").join(per_file(kept, "rows_solar"), "file", "left")
         .select(F.col("file").alias("file_name"), "interval_end", F.coalesce("rows_total", F.lit(0)).alias("rows_total"),
-                F.coalesce("rows_solar", F.lit(0)).alias("rows_solar"), F.current_timestamp().alias("ingested_at"), F.lit(batch).alias("batch")))
-    for out, path in ((entry, store.ledger), (failed.withColumn("batch", F.lit(batch)), store.failures)):
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+                F.coalesce("rows_solar", F.lit(0)).alias("rows_solar"), F.current_timestamp().alias("ingested_at"),
+                nem_date(F.col("interval_end")).alias("date"), F.lit(batch).alias("batch")))
+    for out, path, layout in ((entry, store.ledger, LEDGER_LEAF), (failed.withColumn("batch", F.lit(batch)), store.failures, ("batch",))):
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path))
+    spark.createDataFrame([], rows.schema).coalesce(1).write.mode("overwrite").parquet(staging)  # read no more
+
+
+def store_weather(rows: DataFrame, store: Store, order: str | None = None) -> None:
+    """Observations (facility_code, observed_at, ...) written over the store's weather: a poll or a backfill. Of
+    several rows of a key the last by ``order`` stays."""
+    if order is None:
+        rows, order = rows.withColumn("_seq", F.lit(0)), "_seq"
+    ingest.upsert_table(
+        rows.sparkSession, store.weather, rows.withColumn("date", nem_date(F.col("observed_at"))), ["facility_code", "observed_at", "date"], [order])
+
+
+def prune_store(spark: SparkSession, store: Store, days: int, now: datetime) -> DataFrame:
+    """Retention of all five tables: (table, deleted). A table that was never written loses nothing."""
+    tables = [
+        ("readings", store.readings, "interval_end", None, ("date",)), ("weather", store.weather, "observed_at", None, ("date",)),
+        ("prices", store.table(PRICES), "interval_end", None, ("date",)), ("dispatch", store.table(NEXT_DAY), "interval_end", None, ("date",)),
+        ("ledger", store.ledger, "interval_end", LEDGER_SCHEMA, LEDGER_LEAF)]
+    counts = []
+    for name, path, time, schema, leaf in tables:
+        there = not ingest.table_or_empty(spark, path, "date date").isEmpty()
+        counts.append((name, ingest.prune_table(spark, path, days, now, time, schema, leaf) if there else 0))
+    return spark.createDataFrame(counts, "table string, deleted long")
 
 
 def sync_files(
@@ -160,32 +191,34 @@ def sync_files(
 
 def start_zip_ingest(
     spark: SparkSession, source: str, units: DataFrame, store: Store,
-    max_files: int = fixed.MAX_SCADA_FILES, trigger: dict | None = None,
+    max_files: int | None = None, trigger: dict | None = None, kind: ReportKind = SCADA,
 ) -> StreamingQuery:
-    """Follow a folder of zipped reports, at most ``max_files`` per batch."""
+    """Follow a folder of zipped reports of a kind, at most ``max_files`` (the kind's own number) per batch."""
     files = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("pathGlobFilter", "*.[zZ][iI][pP]").option("maxFilesPerTrigger", max_files).load(source))
-    rows = reports.zipped_report_rows(files, (SCADA.section,))
-    return _start(rows, units, store, trigger)
+        .option("pathGlobFilter", "*.[zZ][iI][pP]").option("maxFilesPerTrigger", max_files or kind.max_files).load(source))
+    return _start(reports.zipped_report_rows(files, (kind.section,)), units, store, trigger, kind)
 
 
 def start_text_ingest(
     spark: SparkSession, source: str, units: DataFrame, store: Store,
-    max_files: int = fixed.MAX_SCADA_FILES, trigger: dict | None = None,
+    max_files: int | None = None, trigger: dict | None = None, kind: ReportKind = SCADA,
 ) -> StreamingQuery:
-    """Follow a folder of plain reports laid out as ``report=<file name>/``."""
-    lines = spark.readStream.schema("value string, report string").option("maxFilesPerTrigger", max_files).text(source)
-    return _start(reports.text_report_lines(lines, F.col("report")), units, store, trigger, reports.numbered_rows)
+    """Follow a folder of plain reports of a kind laid out as ``report=<file name>/``."""
+    lines = spark.readStream.schema("value string, report string").option("maxFilesPerTrigger", max_files or kind.max_files).text(source)
+    return _start(reports.text_report_lines(lines, F.col("report")), units, store, trigger, kind, reports.numbered_rows)
+
 
+def _start(stream: DataFrame, units: DataFrame, store: Store, trigger: dict | None, kind: ReportKind, to_rows=lambda df: df) -> StreamingQuery:
+    # Readings keep the plain numbers and folder that a running stream has; other kinds get their own.
+    label, checkpoint = ("", store.checkpoint) if kind is SCADA else (f"{kind.name}-", f"{store.checkpoint}-{kind.name}")
 
-def _start(stream: DataFrame, units: DataFrame, store: Store, trigger: dict | None, to_rows=lambda df: df) -> StreamingQuery:
     def each(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(to_rows(batch), f"{batch_id:012d}", units, store)
+        ingest_batch(to_rows(batch), f"{label}{batch_id:012d}", units, store, kind)
 
     return (
-        stream.writeStream.foreachBatch(each).option("checkpointLocation", store.checkpoint)
+        stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "15 minutes"})).start())
 
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliofleet import fixed, schemas
+from heliofleet import schemas
+from heliofleet.functions.columns import nem_date
 from heliofleet.operators import ingest, quality
 from heliofleet.sources import payloads, reports
 from heliofleet.streaming import ingest as stream
@@ -163,6 +165,40 @@ def test_stream_ingest_of_archives(spark, tmp_path):
     assert rows(spark.read.parquet(store.readings), "duid", "mw") == [("HAZLSF1", 41.0)]
 
 
+def test_retention_of_every_table(spark, tmp_path):
+    store = stream.Store(str(tmp_path / "store"))
+    now = AT + dt.timedelta(days=10)
+    cut = now - dt.timedelta(days=3)
+    times = [cut - dt.timedelta(days=4), cut - dt.timedelta(microseconds=1), cut, cut + dt.timedelta(days=1), cut - dt.timedelta(hours=1)]
+    def dated(df, column):
+        return df.withColumn("date", nem_date(F.col(column)))
+    dated(spark.createDataFrame([("U", t, 1.0) for t in times], schemas.READINGS), "interval_end").write.partitionBy("date").parquet(store.readings)
+    stream.store_weather(spark.createDataFrame([("F", t, 1.0, None, None) for t in times], schemas.WEATHER), store)
+    dated(spark.createDataFrame([("VIC1", t, 1.0) for t in times[:2]], schemas.PRICES), "interval_end").write.partitionBy("date").parquet(store.table(stream.PRICES))
+    entries = spark.createDataFrame([(f"f{i}", t, 1, 1, t) for i, t in enumerate(times)], schemas.LEDGER)
+    dated(entries, "interval_end").withColumn("batch", F.substring("file_name", 2, 1)).write.partitionBy("date", "batch").parquet(store.ledger)
+    for again in (True, False):
+        assert rows(stream.prune_store(spark, store, 3, now)) == sorted([
+            ("readings", 3 * again), ("weather", 3 * again), ("prices", 2 * again), ("dispatch", 0), ("ledger", 3 * again)])
+        assert rows(spark.read.parquet(store.readings), "interval_end") == [(cut,), (cut + dt.timedelta(days=1),)]
+        assert rows(spark.read.parquet(store.weather), "observed_at") == [(cut,), (cut + dt.timedelta(days=1),)]
+        assert rows(stream.ledger(spark, store), "file_name", "batch") == [("f2", "2"), ("f3", "3")]
+        assert spark.read.parquet(store.table(stream.PRICES)).count() == 0
+    stream.store_weather(spark.createDataFrame([("F", cut, 5.0, None, None)], schemas.WEATHER), store)
+    assert rows(spark.read.parquet(store.weather), "ghi_wm2") == [(1.0,), (5.0,)]
+
+
+def test_price_reports_are_followed_as_a_stream(spark, tmp_path):
+    source, store = tmp_path / "in", stream.Store(str(tmp_path / "store"))
+    source.mkdir()
+    for i in range(2):
+        (source / f"PUBLIC_DISPATCHIS_20260312120{i}_000000000000000{i}.zip").write_bytes(archive(price_lines(-40.5 + i)))
+    query = stream.start_zip_ingest(spark, str(source), units(spark), store, max_files=1, trigger={"availableNow": True}, kind=stream.PRICES)
+    query.awaitTermination()
+    assert rows(spark.read.parquet(store.table(stream.PRICES)), "region", "rrp") == [("VIC1", -39.5)]
+    assert [b for _, b in rows(stream.ledger(spark, store), "file_name", "batch")] == ["prices-000000000000", "prices-000000000001"]
+
+
 def test_price_and_dispatch_sync(spark, tmp_path):
     source, store = tmp_path / "in", stream.Store(str(tmp_path / "store"))
     source.mkdir()
