@@ -83,6 +83,6 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that contain no test item; each row is judged by its own text, with or without an id."""
-    rows, key = keyed(docs, "decontamination-rows")
+    rows, key = keyed(docs, "decontamination-rows", "zstd")
     leaked = contained_items(rows, items, doc_id=key, **options).select(F.col("doc_id").alias(key)).distinct()
     return rows.join(leaked, key, "left_anti").select(docs.columns)

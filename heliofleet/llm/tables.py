@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from heliofleet.session import staged
+from heliofleet.session import shared_dir, staged
 
 GROUP_BYTES = 6 << 20  # text of one group of documents
 
@@ -17,12 +17,16 @@ def crc_mod(doc_id, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
 
 
-def keyed(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
-    """The rows with a written number that tells them apart, and that column's name."""
+def keyed(docs: DataFrame, purpose: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """The rows with a written number that tells them apart, and that column's name. Whole texts are worth a
+    denser ``codec``: the copy stays on disk as long as the run."""
     name = "row_key"
     while name in docs.columns:
         name += "_"
-    return staged(docs.withColumn(name, F.monotonically_increasing_id()), purpose), name
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    path = shared_dir(docs.sparkSession, purpose)
+    rows.write.option("compression", codec).parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path), name
 
 
 def total_bytes(docs: DataFrame, text: str) -> int:
