@@ -39,7 +39,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    rows, key = keyed(docs.select(*COLUMNS), "near-rows")
+    rows, key = keyed(docs.select(*COLUMNS), "near-rows", "zstd")
     found = near_duplicates(rows, shingle=5, percent=80, key=key)
     return rows.join(found.where("not kept").select(key), key, "left_anti").select(*COLUMNS)
 
