@@ -12,22 +12,31 @@ _LINE_END = "\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def pack_paragraphs(text: Column, max_chars: int = fixed.MAX_CHUNK_CHARS, sep: str = "\n\n") -> Column:
-    """Greedy parts of at most ``max_chars``, cut between paragraphs; a longer paragraph stays whole."""
-    glue = F.lit(sep)
+    """Greedy parts of at most ``max_chars``, cut between paragraphs; a longer paragraph stays whole.
 
-    def step(state: Column, para: Column) -> Column:
-        held = state["current"]
-        full = (held != "") & (F.length(held) + F.length(para) + len(sep) > max_chars)
-        joined = F.when(held != "", F.concat(held, glue, para)).otherwise(para)
+    Only paragraph lengths are folded, to the first and last paragraph of each part; every text is
+    put together once, at the end."""
+    # String.split with a quoted literal; -1 keeps trailing empty paragraphs.
+    paras = F.split(text, "\\Q" + sep + "\\E", -1)
+
+    def step(state: Column, length: Column) -> Column:
+        held, at = state["size"], state["at"]
+        full = (held > 0) & (held + length + len(sep) > max_chars)
+        fresh = full | (held == 0)  # nothing held: empty paragraphs before a part are dropped
         return F.struct(
-            F.when(full, F.concat(state["parts"], F.array(held))).otherwise(state["parts"]).alias("parts"),
-            F.when(full, para).otherwise(joined).alias("current"))
+            F.when(full, F.concat(state["cuts"], F.array(F.struct(state["first"].alias("first"), (at - 1).alias("last"))))).otherwise(state["cuts"]).alias("cuts"),
+            F.when(fresh, at).otherwise(state["first"]).alias("first"),
+            F.when(fresh, length).otherwise(held + length + len(sep)).alias("size"), (at + 1).alias("at"))
 
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("current"))
-    # String.split with a quoted literal; -1 keeps trailing empty paragraphs.
-    packed = F.aggregate(
-        F.split(text, "\\Q" + sep + "\\E", -1), start, step,
-        lambda s: F.when(s["current"] != "", F.concat(s["parts"], F.array(s["current"]))).otherwise(s["parts"]))
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("cuts"), F.lit(1).alias("first"), F.lit(0).alias("size"), F.lit(1).alias("at"))
+
+    def parts(own: Column) -> Column:
+        cuts = F.aggregate(
+            F.transform(own, F.length), start, step,
+            lambda s: F.when(s["size"] > 0, F.concat(s["cuts"], F.array(F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last"))))).otherwise(s["cuts"]))
+        return F.transform(cuts, lambda c: F.array_join(F.slice(own, c["first"], c["last"] - c["first"] + 1), sep))
+
+    packed = F.transform(F.array(paras), parts)[0]  # the text is split once
     return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(packed)
 
 

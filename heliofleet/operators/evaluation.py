@@ -46,19 +46,33 @@ def misses(ranks: DataFrame, ranked: DataFrame, k: int = 3) -> DataFrame:
         "case_id", F.coalesce("got", F.array().cast("array<string>")).alias("got"))
 
 
-def rank_percentiles(df: DataFrame, value: str, groups: Sequence[str], bin_width: float = 1.0) -> DataFrame:
+STEPS = 8  # halvings of the search among 2 ** STEPS - 1 splitters
+
+
+def rank_percentiles(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """Median and the floor-index 95th percentile per group, exactly: (groups, n, p50, p95).
 
-    Values are counted per distinct value, then per bin of ``bin_width``; running counts over the
-    bins find the bin that holds each wanted rank, and only that bin's values are ordered. No task
-    sorts a whole group.
+    Values are counted per distinct value. A quantile sketch per group, of fixed size and merged map-side, gives
+    255 splitters, so a bin holds about a 256th of a group wherever its values lie; running counts over the bins
+    find the bins of the wanted ranks, and only their values are ordered. No task sorts a whole group, and
+    neither the range of the values nor a crowd in one place matters.
     """
     groups = list(groups)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    counted = counted.withColumn("bin", F.floor(F.col("v") / bin_width))
-    bins = counted.groupBy(*groups, "bin").agg(F.sum("c").alias("bc"))
-    run = Window.partitionBy(*groups).orderBy("bin")
-    sized = bins.withColumn("upto", F.sum("bc").over(run)).withColumn("n", F.sum("bc").over(Window.partitionBy(*groups)))
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("v"))
+    parts = 1 << STEPS
+    cuts = rows.groupBy(*groups).agg(
+        F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("c"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    binned = counted.alias("a").join(cuts.alias("b"), same).select("a.*", "cuts", "n").withColumn("bin", F.lit(0))
+    for step in range(STEPS - 1, -1, -1):  # bin: how many splitters lie below the value
+        ahead = F.col("bin") + (1 << step)
+        binned = binned.withColumn("bin", F.when(F.element_at("cuts", ahead) < F.col("v"), ahead).otherwise(F.col("bin")))
+    binned = binned.drop("cuts")
+    bins = binned.groupBy(*groups, "bin").agg(F.sum("c").alias("bc"), F.max("n").alias("n"))
+    sized = bins.withColumn("upto", F.sum("bc").over(Window.partitionBy(*groups).orderBy("bin")))  # 256 bins at most
     n = F.col("n")
     targets = F.array(
         F.struct(F.lit("lo").alias("kind"), F.floor((n - 1) / 2).alias("at")),
@@ -68,10 +82,13 @@ def rank_percentiles(df: DataFrame, value: str, groups: Sequence[str], bin_width
         sized.withColumn("start", F.col("upto") - F.col("bc"))
         .withColumn("hits", F.filter(targets, lambda t: (t["at"] >= F.col("start")) & (t["at"] < F.col("upto"))))
         .where(F.size("hits") > 0)
-        .select(*groups, "bin", "start", "n", "hits"))
+        .select(*groups, "bin", "start", "hits"))
+    same = F.col("a.bin") == F.col("b.bin")
+    for g in groups:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
     inside = Window.partitionBy(*groups, "bin").orderBy("v")
     found = (
-        counted.join(wanted, [*groups, "bin"])
+        binned.alias("a").join(wanted.alias("b"), same).select("a.*", "start", "hits")
         .withColumn("last", F.col("start") + F.sum("c").over(inside))
         .select(*groups, "n", "v", "last", (F.col("last") - F.col("c")).alias("first"), F.explode("hits").alias("t"))
         .where((F.col("t.at") >= F.col("first")) & (F.col("t.at") < F.col("last"))))

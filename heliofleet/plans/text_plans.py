@@ -140,7 +140,7 @@ def masked_lines(spark, sf):
 
 
 def latency_percentiles(spark, sf):
-    return evaluation.rank_percentiles(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], 100.0)
+    return evaluation.rank_percentiles(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"])
 
 
 # ---------- SQL twins ----------

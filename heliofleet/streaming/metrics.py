@@ -21,12 +21,12 @@ def _period(minutes: int):
     return F.window("ts", f"{minutes} minutes")["start"]
 
 
-def rollups(metrics: DataFrame, minutes: int, percentile_bin: float = 1.0) -> DataFrame:
+def rollups(metrics: DataFrame, minutes: int) -> DataFrame:
     """Per series and period of (series, ts, value): count, sum, max and exact p50 / p95."""
     timed = metrics.withColumn("period", _period(minutes))
     sums = timed.groupBy("series", "period").agg(
         F.count("value").alias("n"), F.sum("value").alias("total"), F.max("value").alias("highest"))
-    ranks = rank_percentiles(timed, "value", ["series", "period"], percentile_bin).drop("n")
+    ranks = rank_percentiles(timed, "value", ["series", "period"]).drop("n")
     return sums.join(ranks, ["series", "period"], "left")
 
 

@@ -246,12 +246,25 @@ def test_evaluation(spark):
 def test_rank_percentiles(spark, n):
     rng = random.Random(n)
     values = [rng.choice([1.0, 1.0, 2.5, rng.uniform(0, 9)]) for _ in range(n)]
-    got = evaluation.rank_percentiles(spark.createDataFrame([("g", v) for v in values], "g string, v double").withColumnRenamed("v", "ms"), "ms", ["g"], 0.5).first()
+    got = evaluation.rank_percentiles(spark.createDataFrame([("g", v) for v in values], "g string, v double").withColumnRenamed("v", "ms"), "ms", ["g"]).first()
     ordered = sorted(values)
     middle = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
     assert (got["n"], got["p50"], got["p95"]) == (n, pytest.approx(middle), ordered[int(0.95 * (n - 1))])
 
 
+def test_percentiles_of_crowded_and_scattered_values(spark):
+    rng = random.Random(9)
+    crowd = [("crowd", rng.random() * 1e-9) for _ in range(4000)]  # all within one unit, and then one far out
+    wide = [("wide", rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300)) for _ in range(1500)]
+    same = [(None, 7.0)] * 900 + [(None, 8.0)] * 99
+    data = crowd + [("crowd", 1e18)] + wide + same
+    got = {r["g"]: r for r in evaluation.rank_percentiles(spark.createDataFrame(data, "g string, ms double"), "ms", ["g"]).collect()}
+    for g in ("crowd", "wide", None):
+        values = sorted(v for k, v in data if k == g)
+        n = len(values)
+        assert (got[g]["n"], got[g]["p50"], got[g]["p95"]) == (n, (values[(n - 1) // 2] + values[n // 2]) / 2, values[int(0.95 * (n - 1))])
+
+
 def test_extractive_answer(spark):
     docs = corpus(spark)
     index = build_index(docs)
