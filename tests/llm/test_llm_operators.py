@@ -252,6 +252,45 @@ def test_html(spark):
     assert got[10] == [("Head ©\nOne two\nthree four é x\ntail", 34)] * 2 and got[11] == [("", 0)] and got[12] == [(shared, len(shared))]
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>a <svg class=i/> b</p><p>c</p>", "a b|c"),
+    ("<p>a<svg><text>no</text></svg> b</p><script src='x.js'/><p>c</p>", "a b|c"),
+    ("<p>a<svg> b</p><p>c</p>", "a b|c"),
+    ("<template/><p>a</p><iframe src=x/><p>b</p><script>if (1) {}", "a|b"),
+    ('<div class="layout-with-sidebar"><main><p>a</p></main><div class="sidebar">no</div></div>', "a"),
+    ("<form id=aspnet><nav>no</nav><main><p>a</p></main></form>", "a"),
+    ("<form><article><p>a</p><div class=comments><article>no</article></div></article></form>", "a"),
+    ('<div class="comments"><article>no</article></div><main><nav>no</nav>a</main>', "a"),
+    ('<article><div class="article-header"><h1>Title</h1></div><div class="header">b</div><p>a</p></article>', "Title|b|a"),
+    ('<section id="how-search-works"><h2 id="related-work">Related</h2><p>a</p></section><div id="search">no</div>', "Related|a"),
+    ('<p data-class="ad">a</p><p class="ad-slot big">no</p>', "a"),
+])
+def test_pages_that_marks_might_empty(page, text):
+    assert "|".join(t for role, t in blocks_of(page) if role != 1) == text
+
+
+def test_menus_go_by_repeats_alone(spark, monkeypatch):
+    """Without any marks, by class or by tag, what many pages of a host share still goes, and their own text stays."""
+    from heliofleet.llm import htmltext
+    monkeypatch.setattr(htmltext, "_MARKS", frozenset())
+    monkeypatch.setattr(htmltext, "_MARKED_TAGS", frozenset())
+    rng = random.Random(2)
+    own = {i: [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(2, 30))) for _ in range(4)] for i in range(30)}
+    rows = [(i, f"http://h.example/{i}", "<nav><a>Home</a> <a>News and views of today</a> <a>About</a></nav>"
+             + "".join(f"<p>{t}</p>" for t in own[i]) + "<footer>All rights reserved by the people of this house</footer>") for i in own]
+    taken = [(page_id, htmltext.blocks_of(html)) for page_id, _, html in rows]
+    assert all(role == 2 for _, found in taken for role, _ in found)
+    streams = [np.concatenate([htmltext._numbers(t.split(" ")) for _, t in found]) for _, found in taken]
+    host = htmltext._host_key("h.example")
+    runs = collections.Counter(k for s in streams for k in np.unique(htmltext.grams(s, htmltext.RUN) ^ host).tolist())
+    repeated = np.array([k for k, n in runs.items() if n >= htmltext.MANY], np.uint64)
+    line = htmltext._numbers("All rights reserved by the people of this house".split(" "))
+    menu = htmltext._numbers("Home News and views of today About".split(" "))
+    gone = np.array([htmltext._key(line, host), htmltext._key(menu, host)])
+    for page_id, found in taken:
+        assert htmltext.main_text(found, repeated, gone, "h.example")[0] == "\n".join(own[page_id])
+
+
 def test_repeated_length_by_brute_force():
     """Longest beginning that enough pages have; a page with several suffixes counts once."""
     from heliofleet.llm.htmltext import repeated_length, suffix_array
@@ -335,13 +374,43 @@ def test_classifiers(spark):
     assert len(none) == 503
 
 
+def test_quality_is_the_size_difference_alone(spark, monkeypatch):
+    """Every score is the logistic of one number: compressed sizes under the two dictionaries, per byte."""
+    from heliofleet.llm import quality
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("sun", "moon", "star") if i % 2 else ("x9", "q7", "zz0")) + str(rng.randrange(50)) for _ in range(rng.choice([3, 50, 900]))))
+            for i in range(80)] + [(80, None), (81, ""), (None, "sun1 x9")]
+    docs = spark.createDataFrame([(i, t, 0.5, 1) for i, t in rows], "doc_id long, text string, score double, y int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    books, weights = quality.fit(docs, labels, "quality", lambda c: F.col(c) % 5 != 0)
+    monkeypatch.setattr(quality, "fit", lambda *a: (books, weights))
+    pair = quality.compressors(*books)
+    got = {r.doc_id: r.score for r in score_quality(docs, labels, None).collect()}
+    assert len(weights) == 2 and len(got) == len(rows)
+    for i, t in rows:
+        data = (t or "").encode()
+        sizes = [sum(len(c.compress(data[k:k + quality.PIECE])) for k in range(0, len(data), quality.PIECE)) for c in pair]
+        z = quality.SCALE * (sizes[1] - sizes[0]) / (len(data) + quality.EMPTY) * weights[0] + weights[1]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+
+
+def test_posterior_knows_no_label():
+    """The label model takes votes and one prior; equal votes get equal posteriors whatever the labels are."""
+    rng = np.random.default_rng(6)
+    y = rng.random(2000) < 0.4
+    votes = np.stack([np.where(rng.random(2000) < r, y, ~y).astype(int) for r in (0.9, 0.8, 0.7, 0.85)], axis=1)
+    post, _, _ = label_model(votes, 0.4)
+    for pattern in np.unique(votes, axis=0):
+        assert np.ptp(post[(votes == pattern).all(axis=1)]) < 1e-12
+
+
 def test_label_model_discounts_repeated_voters():
     rng = np.random.default_rng(5)
     y = rng.random(3000) < 0.3
     vote = lambda right: np.where(rng.random(3000) < right, y, ~y).astype(int)
     noisy = vote(0.6)
     votes = np.stack([vote(0.9), vote(0.85), vote(0.85), noisy, noisy, noisy], axis=1)
-    post, _, discount = label_model(votes, np.full(3000, 0.3))
+    post, _, discount = label_model(votes, 0.3)
     assert ((post > 0.5) == y).mean() > 0.9 and discount[3:].max() < discount[:3].min()
 
 
