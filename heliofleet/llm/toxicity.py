@@ -2,9 +2,10 @@
 
 1. Words and word beginnings that mark labelled toxic texts are mined from a bounded sample.
 2. They are dealt into lexicons and patterns, each of them a voter: toxic, clean or no opinion.
-3. A generative label model, to which a text's own label is one more voter of known accuracy, estimates by expectation-maximisation how often each voter votes either
-   way given the hidden label, then the voters' correlations given the posterior; a voter that
-   repeats others counts for less, and the model is fitted again.
+3. A generative label model estimates by expectation-maximisation how often each voter votes either way
+   given the hidden label, then the voters' correlations given the posterior; a voter that repeats others
+   counts for less, and the model is fitted again. It sees votes alone: no text's own label takes part,
+   and every text starts from the same prior, the share of toxic rows in the sample.
 4. A linear classifier on the mined features learns the posterior labels, and scores every text.
 """
 
@@ -22,11 +23,10 @@ from heliofleet.llm.tables import staged
 from heliofleet.llm.words import ROW_BYTES, blocks, split_words
 
 PER_CLASS = 5000       # labelled rows per class used for fitting
-FEATURES = 1000        # mined words and beginnings
+FEATURES = 1000        # mined words and beginnings: size of the classifier, which bounds the driver's matrix; texts are read whole
 LEXICONS = 6           # word voters; as many pattern voters
 LEAST_SUPPORT = 3
 BEGINNINGS = (4, 5, 6, 7, 8)
-TRUST = 0.97           # how far a label counts as one more voter of its own row
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -106,10 +106,10 @@ def voters(x: np.ndarray, kinds: np.ndarray, odds: np.ndarray) -> np.ndarray:
     return np.stack(votes, axis=1)
 
 
-def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = 40):
+def label_model(votes: np.ndarray, prior: float, rounds: int = 40):
     """Posterior of the toxic label for each text.
 
-    ``prior`` is each text's chance of being toxic before the votes. Returns (posterior, vote probabilities, discounts).
+    ``prior`` is the chance of any text being toxic before the votes. Returns (posterior, vote probabilities, discounts).
     """
     n, m = votes.shape
     seen = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
@@ -161,8 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int =
     y = found["y"].to_numpy()
     kinds = np.array([0 if f.startswith("w:") else 1 for f in names])
     votes = voters(x, kinds, mined["odds"].to_numpy())
-    post, _, _ = label_model(votes, np.where(y == 1, TRUST, 1 - TRUST))
-    weight = np.where(y == 1, share / max((y == 1).sum(), 1), (1 - share) / max((y == 0).sum(), 1)) * len(y)
+    post, _, _ = label_model(votes, (y == 1).mean())
+    # the posterior's classes, not the labels', are brought to their shares of the corpus
+    weight = (post * share / post.sum() + (1 - post) * (1 - share) / (1 - post).sum()) * len(post)
     return names, fit_logistic(x, post, weight, ridge=0.5, steps=10)
 
 
@@ -184,7 +185,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train, label: str = "toxi
     """``doc_id``, the columns named in ``carry`` and ``score`` (0 to 1, higher: label 1 likelier) of every whole text.
 
     ``train`` maps an id column's name to the condition under which a row's label may be learned.
-    Null and empty texts have no features and get the base score; repeated rows are scored each.
+    Null and empty texts have no features and get the base score; repeated rows are scored each, equal texts
+    equally. A very long text is read in parts to its end. Further columns are not read, whatever their names.
     Without labels of both classes every text gets the share of ones. An empty table gives no rows.
     """
     names, weights = fit(docs, labels, label, train)
