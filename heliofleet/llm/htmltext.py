@@ -33,16 +33,20 @@ from heliofleet.llm.words import grams, mix
 
 RUN, MANY, SHARE = 6, 3, 0.05
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|[^<]+|<", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|<(svg)\b[^>]*(?<!/)>.*?</svg\s*>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?|[^<]+|<", re.S | re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|(id)|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 # the words of class names that mark a part as no article
 _MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie "
     "cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo promoted "
     "related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+_TITLES = frozenset(("header", "masthead", "banner"))     # inside an article these hold its title
+_OF_ARTICLES = frozenset("article content entry main page post section story title".split())
+_CONTRARY = frozenset("has no not with without".split())  # a class that names a part and says that it has or lacks it
 _MARKED_TAGS = frozenset("nav footer aside form menu button select dialog header".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
+_HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
@@ -50,33 +54,63 @@ _INLINE = frozenset(
 # open tags that another one closes when it starts
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"),
            "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",)}
+_SWALLOWED = frozenset("script style noscript template iframe svg textarea title".split())
 ARTICLE, MARKED, OPEN = 0, 1, 2
 
 
+def _marks(value: str, tag: str, is_id: bool, inside: bool) -> bool:
+    """Whether a class, id or role names a part that is no article.
+
+    An id counts by its first or last word only (``how-search-works`` names no search box). Ids of headings,
+    and ids of sections with three words or more, are slugs of titles. A header of an article is its title.
+    """
+    for name in value.strip("\"'").lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not words or _CONTRARY & set(words) or (is_id and (tag in _HEADINGS or (tag == "section" and len(words) > 2))):
+            continue
+        found = ({words[0], words[-1]} if is_id else set(words)) & _MARKS
+        if found and not (found <= _TITLES and (inside or _OF_ARTICLES & set(words))):
+            return True
+    return False
+
+
+def _role(stack: list) -> int:
+    """What the open elements say of a text in them, the innermost first.
+
+    A main element is the page's article whatever is around it; an article element is one unless it stands in
+    a part that is none (a comment, a teaser), where a form around it does not count.
+    """
+    found = OPEN
+    for tag, brings in reversed(stack):
+        if brings == MARKED and not (found == ARTICLE and tag == "form"):
+            return MARKED
+        if brings == ARTICLE:
+            if tag == "main":
+                return ARTICLE
+            found = ARTICLE
+    return found
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """(role, text) of each block in page order: references decoded, white space one space, trimmed."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int | None]] = []  # open elements and the role each brings
     parts: list[str] = []
 
-    def role() -> int:
-        roles = [r for _, r in stack if r is not None]
-        if MARKED in roles:
-            return MARKED
-        return ARTICLE if ARTICLE in roles else OPEN
-
     def flush():
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append((role(), text))
+            out.append((_role(stack), text))
 
     for match in _TOKEN.finditer(page):
-        raw = match.group(1)
-        tag = (match.group(3) or "").lower()
-        if raw is not None or not tag:
+        raw = match.group(1) or match.group(2)
+        tag = (match.group(4) or "").lower()
+        if raw or tag in _SWALLOWED:  # the latter closes itself, or is never closed
+            continue
+        if not tag:
             token = match.group(0)
-            if raw is None and not token.startswith(("<!", "<?")):
+            if not token.startswith(("<!", "<?")):
                 parts.append(token)
             continue
         if tag == "br":
@@ -84,7 +118,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             continue
         if tag not in _INLINE:
             flush()
-        if match.group(2):
+        if match.group(3):
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at][0] == tag:
                     if any(r is not None for _, r in stack[at:]):
@@ -97,10 +131,10 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                     stack.pop()
             if tag in _VOID or match.group(0).endswith("/>"):
                 continue
-            words = {w for value in _ATTRIBUTE.findall(match.group(4) or "") for w in re.split(r"[^a-z]+", value.lower())}
             brings = ARTICLE if tag in _ARTICLE_TAGS else None
             inside = any(r == ARTICLE for _, r in stack)
-            if brings is None and ((tag in _MARKED_TAGS and not (tag == "header" and inside)) or (words & _MARKS and tag not in ("html", "body"))):
+            if brings is None and ((tag in _MARKED_TAGS and not (tag == "header" and inside)) or tag not in ("html", "body") and any(
+                    _marks(value, tag, bool(is_id), inside) for is_id, value in _ATTRIBUTE.findall(match.group(5) or ""))):
                 brings = MARKED
             if brings is not None and parts:
                 flush()
@@ -324,6 +358,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     repeats of the host cover. Null or empty pages give an empty text; pages without a host share one;
     rows that repeat a page id or a text are one page when pages are counted, and each keep their row.
     Rows without an id are pages of their own. Markup cut off at the end of a page is read as far as it goes.
+    A very long page is read to its end. Further columns are not read, whatever their names. An empty table
+    gives no rows.
     """
     content = F.xxhash64(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(html).cast("string"))
     rows = pages.select(
