@@ -10,8 +10,10 @@ key it is already partitioned by, and Catalyst drops the join when its columns a
 
 ``nearest_in_time`` serves probes at any whole step of ``resolution_seconds``. Observations
 are thinned to the first and last of each step (no other can be nearest to a probe that sits
-on a step), placed in time buckets of the tolerance width, and merged with the probes by one
-window per (key, bucket). The number of steps in a bucket bounds that window for any skew.
+on a step), placed in time buckets of the tolerance width, and merged with the distinct times that
+probes ask for by one window per (key, bucket). The number of steps in a bucket bounds that window
+for any skew of either side; the probes' own columns travel only in the left join that follows, whose
+right side is unique on its keys, so a crowded key can be split there.
 """
 
 from __future__ import annotations
@@ -117,8 +119,9 @@ def nearest_in_time(
         t % step != 0,
         F.raise_error(F.lit(f"probe time is finer than {resolution_seconds} s: pass a finer resolution")),
     ).otherwise(t)
+    # Many probes of one key and time ask once; the rows get their answer by an equi join afterwards.
     sided = (
-        probes.withColumn("_t", checked)
+        probes.select(*on, checked.alias("_t")).distinct()
         .withColumn("_bucket", home)
         .withColumn("_is_probe", F.lit(True))
     )
@@ -138,7 +141,8 @@ def nearest_in_time(
         take_next = F.col("_next").isNotNull() & (F.col("_prev").isNull() | (gap_next < gap_prev))
         best = F.when(take_next, F.col("_next")).otherwise(F.col("_prev"))
         match = F.when(F.least(gap_prev, gap_next) <= reach, best)
-    return found.withColumn("_match", match).select(
+    answers = found.select(*on, "_t", match.alias("_match"))
+    return probes.withColumn("_t", checked).join(answers, [*on, "_t"], "left").select(
         *[F.col(c) for c in probes.columns],
         *[F.col(f"_match.{v}").alias(v) for v in values],
         F.timestamp_micros(F.col("_match._at")).alias(observed),

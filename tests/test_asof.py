@@ -65,6 +65,20 @@ def test_both_forms_match_brute_force_under_skew(spark, direction, tolerance):
     assert sorted(((r["k"], r["at"], r["v"]) for r in free.collect()), key=repr) == want
 
 
+def test_a_crowd_of_probes_asks_once(spark):
+    """Copies of a probe, null keys and null times keep their rows; the window meets each (key, time) once."""
+    probes = [("hot", m(60), i) for i in range(500)] + [("hot", m(61), -1), (None, m(60), -2), ("hot", None, -3), ("cold", m(60), -4)]
+    p = spark.createDataFrame(probes, "k string, at timestamp, seen_by int")
+    o = spark.createDataFrame([("hot", m(50), 1.0), ("hot", m(62), 2.0), (None, m(60), 9.0)], "k string, seen timestamp, v double")
+    got = {r.seen_by: (r.k, r.at, r.v, r.seen) for r in nearest_in_time(p, o, ["k"], "at", "seen", ["v"], 30).collect()}
+    assert len(got) == len(probes)
+    assert all(got[i] == ("hot", m(60), 2.0, m(62)) for i in range(500)) and got[-1] == ("hot", m(61), 2.0, m(62))
+    assert got[-2] == (None, m(60), None, None) and got[-3] == ("hot", None, None, None) and got[-4] == ("cold", m(60), None, None)
+    back = nearest_in_time(p, o, ["k"], "at", "seen", ["v"], 30, direction="backward")
+    assert back.where("v = 1").count() == 501
+    assert back.columns == ["k", "at", "seen_by", "v", "seen"]
+
+
 def test_probe_finer_than_resolution_is_refused(spark):
     p, o = frames(spark, [("a", T0 + dt.timedelta(microseconds=1))], [("a", T0, 1.0)])
     with pytest.raises(Exception, match="finer than"):
