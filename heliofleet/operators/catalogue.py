@@ -141,28 +141,37 @@ def find_facility(units: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _starts(last: Column) -> Column:
+    """Places 1 to ``last``, and 1 in any case."""
+    return F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+
+
 def find_facility_batch(units: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """``find_facility`` for a table of texts, one row per distinct text that matches.
 
-    Texts meet only names sharing a short literal piece with them (an equi join on pieces of up
-    to three characters), and the LIKE test then decides; texts that are all wildcards use the
-    empty piece.
+    A text meets only names that hold its rarest piece: of all three-letter pieces of its longest
+    literal run (the run itself if shorter, the empty piece if it is all wildcards) the one that fewest
+    names hold. The LIKE test then decides.
     """
     wanted = texts.select(F.trim(text).alias("searched_for")).where("searched_for is not null").distinct()
     literal = F.array_max(F.transform(
         F.split(F.lower(_pattern(F.col("searched_for"))), r"\\[%_\\]|[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
     ))["p"]
-    asked = wanted.withColumn("piece", F.substring(literal, 1, 3)).withColumn("like", _pattern(F.col("searched_for")))
     name = F.lower("facility_name")
-    starts = F.sequence(F.lit(1), F.greatest(F.length("facility_name"), F.lit(1)))
-    pieces = F.array_union(
-        F.array(F.lit("")),
-        F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(
-            *[F.substr(name, i, F.lit(n)) for n in (1, 2, 3)])))),
+    names = units.select("facility_name").distinct()
+    held = names.withColumn("piece", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct(F.flatten(F.transform(
+        _starts(F.length(name)), lambda i: F.array(*[F.substr(name, i, F.lit(n)) for n in (1, 2, 3)])))))))
+    frequency = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    asked = (
+        wanted.withColumn("literal", literal)
+        .withColumn("piece", F.explode(F.array_distinct(F.transform(
+            _starts(F.length("literal") - 2), lambda i: F.substr("literal", i, F.lit(3))))))
+        .join(frequency, "piece", "left")  # a piece that no name holds is the rarest of all
+        .groupBy("searched_for").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+        .withColumn("like", _pattern(F.col("searched_for")))
     )
     by_name = (
-        units.select("facility_name").distinct().withColumn("piece", F.explode(pieces))
-        .join(asked, "piece")
+        held.join(asked, "piece")
         .where(F.expr("facility_name ilike concat('%', like, '%')"))
         .select("searched_for", "facility_name").distinct()
         .join(units, "facility_name")
@@ -263,12 +272,14 @@ def underperformers_report(
 def facility_summary(
     fleet: Fleet, n_hours: int = 24, facility_code: str | None = None, as_of: datetime | None = None
 ) -> DataFrame:
-    """Energy, peak, index and curtailment per facility over the window."""
+    """Energy, peak, index and curtailment per facility over the window; a named facility has its row
+    even where it has no readings, with counts of zero."""
     rows = trailing(fleet, n_hours, as_of)
+    grouped = rows.groupBy("facility_code")
     if facility_code is not None:
-        rows = rows.where(F.col("facility_code") == facility_code)
+        grouped = rows.where(F.col("facility_code") == facility_code).groupBy()
     step = fleet.interval_minutes
-    return rows.groupBy("facility_code").agg(
+    summary = grouped.agg(
         F.count(F.lit(1)).alias("intervals"),
         rounded(energy_mwh(F.sum("actual_mw"), step), 1).alias("energy_mwh"),
         rounded(F.max("actual_mw"), 1).alias("peak_mw"),
@@ -279,6 +290,9 @@ def facility_summary(
         F.count_if(F.col("status") == "likely_curtailed").alias("likely_curtailed_intervals"),
         F.max("interval_end").alias("latest_interval"),
     )
+    if facility_code is None:
+        return summary
+    return summary.select(F.lit(facility_code).alias("facility_code"), *summary.columns)
 
 
 def facility_hourly(

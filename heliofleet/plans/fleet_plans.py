@@ -84,6 +84,16 @@ def backward_weather(spark, sf):
     return probes.join(sun, ["facility_code", "interval_end"], "left")
 
 
+NAMED = ("F3", "F7", "NOWHERE")
+
+
+def named_summaries(spark, sf):
+    """Summaries of farms asked for by code, one of which has no readings."""
+    f = fleet(spark, sf)
+    one, two, none = (as_naive(catalogue.facility_summary(f, 168, code)) for code in NAMED)
+    return one.union(two).union(none)
+
+
 def any_second(direction):
     """Raw events cut to the second as probes, against the observations of their facility."""
     def build(spark, sf):
@@ -269,6 +279,13 @@ FROM (SELECT f.*, w.ghi_wm2, CASE WHEN w.ghi_wm2 > 0 THEN least(f.capacity_mw, f
  {sql_round('sum(curtailed_mw)', 1)} AS curtailed_mwh, sum(CASE WHEN status = 'curtailed' THEN 1 ELSE 0 END)::BIGINT AS curtailed_intervals,
  sum(CASE WHEN status = 'likely_curtailed' THEN 1 ELSE 0 END)::BIGINT AS likely_curtailed_intervals, max(interval_end) AS latest_interval
  FROM perf WHERE {sql_window(168, AS_OF_SQL)} GROUP BY 1""", True)),
+    "facility_summary_named": (
+        named_summaries,
+        fleet_sql(" UNION ALL ".join(f"""SELECT '{code}' AS facility_code, count(*) AS intervals, {sql_round('sum(actual_mw)', 1)} AS energy_mwh,
+ {sql_round('max(actual_mw)', 1)} AS peak_mw, {sql_round('avg(performance_index)', 2)} AS avg_performance_index,
+ {sql_round('min(performance_index)', 2)} AS min_performance_index, {sql_round('sum(curtailed_mw)', 1)} AS curtailed_mwh,
+ count(*) FILTER (WHERE status = 'curtailed') AS curtailed_intervals, count(*) FILTER (WHERE status = 'likely_curtailed') AS likely_curtailed_intervals,
+ max(interval_end) AS latest_interval FROM perf WHERE facility_code = '{code}' AND {sql_window(168, None)}""" for code in NAMED), True)),
     "facility_hourly": (
         lambda s, d: as_naive(catalogue.facility_hourly(fleet(s, d), 168)),
         fleet_sql(f"""SELECT facility_code, date_trunc('hour', interval_end) AS hour, {sql_round('avg(actual_mw)', 1)} AS avg_mw,

@@ -1,6 +1,8 @@
 """Cases the first round got wrong: backslashes, fractions of a second, shared first words, long rules."""
 
 import datetime as dt
+import random
+import re
 
 from heliofleet import schemas
 from heliofleet.operators import catalogue, chunking, routing
@@ -20,6 +22,32 @@ def test_backslashes_in_search_texts(spark):
     assert catalogue.find_facility(table, "bir\\ch").first().facility_name == "Birch Lane Array"
 
 
+def test_names_found_by_their_rarest_piece(spark):
+    """Names and texts that share their common words, wildcards included, against a plain search."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
+    names = sorted({f"Solar Farm {word().title()} {word()}" for _ in range(60)})
+    texts = sorted({rng.choice(names)[rng.randrange(12):][:rng.randint(1, 12)].strip() for _ in range(40)}
+                   | {"solar%a", "%", "_", "solar farm", "zzz", "farm _", "SOLAR%b%", "b_ solar", "ab"} - {""})
+    got = {r.searched_for: (r.facility_name, r.facility_code) for r in catalogue.find_facility_batch(
+        units(spark, names), spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    want = {}
+    for text in texts:
+        like = re.compile("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in text.lower()), re.S)
+        hits = [(len(n), f"CODE{i}", n) for i, n in enumerate(names) if like.search(n.lower())]
+        if hits:
+            want[text] = (min(hits)[2], min(hits)[1])
+    assert got == want and len(want) > 30
+
+
+def test_a_farm_without_readings_has_a_summary(spark):
+    from helpers import AT, FULL_SUN, fleet
+    f = fleet(spark, [("BRKNSF1", AT, 210.0)], FULL_SUN)
+    got = [catalogue.facility_summary(f, facility_code=code).collect() for code in ("BRKNSF", "NONE")]
+    assert [(r.facility_code, r.intervals, r.energy_mwh, r.curtailed_intervals) for rows in got for r in rows] == [
+        ("BRKNSF", 1, 17.5, 0), ("NONE", 0, None, 0)]
+
+
 def test_fractions_of_a_second_are_kept(spark):
     at = dt.datetime(2031, 3, 4, 5, 6, 7)
     df = spark.createDataFrame([(1, at), (2, at.replace(microsecond=80_500))], "k int, at timestamp")
