@@ -46,6 +46,14 @@ def misses(ranks: DataFrame, ranked: DataFrame, k: int = 3) -> DataFrame:
         "case_id", F.coalesce("got", F.array().cast("array<string>")).alias("got"))
 
 
+def gate(report: DataFrame, least: dict[str, float]) -> DataFrame:
+    """The report itself, or an error that names the first figure below its minimum (or missing)."""
+    def held(name: str) -> Column:
+        message = F.concat(F.lit(f"{name} is "), F.coalesce(F.col(name).cast("string"), F.lit("missing")), F.lit(f", less than {least[name]}"))
+        return F.when(F.col(name) >= least[name], F.col(name)).otherwise(F.raise_error(message).cast(report.schema[name].dataType))
+    return report.withColumns({name: held(name) for name in least})
+
+
 STEPS = 8  # halvings of the search among 2 ** STEPS - 1 splitters
 
 

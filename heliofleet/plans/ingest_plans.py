@@ -14,7 +14,7 @@ from heliofleet.functions.columns import as_naive, instant, nem_date
 from heliofleet.operators import ingest, quality
 from heliofleet.plans.bindings import events, fleet, fleet_sql, ledger_of, table
 from heliofleet.session import shared_dir
-from heliofleet.sources import payloads, reports
+from heliofleet.sources import golden, payloads, reports
 from heliofleet.streaming import ingest as stream_ingest
 
 NOW = datetime(2024, 1, 31, 0, 0)
@@ -178,6 +178,18 @@ def json_rows(spark, sf):
         F.col("o_orderdate").cast("timestamp").alias("at"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).alias("cust")))
 
 
+def golden_cases(spark, sf):
+    """Every order as a golden set, its lines as cases: a number and a text that may be null as arguments."""
+    line = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("hours"), "l_returnflag")
+    sets = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("set_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    case = F.transform("lines", lambda x: F.struct(
+        F.concat(F.lit("part "), x["l_partkey"]).alias("question"),
+        F.struct(F.lit("fleet_summary").alias("tool"), F.struct(
+            x["hours"].alias("hours"), F.when(x["l_returnflag"] != "A", x["l_returnflag"]).alias("region")).alias("args")).alias("expect")))
+    return golden.routing_cases(sets.select("set_id", F.to_json(F.struct(case.alias("cases")), {"ignoreNullFields": "false"}).alias("payload"))).select(
+        "set_id", "case_id", "question", "tool", F.size("args").alias("n_args"), F.col("args")["hours"].alias("hours"), F.col("args")["region"].alias("region"))
+
+
 # ---------- ingest ----------
 
 def upsert_readings(spark, sf):
@@ -339,6 +351,11 @@ FROM (SELECT *, CAST(CAST(th AS DOUBLE) AS VARCHAR) AS th_text FROM r)"""
 
 
 REGISTERED = {
+    "golden_cases": (
+        golden_cases,
+        """SELECT l_orderkey::VARCHAR AS set_id, concat(l_orderkey, '#', row_number() OVER (PARTITION BY l_orderkey
+ ORDER BY l_linenumber, l_partkey, l_quantity::INT, l_returnflag) - 1) AS case_id, concat('part ', l_partkey) AS question, 'fleet_summary' AS tool,
+ 2 AS n_args, l_quantity::INT::VARCHAR AS hours, CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS region FROM lineitem"""),
     "scada_from_reports": (
         lambda s, d: as_naive(scada(s, d)),
         fleet_sql(f"""SELECT {FILE_SQL} AS file, '' AS member, CASE WHEN uid < 75 THEN uid + 3 ELSE uid + 4 END AS line_no, duid, interval_end, mw

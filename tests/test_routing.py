@@ -4,8 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from heliofleet.operators import answers, quality, routing
+from heliofleet.operators import answers, evaluation, quality, routing
 from heliofleet.operators.index import build_index
+from heliofleet.sources import golden
 from helpers import AT, FULL_SUN, LOW, fleet, rows
 
 FARMS = [("ORCH", "Orchard Flat Solar Farm"), ("WRIDGE", "Western Ridge Green Power Hub"), ("SMSF", "Salt Marsh Solar Farm")]
@@ -67,6 +68,43 @@ def test_routing_evaluation(spark):
     assert (got["total"], got["passed"], got["accuracy"], got["p50_ms"], got["p95_ms"]) == (7, 3, 0.429, 5.5, 9.0)
 
 
+def test_golden_files_and_gate(spark, tmp_path):
+    """Sets of own questions, read from files, routed without a model and held to a minimum."""
+    number = lambda args: {k: float(v) if k == "threshold" else int(v) if k in ("hours", "k") else v for k, v in args.items()}
+    for name, part in (("first", ROUTES[:5]), ("second", ROUTES[5:])):
+        cases = [{"question": q, "expect": {"tool": tool, "args": number({k: v for k, v in args.items() if k != "query"})}} for q, tool, args in part]
+        (tmp_path / f"{name}.json").write_text(json.dumps({"facilities": FARMS, "cases": cases}, indent=1))
+    (tmp_path / "notes.txt").write_text("not a set")
+    sets = golden.read_sets(spark, str(tmp_path))
+    wanted = golden.routing_cases(sets).cache()
+    farms = golden.routing_facilities(sets).drop("set_id").distinct()
+    assert wanted.count() == len(ROUTES) and rows(farms, "facility_code", "facility_name") == sorted(FARMS)
+    terms = spark.createDataFrame([("inverter",), ("dew",)], "term string")
+    calls = routing.route(wanted.select(F.col("case_id").alias("question_id"), "question"), farms, terms)
+    checked = routing.check_calls(wanted, calls.withColumnRenamed("question_id", "case_id"), farms, quality.argument_rules(spark))
+    report = routing.evaluate_routing(checked)
+    assert evaluation.gate(report, {"accuracy": 1.0}).first().passed == len(ROUTES)
+    spoilt = wanted.withColumn("tool", F.when(F.col("case_id") == "first.json#0", "fleet_summary").otherwise(F.col("tool")))
+    worse = routing.evaluate_routing(routing.check_calls(spoilt, calls.withColumnRenamed("question_id", "case_id"), farms, quality.argument_rules(spark)))
+    with pytest.raises(Exception, match="accuracy is 0.9.*, less than 0.95"):
+        evaluation.gate(worse, {"accuracy": 0.95}).collect()
+    with pytest.raises(Exception, match="accuracy is missing"):
+        evaluation.gate(routing.evaluate_routing(checked.where("false")), {"accuracy": 0.5}).collect()
+
+
+def test_golden_sections(spark):
+    payloads = [("a", json.dumps({"cases": [{"question": "q1", "expect": ["d#x", "d#y", "d#x"]}, {"question": "q2", "expect": ["e#z"]}]})), ("b", '{"cases": []}')]
+    cases = golden.retrieval_cases(spark.createDataFrame(payloads, "set_id string, payload string"))
+    assert rows(golden.expected_sections(cases), "case_id", "id") == [("a#0", "d#x"), ("a#0", "d#y"), ("a#1", "e#z")]
+    ranked = spark.createDataFrame([("a#0", "d#y", 1), ("a#1", "d#x", 1), ("a#1", "e#z", 2)], "case_id string, id string, rank int")
+    known = spark.createDataFrame([("d#x",), ("d#y",), ("e#z",)], "id string")
+    report = evaluation.evaluate_retrieval(evaluation.case_ranks(golden.expected_sections(cases), ranked, known))
+    assert evaluation.gate(report, {"hit_at_3": 0.9, "mrr": 0.75}).first().mrr == 0.75
+    for bad, message in (('{"cases": [{"question": "q", "expect": []}]}', "no expected section"), ("{no json", "MALFORMED|FAILFAST|malformed")):
+        with pytest.raises(Exception, match=message):
+            golden.expected_sections(golden.retrieval_cases(spark.createDataFrame([("c", bad)], "set_id string, payload string"))).collect()
+
+
 def test_answers(spark):
     dispatch = [("BRKNSF1", AT, 50.0, 200.0, 200.0, True)]
     f = fleet(spark, LOW, FULL_SUN, [("VIC1", AT, 20.0)], dispatch)
