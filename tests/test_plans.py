@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import AT, FULL_SUN, LOW, fleet
 from heliofleet.operators import catalogue, ranking, routing
-from heliofleet.operators.index import build_index, postings
+from heliofleet.operators.index import _blocks, build_index, postings
 from heliofleet.plans.registry import REGISTERED
 from heliofleet.session import joined_as_dealt
 
@@ -38,6 +38,29 @@ def test_counting_terms_moves_the_texts_once(spark, tmp_path):
     assert len(re.findall(r"Exchange hash", text)) == 1 and "SortAggregate" not in text
 
 
+def test_blocks_are_made_where_their_range_was_dealt(spark, tmp_path):
+    """One exchange of texts in parts of bounded size; the counts and the blocks need none."""
+    text = plan(_blocks(corpus(spark, tmp_path), 16, 2, 3))
+    assert len(re.findall(r"Exchange ", text)) == 1
+    assert re.search(r"Exchange hashpartitioning\(range#\d+, 3\), REPARTITION_BY_NUM", text)
+
+
+def test_a_term_keeps_the_weight_of_its_twentieth_best_chunk(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("heliofleet.operators.index.RANGE_CHUNKS", 4)
+    monkeypatch.setattr("heliofleet.operators.index.DEAL_BYTES", 200)
+    docs = spark.createDataFrame([(i, i, "", "", " ".join(["panel"] * (1 + i % 7) + ["fill"] * (i % 11) + ["dust"] * (i < 19))) for i in range(90)],
+                                 "id int, pos int, title string, section string, text string")
+    index = build_index(docs, str(tmp_path / "index"))
+    avg = index.stats.first()["avg_len"]
+    weights = {}
+    for r in index.postings().collect():
+        weights.setdefault(r["term"], []).append(r["tf"] * 2.2 / (r["tf"] + 1.2 * (0.25 + 0.75 * r["len"] / avg)))
+    want = {t: sorted(w)[-20] if len(w) >= 20 else 0.0 for t, w in weights.items()}
+    got = {r["term"]: r["kth"] for r in index.terms.collect()}
+    assert got.keys() == want.keys() == {"panel", "fill", "dust"} and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    assert index.blocks.schema["entries"].dataType.elementType.fieldNames() == ["id", "pos", "tf", "len"]
+
+
 def test_scores_are_summed_where_the_chunks_are(spark, tmp_path):
     index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
     queries = spark.createDataFrame([(1, "dust panel")], "query_id int, query string")
