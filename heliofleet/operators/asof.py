@@ -130,7 +130,10 @@ def nearest_in_time(
     before = F.last("_obs", ignorenulls=True).over(frame.rowsBetween(Window.unboundedPreceding, 0))
     found = merged.withColumn("_prev", before)
     if direction == "nearest":
-        after = F.first("_obs", ignorenulls=True).over(frame.rowsBetween(0, Window.unboundedFollowing))
+        # Backwards, the next observation is the last one met: one running value, where a frame that ends at the
+        # bucket's end would be read again for every row.
+        back = Window.partitionBy(*on, "_bucket").orderBy(F.desc("_t"), F.desc("_is_probe"))
+        after = F.last("_obs", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
         found = found.withColumn("_next", after)
     found = found.where("_is_probe")
     gap_prev = F.col("_t") - F.col("_prev._at")

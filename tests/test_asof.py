@@ -83,3 +83,11 @@ def test_probe_finer_than_resolution_is_refused(spark):
     p, o = frames(spark, [("a", T0 + dt.timedelta(microseconds=1))], [("a", T0, 1.0)])
     with pytest.raises(Exception, match="finer than"):
         nearest_in_time(p, o, ["k"], "at", "seen", ["v"], 30).collect()
+
+
+def test_no_row_reads_the_rest_of_its_bucket(spark):
+    """A frame that ends at the bucket's end is evaluated again for every row."""
+    probes = spark.createDataFrame([("a", T0)], "k string, at timestamp")
+    obs = spark.createDataFrame([("a", T0, 1.0)], "k string, seen timestamp, v double")
+    plan = nearest_in_time(probes, obs, ["k"], "at", "seen", ["v"], 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "unboundedfollowing" not in plan.lower()
