@@ -22,11 +22,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from heliofleet.llm.memory import release
 from heliofleet.llm.tables import crc_mod, parts_for, staged
 from heliofleet.llm.words import (
-    BLOCK_BYTES, blocks, bucket_of, fingerprints, gathered, mix, pack, pack_small, split_words, unpack, unpack_small)
+    BLOCK_BYTES, blocks, bucket_of, fingerprints, gathered, mix, pack, pack_small, small, split_words, unpack, unpack_small)
 
 BUCKET_TOKENS = 2_000_000
+SLICE_KEYS = 250_000  # keys of a bucket that are added up at once
 HELD_PARTS = 10  # one training document in so many is set apart for the weights
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ROUNDS = 60
@@ -52,6 +54,8 @@ def _blocks(batches):
                     pa.array([pack(block.column("train").to_numpy(zero_copy_only=False).astype(np.uint8))]),
                     pa.array([pack_small(words.lengths)]), pa.array([pack_small(words.codes)]),
                     pa.array([pack(fingerprints(words.vocab))])], names=[f.split()[0] for f in BLOCK.split(", ")])
+                del words
+                release()
 
 
 class _Block:
@@ -118,38 +122,59 @@ def _ask(buckets: int):
                     pa.array([pack(block.keys[cuts[b]:cuts[b + 1]], sorted_=True) for b in used], pa.binary()),
                     pa.array([pack_small(counts[cuts[b]:cuts[b + 1]]) for b in used], pa.binary())],
                     names=["bucket", "block", "held", "keys", "counts"])
+                del block, counts, single
+                release()
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Adds up one bucket's counts over all blocks and answers each block in its own order."""
-    asked = table.to_pylist()
-    keys = [unpack(r["keys"], np.uint64, sorted_=True) for r in asked]
-    counts = [unpack_small(r["counts"]) for r in asked]
+def _added(keys: list, counts: list, held: np.ndarray):
+    """Counts of a run of sorted keys, added up over all blocks: per block those of the main and the set-apart
+    documents in its own order, and the four totals."""
     every, flags = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    group = np.empty(len(every), np.int64)
-    group[order] = np.cumsum(np.concatenate([[True], ranked[1:] != ranked[:-1]])) - 1
-    n = int(group.max()) + 1
-    apart = np.concatenate([np.full(len(k), r["held"], bool) for k, r in zip(keys, asked)])
-    amount = flags >> 1
+    _, group = np.unique(every, return_inverse=True)
+    n = int(group.max()) + 1 if len(group) else 0
+    apart = np.repeat(held, [len(k) for k in keys])
+    amount = (flags >> 1).astype(np.int64)
     in_apart = np.zeros(n, np.int64)
     in_main = np.zeros(n, np.int64)
     np.add.at(in_apart, group[apart], amount[apart])
     np.add.at(in_main, group[~apart], amount[~apart])
     word = np.zeros(n, bool)
     word[group] = (flags & 1).astype(bool)
-    totals = [int(in_main[word].sum()), int((in_main + in_apart)[word].sum()),
-              int((in_main[word] > 0).sum()), int(((in_main + in_apart)[word] > 0).sum())]
-    ends = np.cumsum([len(k) for k in keys])
-    main = [pack_small(in_main[group[e - len(k):e]]) for k, e in zip(keys, ends)]
-    dev = [pack_small(in_apart[group[e - len(k):e]]) for k, e in zip(keys, ends)]
-    zeros = [0] * (len(asked) - 1)
-    return pa.table({
-        "block": pa.array([r["block"] for r in asked]), "bucket": pa.array([r["bucket"] for r in asked], pa.int32()),
-        "main": pa.array(main, pa.binary()), "apart": pa.array(dev, pa.binary()),
-        **{name: pa.array([t, *zeros], pa.int64()) for name, t in zip(("tokens_main", "tokens", "types_main", "types"), totals)}})
+    both = in_main + in_apart
+    totals = np.array([in_main[word].sum(), both[word].sum(), (in_main[word] > 0).sum(), (both[word] > 0).sum()], np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    at = [group[x:y] for x, y in zip(starts[:-1], starts[1:])]
+    return [small(in_main[g]) for g in at], [small(in_apart[g]) for g in at], totals
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Adds up one bucket's counts over all blocks and answers each block in its own order. Keys are sorted, so the
+    bucket is gone through in runs of keys, and only a run is held in full width."""
+    held = table.column("held").to_numpy().astype(bool)
+    keys = [unpack(k.as_py(), np.uint64, sorted_=True) for k in table.column("keys")]
+    counts = [small(unpack_small(c.as_py())) for c in table.column("counts")]
+    low, high = (int(f(k[i] for k in keys if len(k))) for f, i in ((min, 0), (max, -1)))
+    runs = parts_for(sum(map(len, keys)), SLICE_KEYS)
+    edges = np.array([low + (high - low) * i // runs for i in range(1, runs)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]).astype(np.int64) for k in keys]
+    main, dev, totals = [[] for _ in keys], [[] for _ in keys], np.zeros(4, np.int64)
+    for run in range(runs):
+        part = [slice(c[run], c[run + 1]) for c in cuts]
+        in_main, in_apart, added = _added([k[x] for k, x in zip(keys, part)], [c[x] for c, x in zip(counts, part)], held)
+        totals += added
+        for found, one in ((main, in_main), (dev, in_apart)):
+            for pieces, piece in zip(found, one):
+                pieces.append(piece)
+    zeros = [0] * (len(keys) - 1)
+    out = pa.table({
+        "block": table.column("block"), "bucket": table.column("bucket"),
+        "main": pa.array([pack_small(np.concatenate(p)) for p in main], pa.binary()),
+        "apart": pa.array([pack_small(np.concatenate(p)) for p in dev], pa.binary()),
+        **{name: pa.array([int(t), *zeros], pa.int64()) for name, t in zip(("tokens_main", "tokens", "types_main", "types"), totals)}})
+    del keys, counts, main, dev
+    release()
+    return out
 
 
 def _joined(answers: pa.Table):
@@ -177,6 +202,8 @@ def _events(blocks_: pa.Table, answers: pa.Table) -> pa.Table:
         frames.append(pd.DataFrame({
             "context": context_bucket(context), "x": _log_bin(pair / np.maximum(context, 1), 8), "y": _log_bin(word.astype(float), 4)}))
     counted = pd.concat(frames).value_counts().reset_index(name="n")
+    del frames
+    release()
     return pa.table({"level": pa.array(np.zeros(len(counted), np.int32)),
                      **{c: pa.array(counted[c].to_numpy(np.int32)) for c in ("context", "x", "y")}, "n": pa.array(counted["n"].to_numpy(np.int64))})
 
@@ -226,6 +253,8 @@ def _score(m: float, weights: dict, tokens: int, types: int):
                 "doc_id": block.ids, "row": block.rows, "n_tokens": block.lengths,
                 "n_known": np.add.reduceat((word > 0).astype(np.int64), at),
                 "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(p), at)}))
+            del block, main, apart, word, context, pair, lower, w, p, base
+            release()
         return pa.concat_tables(outs)
     return run
 

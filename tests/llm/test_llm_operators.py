@@ -438,3 +438,20 @@ def test_near_duplicates_by_blocks(docs, monkeypatch):
     for name, value in (("SMALL", 2), ("BLOCK_MINOR", 3), ("BLOCK_ALL", 4)):
         monkeypatch.setattr(minhash, name, value)
     assert {tuple(r) for r in near_duplicates(docs, shingle=4).collect()} == whole
+
+
+def test_a_bucket_of_counts_is_added_up_in_runs_of_keys(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from heliofleet.llm import lm
+    from heliofleet.llm.words import pack, pack_small, unpack_small
+    monkeypatch.setattr(lm, "SLICE_KEYS", 2)
+    keys = [[3, 9, 2**63 + 5, 2**64 - 1], [9, 2**63 + 5, 2**63 + 7], [9]]
+    flags = [[1 * 2 + 1, 4 * 2, 700 * 2 + 1, 0], [6 * 2, 5 * 2 + 1, 1 * 2], [10 * 2]]
+    got = lm._answer(pa.table({
+        "bucket": pa.array([0, 0, 0], pa.int32()), "block": ["0-a", "1-b", "0-c"], "held": pa.array([0, 1, 0], pa.int32()),
+        "keys": pa.array([pack(np.array(k, np.uint64), sorted_=True) for k in keys], pa.binary()),
+        "counts": pa.array([pack_small(np.array(c)) for c in flags], pa.binary())})).to_pylist()
+    assert [unpack_small(r["main"]).tolist() for r in got] == [[1, 14, 700, 0], [14, 700, 0], [14]]
+    assert [unpack_small(r["apart"]).tolist() for r in got] == [[0, 6, 5, 0], [6, 5, 1], [6]]
+    assert [sum(r[c] for r in got) for c in ("tokens_main", "tokens", "types_main", "types")] == [701, 706, 2, 2]
