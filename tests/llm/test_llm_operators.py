@@ -440,6 +440,19 @@ def test_near_duplicates_by_blocks(docs, monkeypatch):
     assert {tuple(r) for r in near_duplicates(docs, shingle=4).collect()} == whole
 
 
+def test_components_contract_edges_in_tasks(spark, monkeypatch):
+    import numpy as np
+    from heliofleet.llm import graph
+    u, v = graph._stars(np.array([9, 7, 5, 20, 31]), np.array([7, 5, 2, 11, 20]))
+    assert dict(zip(u.tolist(), v.tolist())) == {5: 2, 7: 2, 9: 2, 20: 11, 31: 11}
+    # A long path, held a few edges at a time: every node still gets the least one, and one star needs no round.
+    monkeypatch.setattr(graph, "EDGES", 3)
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {(r.node, r.root) for r in graph.components(path.repartition(5)).collect()} == {(i, 0) for i in range(61)}
+    star = spark.createDataFrame([(i, 0) for i in range(1, 9)], "u long, v long")
+    assert graph._open(star) == 0 and graph._open(path.selectExpr("b u", "a v")) > 0
+
+
 def test_a_bucket_of_counts_is_added_up_in_runs_of_keys(monkeypatch):
     import numpy as np
     import pyarrow as pa
