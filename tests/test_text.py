@@ -279,3 +279,16 @@ def test_citations(spark):
     df = spark.createDataFrame([(1, "fine [1].", [1, 2]), (2, "none", [1, 2]), (3, "bad [7]", [1, 2]), (4, "nothing given", [])], "i int, text string, given array<int>")
     assert rows(passages.check_citations(df), "i", "valid", "reason") == [
         (1, True, None), (2, False, "answer cites no passages"), (3, False, "answer cites unknown passages [7]"), (4, True, None)]
+
+
+def test_blocks_of_queries_grow_before_they_become_many(spark, monkeypatch):
+    """A vector is copied once per block of queries; each block leaves one row here."""
+    import pandas as pd
+    for name, size in (("QUERY_BLOCK", 2), ("FEW_BLOCKS", 3), ("MOST_QUERIES", 50)):
+        monkeypatch.setattr(ranking, name, size, raising=False)
+
+    def one_row(k):
+        return lambda q, v: pd.DataFrame({"query_id": q["query_id"][:1], "id": v["id"][:1], "pos": v["pos"][:1], "score": [0.0] * len(q[:1])})
+    monkeypatch.setattr(ranking, "_cell", one_row)
+    vecs = spark.range(60).select("id", F.col("id").alias("pos"), F.array(F.lit(1.0)).alias("embedding"))
+    assert ranking.cosine_topk(vecs.select(F.col("id").alias("query_id"), "embedding"), vecs, 3).count() == 3
