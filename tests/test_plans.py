@@ -73,6 +73,14 @@ def test_scores_are_summed_where_the_chunks_are(spark, tmp_path):
     assert not re.search(r"Exchange hashpartitioning\(range#\d+, id", text) and text.count("WindowGroupLimit") == 2
 
 
+def test_no_plan_node_holds_a_row_per_query_term_and_chunk(spark, tmp_path):
+    """Scores are added up in matrices: entries are not exploded, and no aggregate or sort has a row per (query, chunk)."""
+    index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
+    text = plan(ranking.bm25(spark.createDataFrame([(1, "dust panel")], "query_id int, query string"), index, 3))
+    assert text.count("FlatMapCoGroupsInArrow") >= 1 and not re.search(r"Generate explode\(entries", text)
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*\bpos#", text)
+
+
 def test_a_search_opens_only_its_buckets(spark, tmp_path):
     index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
     queries = spark.createDataFrame([(1, "dust panel")], "query_id int, query string")

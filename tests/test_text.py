@@ -166,6 +166,50 @@ def test_ranges_out_of_reach_are_skipped(spark, monkeypatch, tmp_path):
     assert ranges(30) == every and ranking.bm25_topk(queries, index, 30).count() == 90
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 40])
+def test_scores_of_repeated_and_null_ids_match_sums_over_postings(spark, monkeypatch, tmp_path, cells):
+    """Queries are added up some at a time; a question that stands twice counts twice, a chunk without an id is one."""
+    monkeypatch.setattr("heliofleet.operators.index.RANGE_CHUNKS", 8)
+    monkeypatch.setattr(ranking, "SUM_CELLS", cells)
+    rng = random.Random(9)
+    words = ["panel", "dust", "zebra", "wind", "moss", "dew"]
+    rows_ = [(None if i % 17 == 0 else i % 40, None if i % 17 == 0 else i % 40, None, "s", " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for i in range(60)]
+    docs = spark.createDataFrame(rows_, "id int, pos int, title string, section string, text string")
+    index = build_index(docs, str(tmp_path / "index"))
+    asked = [(1, "dust panel"), (1, "dust panel"), (2, "moss"), (3, "absent"), (4, " ".join(words)), (5, "zebra wind dew")]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    avg, idf, want = index.stats.first()["avg_len"], {r["term"]: r["idf"] for r in index.terms.collect()}, {}
+    terms = [(r["query_id"], r["terms"]) for r in queries.select("query_id", tx.tokens(F.col("query")).alias("terms")).collect()]
+    for r in index.postings().collect():
+        for q, its in terms:
+            if r["term"] in its:
+                key = (q, r["id"], r["pos"])
+                want[key] = want.get(key, 0.0) + idf[r["term"]] * r["tf"] * 2.2 / (r["tf"] + 1.2 * (0.25 + 0.75 * r["len"] / avg))
+    got = {(r["query_id"], r["id"], r["pos"]): r["score"] for r in ranking.bm25(queries, index).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want) and any(k[1] is None for k in got)
+    best = sorted(tuple(r)[:4] for r in ranking.bm25_topk(queries, index, 3).select("query_id", "rank", "score", "pos").collect())
+    def first(q):  # a missing place in the corpus comes before any other
+        return sorted(((k[2], s) for k, s in got.items() if k[0] == q), key=lambda x: (-x[1], -1 if x[0] is None else x[0]))[:3]
+    assert best == [(q, n, s, p) for q in (1, 2, 4, 5) for n, (p, s) in enumerate(first(q), 1)]
+
+
+def test_a_task_of_a_search_holds_a_bounded_part_of_the_corpus(spark, monkeypatch, tmp_path):
+    """Shuffles of a search have partitions by the chunks of the index, and are as before after it."""
+    monkeypatch.setattr("heliofleet.operators.index.RANGE_CHUNKS", 4)
+    monkeypatch.setattr(ranking, "RANGE_CHUNKS", 4)
+    monkeypatch.setattr(ranking, "TASK_RANGES", 2)
+    docs = spark.range(200).select("id", F.col("id").alias("pos"), F.lit("").alias("title"), F.lit("").alias("section"), F.lit("dust on panel").alias("text"))
+    index = build_index(docs, str(tmp_path / "index"))
+    seen, write = [], ranking.staged
+    def watched(df, purpose):
+        seen.append((purpose, spark.conf.get("spark.sql.shuffle.partitions")))
+        return write(df, purpose)
+    monkeypatch.setattr(ranking, "staged", watched)
+    best = ranking.bm25_topk(spark.createDataFrame([(1, "dust")], "query_id int, query string"), index, 3)
+    assert [r["id"] for r in best.orderBy("rank").collect()] == [0, 1, 2]
+    assert dict(seen)["search-best"] == "25" and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def test_stored_index_is_built_once_per_version(spark, tmp_path):
     docs = corpus(spark)
     first = stored_index(docs, str(tmp_path))
