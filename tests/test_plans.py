@@ -45,6 +45,37 @@ def test_blocks_are_made_where_their_range_was_dealt(spark, tmp_path):
     assert re.search(r"Exchange hashpartitioning\(range#\d+, 3\), REPARTITION_BY_NUM", text)
 
 
+def test_blocks_travel_as_one_row_per_term_of_a_task(spark, monkeypatch, tmp_path):
+    """Blocks are dealt by bucket as a row per term, not per range; taken apart, they are the blocks again."""
+    import heliofleet.operators.index as ix
+    rows = [(None if i % 17 == 0 else f"c{i % 40}", i if i % 5 else None, "", "", " ".join(["panel"] * (1 + i % 7) + ["fill"] * (i % 11) + [f"w{i}"]))
+            for i in range(90)]
+    docs = spark.createDataFrame(rows, "id string, pos long, title string, section string, text string")
+    blocks = _blocks(docs, 4, 23, 1).cache()
+    joined = ix._joined_by_term(blocks)
+    assert joined.count() == blocks.select("term").distinct().count() < blocks.count()
+    def plain(df):
+        return sorted((r["bucket"], r["term"], r["range"], r["top_tf"], r["least_len"], sorted(map(repr, r["entries"]))) for r in df.collect())
+    assert plain(ix._taken_apart(joined)) == plain(ix._with_entries(blocks))
+    # A task that writes has a bounded part of a bucket, and a term's blocks may lie in several.
+    monkeypatch.setattr(ix, "RANGE_CHUNKS", 4)
+    monkeypatch.setattr(ix, "DEAL_BYTES", 200)
+    monkeypatch.setattr(ix, "PART_BYTES", 50)
+    index = build_index(docs, str(tmp_path / "index"))
+    files = [p.parent.name for p in (tmp_path / "index" / "blocks").glob("bucket=*/*.parquet")]
+    assert len(files) > len(set(files))
+    want = sorted(map(repr, postings(docs).select("term", "id", "pos", "tf", "len").collect()))
+    assert sorted(map(repr, index.postings().collect())) == want
+
+
+def test_terms_are_dealt_once(spark, tmp_path):
+    """Counts and best weights of terms share one exchange."""
+    import heliofleet.operators.index as ix
+    index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
+    text = plan(ix._terms(index.blocks, F.lit(20), F.lit(5.0)))
+    assert len(re.findall(r"Exchange ", text)) == 1 and "Join" not in text and "Window" not in text
+
+
 def test_a_term_keeps_the_weight_of_its_twentieth_best_chunk(spark, monkeypatch, tmp_path):
     monkeypatch.setattr("heliofleet.operators.index.RANGE_CHUNKS", 4)
     monkeypatch.setattr("heliofleet.operators.index.DEAL_BYTES", 200)
