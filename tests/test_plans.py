@@ -76,6 +76,13 @@ def test_terms_are_dealt_once(spark, tmp_path):
     assert len(re.findall(r"Exchange ", text)) == 1 and "Join" not in text and "Window" not in text
 
 
+def test_a_search_moves_no_structs_per_entry(spark, tmp_path):
+    index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
+    text = plan(ranking.bm25(spark.createDataFrame([(1, "dust panel")], "query_id int, query string"), index, 3))
+    dealt = re.findall(r"FlatMapCoGroupsInArrow .*", text)
+    assert dealt and not any("entries#" in line for line in dealt)
+
+
 def test_a_term_keeps_the_weight_of_its_twentieth_best_chunk(spark, monkeypatch, tmp_path):
     monkeypatch.setattr("heliofleet.operators.index.RANGE_CHUNKS", 4)
     monkeypatch.setattr("heliofleet.operators.index.DEAL_BYTES", 200)
