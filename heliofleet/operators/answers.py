@@ -242,15 +242,17 @@ def _latest_farms(scored: DataFrame, anchor: Column) -> DataFrame:
     return day.where(F.col("interval_end") == latest.scalar())
 
 
-def _passages(
-    lookup: DataFrame, chunks: DataFrame, index: Index, vectors: DataFrame | None, question_vectors: DataFrame | None,
-) -> DataFrame:
-    """Per (lookup, take): its passages (n, id, title, section, text, score, method) and the extract of the first two.
+def _searched(
+    lookup: DataFrame, index: Index, vectors: DataFrame | None, question_vectors: DataFrame | None,
+) -> tuple[DataFrame, DataFrame]:
+    """Per (lookup, take) its ``key``, its query_id and whether a document question asks it (``whole``); and the hits
+    by query_id.
 
     Each distinct text is searched once, under the least id that asks it; with vectors for that id the search is
     hybrid, else by keywords.
     """
-    wanted = staged(lookup.where("lookup is not null").groupBy("lookup", "take").agg(F.min("question_id").alias("least")), "answers-lookups")
+    wanted = staged(lookup.where("lookup is not null").groupBy("lookup", "take").agg(
+        F.min("question_id").alias("least"), F.bool_or(F.col("tool") == "search_docs").alias("whole")), "answers-lookups")
     texts = wanted.groupBy(F.col("lookup").alias("query")).agg(F.min("least").alias("query_id"))
     if vectors is None or question_vectors is None:
         hits = ranking.search(texts, index, _MOST_PASSAGES)
@@ -259,17 +261,42 @@ def _passages(
         seen = known.select("query_id").distinct()
         hits = ranking.search(texts.join(seen, "query_id", "left_semi"), index, _MOST_PASSAGES, known.join(texts.select("query_id"), "query_id", "left_semi"), vectors)
         hits = hits.unionByName(ranking.search(texts.join(seen, "query_id", "left_anti"), index, _MOST_PASSAGES))
-    found = staged(hits, "answers-hits").join(chunks.select("id", "title", "section", "text"), "id")
     key = F.concat_ws("/", F.col("query_id").cast("string"), F.col("take").cast("string"))
-    asked = wanted.join(texts.withColumnRenamed("query", "lookup"), "lookup").select(key.alias("key"), "query_id", "lookup", "take")
-    given = asked.join(found, "query_id").where(F.col("rank") <= F.col("take"))
-    listed = given.groupBy("key").agg(F.array_sort(F.collect_list(
-        F.struct(F.col("rank").alias("n"), "id", "title", "section", "text", "score", "method"))).alias("passages"))  # eight at most
-    extracts = extractive_answers(given.select(F.col("key").alias("query_id"), F.col("rank").alias("n"), "score", "text"),
+    asked = wanted.join(texts.withColumnRenamed("query", "lookup"), "lookup").select(key.alias("key"), "query_id", "lookup", "take", "whole")
+    return staged(asked, "answers-asked"), staged(hits, "answers-hits")
+
+
+def _given(asked: DataFrame, hits: DataFrame, chunks: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Per key its passages in order, as (n, ``fields``): eight at most."""
+    chosen = asked.select("key", "query_id", "take").join(hits, "query_id").where(F.col("rank") <= F.col("take"))
+    found = chosen.join(chunks.select("id", *[f for f in fields if f not in hits.columns]), "id")
+    return found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("n"), *fields))).alias("passages"))
+
+
+def _or_none(passages: str, listed: DataFrame) -> Column:
+    return F.coalesce(passages, F.array().cast(listed.schema[passages].dataType))
+
+
+def _sources(asked: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(key, sources): the passages of a key without their texts."""
+    listed = _given(asked, hits, chunks, ("id", "title", "section"))
+    return asked.select("key").join(listed, "key", "left").select("key", _or_none("passages", listed).alias("sources"))
+
+
+def _passages(asked: DataFrame, hits: DataFrame, chunks: DataFrame, index: Index) -> DataFrame:
+    """(key, sources, extract, passages) for document questions: the extract of the first two passages, and all of
+    them. Texts are dealt by chunk and then by key, and sentences are chosen where they lie."""
+    asked = asked.where("whole")
+    listed = _given(asked, hits, chunks, ("id", "title", "section", "text", "score", "method"))
+    first = listed.select(F.col("key").alias("query_id"), F.explode(F.filter("passages", lambda p: p["n"] <= 2)).alias("p"))
+    extracts = extractive_answers(first.select("query_id", "p.n", "p.score", "p.text"),
                                   asked.select(F.col("key").alias("query_id"), F.col("lookup").alias("query")), index.terms)
-    return (
-        asked.join(listed, "key", "left").join(extracts.select(F.col("query_id").alias("key"), F.col("answer").alias("extract")), "key")
-        .select("lookup", "take", F.coalesce("passages", F.array().cast(listed.schema["passages"].dataType)).alias("passages"), "extract"))
+    # Texts that share an id share a key, and each asks for its own lookup.
+    both = (
+        extracts.select(F.col("query_id").alias("key"), F.col("answer").alias("extract"))
+        .join(listed, "key", "left").withColumn("passages", _or_none("passages", listed)))
+    sources = F.transform("passages", lambda p: F.struct(*[p[c].alias(c) for c in ("n", "id", "title", "section")]))
+    return both.select("key", sources.alias("sources"), "extract", "passages")
 
 
 def answer_batch(
@@ -317,36 +344,50 @@ def answer_batch(
                  _fleet(calls, aged, held, farms, step), _find(calls, fleet.units)):
         worded = worded.unionByName(part)
 
-    # Passages: for document questions, and as guidance for diagnostic questions about data.
+    # Passages: for document questions, and as guidance for diagnostic questions about data. Questions stay narrow until
+    # the last join: a call's or a passage's whole result is moved once per distinct call, never with the questions.
     docs = F.col("tool") == "search_docs"
     why = ~docs & F.lower("question").rlike("(?U)" + fixed.DIAGNOSTIC_PATTERN) & (F.length("question").between(3, 300))
-    lookup = routed.select("question_id", "question", "provider", "fallback_reason").join(calls, "question_id").withColumn(
+    lookup = routed.select("question_id", "question", "provider", "fallback_reason").join(
+        calls.select("question_id", "tool", "args", "valid", "reasons", "call", "query", "k"), "question_id").withColumn(
         "lookup", F.when(docs & F.col("valid"), F.col("query")).when(why, F.col("question"))).withColumn(
-        "take", F.when(docs, F.col("k")).otherwise(3))
-    joined = (
-        lookup.join(worded.select("call", F.col("answer").alias("_worded"), "data"), "call", "left")
-        .join(_passages(lookup, chunks, index, vectors, question_vectors), ["lookup", "take"], "left"))
-    source = "transform(passages, p -> named_struct('n', p.n, 'id', p.id, 'title', p.title, 'section', p.section))"
-    sources = F.coalesce(F.expr(source), F.expr(f"filter({source.replace('passages', 'array(passages[0])', 1)}, x -> false)"))
-    told = joined.withColumn("sources", sources)
+        "take", F.when(docs, F.col("k")).otherwise(3)).drop("query", "k")
     if texts is None:
-        told = told.withColumn("text", F.lit(None).cast("string"))
+        lookup = lookup.withColumn("text", F.lit(None).cast("string"))
     else:
-        told = told.join(texts.select("question_id", "text"), "question_id", "left")
-    told = told.withColumnRenamed("valid", "_valid")
-    told = check_citations(told.withColumn("given", F.transform("sources", lambda p: p["n"])), "text", "given").withColumnRenamed("reason", "_cites")
-    mine = F.coalesce("_valid", F.lit(False))
+        lookup = lookup.join(texts.select("question_id", "text"), "question_id", "left")
+    lookup = staged(lookup, "answers-narrow")
+    asked, hits = _searched(lookup, index, vectors, question_vectors)
+    worded = staged(worded.select("call", F.col("answer").alias("own"), "data"), "answers-worded")
+    keyed = lookup.where(F.col("lookup").isNotNull()).join(asked.select("lookup", "take", "key"), ["lookup", "take"], "left")
+    passages = _passages(asked, hits, chunks, index)
+    found = F.to_json(F.struct("query", F.lit(corpus_version).alias("corpus_version"), F.col("passages").alias("results")))
+    none = F.array().cast(passages.schema["sources"].dataType)
+    parts = (
+        keyed.where(docs).withColumnRenamed("lookup", "query").join(passages.withColumnRenamed("extract", "own"), "key", "left")
+        .withColumn("sources", F.coalesce("sources", none)).withColumn("data", found),
+        keyed.where(~docs).join(_sources(asked, hits, chunks), "key", "left").withColumn("sources", F.coalesce("sources", none)).join(worded, "call", "left"),
+        lookup.where(F.col("lookup").isNull()).withColumn("sources", none).join(worded, "call", "left"))
+    told = _told(parts[0])
+    for part in parts[1:]:
+        told = told.unionByName(_told(part))
+    return told
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """The answer of each row from its proposed ``text`` if that holds, else its ``own``."""
+    docs, mine = F.col("tool") == "search_docs", F.coalesce("_valid", F.lit(False))
+    told = check_citations(rows.withColumnRenamed("valid", "_valid").withColumn("given", F.transform("sources", lambda p: p["n"])),
+                           "text", "given").withColumnRenamed("reason", "_cites")
     offered = mine & (F.col("provider") == "proposed") & F.col("text").isNotNull()
     refused = F.when(offered, F.when(F.trim("text") == "", "empty answer").when(docs, F.col("_cites")))
     guidance = F.when(~docs & (F.size("sources") > 0), F.concat(
         F.lit(" Related guidance: "),
         F.array_join(F.transform("sources", lambda p: F.concat(p["title"], F.lit(" - "), p["section"], F.lit(" ["), p["n"].cast("string"), F.lit("]"))), "; "),
         F.lit("."))).otherwise("")
-    own = F.when(docs, F.col("extract")).otherwise(F.col("_worded"))
-    found = F.to_json(F.struct("query", F.lit(corpus_version).alias("corpus_version"), F.col("passages").alias("results")))
     return told.withColumn("_refused", refused).select(
         "question_id", "question",
-        F.when(mine, F.concat(F.when(offered & F.col("_refused").isNull(), F.col("text")).otherwise(own), guidance)).alias("answer"),
-        "tool", "args", F.when(mine, F.when(docs, found).otherwise(F.col("data"))).alias("data"),
+        F.when(mine, F.concat(F.when(offered & F.col("_refused").isNull(), F.col("text")).otherwise(F.col("own")), guidance)).alias("answer"),
+        "tool", "args", F.when(mine, F.col("data")).alias("data"),
         F.when(F.col("_refused").isNotNull(), "rules").otherwise(F.col("provider")).alias("provider"),
         F.coalesce("fallback_reason", F.when(~mine, F.concat_ws("; ", "reasons")), "_refused").alias("fallback_reason"), "sources")

@@ -20,6 +20,9 @@ from heliofleet.plans.text_plans import corpus, index, q as quoted, sql_best, sq
 
 PLACES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")  # market regions in this order
 LOOKUPS = ("en src1", "de src2 src14", "src7", "zzqx")
+# The list that a tool's data holds; looked for in the data of its tools only, which may be long.
+LISTS = {"farms": ("underperformers", "curtailed_farms"), "hourly": ("facility_performance",), "regions": ("fleet_summary",),
+         "facilities": ("find_facilities",), "results": ("search_docs",)}
 
 
 def named_fleet(spark, sf) -> Fleet:
@@ -64,7 +67,7 @@ def answered(spark, sf) -> DataFrame:
     """Every question answered at a fixed instant; ``n_rows`` counts the rows that ``data`` holds."""
     out = answers.answer_batch(spark, questions(spark, sf), named_fleet(spark, sf), corpus(spark, sf), index(spark, sf),
                                proposals(spark, sf), as_of=AS_OF, texts=texts(spark, sf))
-    held = F.coalesce(*[F.json_array_length(F.get_json_object("data", f"$.{part}")) for part in ("farms", "hourly", "regions", "facilities", "results")])
+    held = F.coalesce(*[F.when(F.col("tool").isin(*tools), F.json_array_length(F.get_json_object("data", f"$.{part}"))) for part, tools in LISTS.items()])
     return out.select("question_id", "question", "answer", "tool", "provider", "fallback_reason", F.size("sources").alias("n_sources"), held.alias("n_rows"))
 
 

@@ -119,6 +119,52 @@ def test_no_plan_node_holds_a_row_per_query_term_and_chunk(spark, tmp_path):
     assert not re.search(r"Aggregate\(keys=\[[^\]]*\bpos#", text)
 
 
+def test_a_search_deals_queries_by_cell_not_by_range(spark, monkeypatch, tmp_path):
+    """A query travels once per cell of ranges, with no row per (query, range) and none per (query, term, range)."""
+    index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
+    seen, write = {}, ranking.staged
+    def watched(df, purpose):
+        seen[purpose] = plan(df)
+        return write(df, purpose)
+    monkeypatch.setattr(ranking, "staged", watched)
+    ranking.bm25_topk(spark.createDataFrame([(1, "dust panel")], "query_id int, query string"), index, 3)
+    text = seen["search-best"]
+    assert "MapInArrow" in text and not re.search(r"keys=\[[^\]]*query_id#\d+, range#", text)
+    assert len(re.findall(r"Exchange hashpartitioning\(", text)) <= 2 and "Generate explode(terms" not in text
+
+
+def test_results_of_calls_do_not_move_with_questions(spark):
+    """Questions meet the long results of calls and passages last: nothing is dealt by question after that."""
+    from heliofleet.operators import answers
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunks = spark.createDataFrame([(1, 1, "Faults", "Trips", "An inverter trips on dew.")], "id int, pos int, title string, section string, text string")
+        questions = spark.createDataFrame([(1, "what is an inverter"), (2, "energy over the last 24 hours")], "question_id int, question string")
+        texts = spark.createDataFrame([(1, "It trips [1].")], "question_id int, text string")
+        told = answers.answer_batch(spark, questions, fleet(spark, LOW, FULL_SUN), chunks, build_index(chunks), texts=texts)
+        text = plan(told)
+        assert told.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(question_id#" not in text and "hashpartitioning(call#" in text
+
+
+def test_runs_of_words_are_not_dealt_to_meet_a_few_phrases(spark):
+    questions = spark.createDataFrame([(1, "how is orchard flat")], "question_id int, question string")
+    farms = spark.createDataFrame([("ORCH", "Orchard Flat Solar Farm")], "facility_code string, facility_name string")
+    text = plan(routing.match_facility(questions, farms))
+    assert "BroadcastHashJoin [_run#" in text and "hashpartitioning(_run#" not in text
+
+
+def test_sentences_are_chosen_where_their_passage_lies(spark):
+    from heliofleet.operators import passages
+    given = spark.createDataFrame([(1, 1, 2, "Dust. Moss.")], "query_id int, n int, take int, text string")
+    text = plan(passages.best_sentences(given, spark.createDataFrame([(1, "moss")], "query_id int, query string"),
+                                        spark.createDataFrame([("moss", 2.0)], "term string, idf double")))
+    assert "posexplode" not in text and "Window" not in text and "sentence#" not in text
+
+
 def test_a_search_opens_only_its_buckets(spark, tmp_path):
     index = build_index(corpus(spark, tmp_path), str(tmp_path / "index"))
     queries = spark.createDataFrame([(1, "dust panel")], "query_id int, query string")

@@ -210,6 +210,40 @@ def test_a_task_of_a_search_holds_a_bounded_part_of_the_corpus(spark, monkeypatc
     assert dict(seen)["search-best"] == "25" and spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
+@pytest.mark.parametrize("queries_per_task, rows_at_once", [(1 << 18, 512), (3, 2)])
+def test_cells_of_queries_and_ranges_find_the_best_of_all(spark, monkeypatch, tmp_path, queries_per_task, rows_at_once):
+    """Cells of several ranges with ties, string ids, missing ids and a term no chunk has give what all sums give."""
+    monkeypatch.setattr("heliofleet.operators.index.RANGE_CHUNKS", 8)
+    for name, value in (("RANGE_CHUNKS", 8), ("TASK_RANGES", 1), ("MOST_RANGES", 3), ("RANGE_QUERIES", 0), ("TASK_QUERIES", queries_per_task), ("QUERY_ROWS", rows_at_once)):
+        monkeypatch.setattr(ranking, name, value)
+    rng = random.Random(3)
+    words = ["panel", "dust", "zebra", "wind", "moss", "dew"]
+    rows_ = [(None if i % 19 == 0 else f"c{i}", None if i % 19 == 0 else i, None, "s", " ".join(rng.choices(words, k=rng.randrange(1, 5)))) for i in range(150)]
+    index = build_index(spark.createDataFrame(rows_, "id string, pos int, title string, section string, text string"), str(tmp_path / "index"))
+    asked = [(i, " ".join(rng.sample(words + ["absent"], 1 + i % 5))) for i in range(12)] + [(0, "dust dew"), (None, "dust")]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    def best(df):
+        return sorted(map(tuple, df.where("query_id is not null").select("query_id", "rank", F.coalesce("id", F.lit("")), "score").collect()))
+    every = ranking.bm25(queries, index)
+    for k in (3, 30):
+        found = ranking.bm25_topk(queries, index, k)
+        assert best(found) == best(ranking.top_k(every, k))
+        assert found.where("query_id is null").count() == (0 if k == 3 else 30)
+
+
+def test_best_sentences_of_repeated_passages(spark):
+    """Texts that share a passage's key are one passage; a passage without words has no extract, one without a query its first sentences."""
+    given = [(1, 1, 2, "Dust falls. Moss grows. Dew and moss."), (1, 2, 1, "Nothing. Moss."), (2, 1, 1, "Dew."), (2, 1, 1, "Dust. Moss moss."), (3, 1, 2, "  "),
+             (4, 1, 1, None), (None, 1, 1, "One. Moss.")]
+    terms = spark.createDataFrame([("moss", 2.0), ("dew", 1.0), ("dust", 0.5)], "term string, idf double")
+    queries = spark.createDataFrame([(1, "moss dew"), (2, "dew moss dust"), (2, "dust"), (None, "moss")], "query_id int, query string")
+    got = passages.best_sentences(spark.createDataFrame(given, "query_id int, n int, take int, text string"), queries, terms)
+    # Passage (2, 1): both texts' first sentences weigh 1 + 0.5 * 2 = 2.0 as its first place, "Moss moss." as its second weighs 2.0 too.
+    assert {(r["query_id"], r["n"], r["extract"]) for r in got.collect()} - {(2, 1, "Dew."), (2, 1, "Dust.")} == {
+        (1, 1, "Moss grows. Dew and moss."), (1, 2, "Moss."), (None, 1, "One.")}
+    assert got.where("query_id = 2").count() == 1
+
+
 def test_stored_index_is_built_once_per_version(spark, tmp_path):
     docs = corpus(spark)
     first = stored_index(docs, str(tmp_path))
